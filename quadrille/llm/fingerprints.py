@@ -25,6 +25,8 @@ ANCHORS = (
     "al como con del el ella ello lo los las más me mi muy no nos o para pero por sin su sus te y ya"
 ).split()
 CHAIN = 2
+#: Ids in a range of neighbouring documents, about.
+RANGE = 500
 NEAR = 0.8
 
 
@@ -93,35 +95,45 @@ def near_groups(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     return rows.select("doc_id", "_f", "_g").join(of, ["_f", "_g"]).select("doc_id", "group_id", "links")
 
 
-def following(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``doc_id, next_id, n, next_need``: each row's successor in descending doc_id (the
-    last one's is the first), found in ranges of ids, with only one row per range
-    compared across ranges. ``next_need``: how many characters its predecessor takes."""
-    spark = docs.sparkSession
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ids = docs.select("doc_id", F.char_length(whole("text")).cast("long").alias("n"))
-    ids = stored(ids.repartitionByRange(parts, F.desc("doc_id")).withColumn("_pid", F.spark_partition_id()), "spot-ids")
-    ends = ids.groupBy("_pid").agg(F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo"), F.max_by("n", "doc_id").alias("hi_n"), F.min_by("n", "doc_id").alias("lo_n"))
-    ends = ends.orderBy("_pid").collect()  # one row per range
-    if not ends:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"), "n", F.col("n").alias("need"))
-    step = [(e["_pid"], ends[(i + 1) % len(ends)]["hi"], ends[i - 1]["lo_n"]) for i, e in enumerate(ends)]
-    step = F.broadcast(spark.createDataFrame(step, "_pid int, _next long, _prev_n long"))
-    w = Window.partitionBy("_pid").orderBy(F.desc("doc_id"))
-    out = ids.withColumns({"_in": F.lead("doc_id").over(w), "_up": F.lag("n").over(w)}).join(step, "_pid")
-    return out.select("doc_id", F.coalesce("_in", "_next").alias("next_id"), "n", F.expr("coalesce(_up, _prev_n) div 2").alias("need"))
+def following(ids: DataFrame) -> DataFrame:
+    """``id, next_id`` of distinct longs: the next smaller one, after the smallest the
+    largest. Found in ranges, with one row per range compared across ranges."""
+    spark = ids.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ids = stored(ids.repartitionByRange(parts, F.desc("id")).withColumn("_pid", F.spark_partition_id()), "spot-ids")
+    ends = ids.groupBy("_pid").agg(F.max("id").alias("hi")).orderBy("_pid").collect()  # one row per range
+    step = [(e["_pid"], ends[(i + 1) % len(ends)]["hi"]) for i, e in enumerate(ends)]
+    step = F.broadcast(spark.createDataFrame(step, "_pid int, _next long"))
+    inside = F.lead("id").over(Window.partitionBy("_pid").orderBy(F.desc("id")))
+    return ids.withColumn("_in", inside).join(step, "_pid").select("id", F.coalesce("_in", "_next").alias("next_id"))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, signatures, next_text, next_signatures`` by descending doc_id.
+
+    Rows are dealt to ranges of about ``RANGE`` ids and every range also gets the first
+    row of the range after it, so texts are shuffled once and no task sees more than its
+    ranges."""
+    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    width = max(1, -(-(hi - lo + 1) * RANGE // n)) if n else 1
+    docs = docs.withColumn("_range", F.expr(f"(cast(doc_id as decimal(20, 0)) - {lo or 0}) div {width}"))
+    first = stored(docs.groupBy(F.col("_range").alias("id")).agg(F.max("doc_id").alias("doc_id")), "spot-first")
+    after = following(first.select("id")) if n else first.select("id", F.col("id").alias("next_id"))
+    guests = after.join(first.withColumnRenamed("id", "next_id"), "next_id").select(F.col("id").alias("_owner"), "doc_id")
+    guests = docs.drop("_range").join(stored(guests, "spot-guests"), "doc_id").select(F.col("_owner").alias("_range"), "doc_id", "text", F.lit(True).alias("_guest"))
+    rows = docs.select("_range", "doc_id", "text", F.lit(False).alias("_guest")).unionByName(guests)
+    rows = rows.repartition("_range").withColumn("signatures", signatures(F.col("text")))
+    w = Window.partitionBy("_range").orderBy("_guest", F.desc("doc_id"))
+    rows = rows.withColumns({"next_text": F.lead("text").over(w), "next_signatures": F.lead("signatures").over(w)})
+    return rows.where("not _guest").drop("_range", "_guest")
 
 
 def op1(spark, sf_dir):
-    """Ids are unique in ``documents``; of a repeated id one row counts, and rows
-    without an id go."""
-    docs = documents(spark, sf_dir).where("doc_id is not null").select("doc_id", whole("text").alias("text"))
-    order = stored(following(docs), "spot-next")
-    # what a row gives to its predecessor: its first characters and its own signatures
-    mine = docs.join(order, "doc_id").select("doc_id", "next_id", "n", F.expr("substring(text, 1, cast(n - n div 2 as int))").alias("_keep"), F.expr("substring(text, 1, cast(need as int))").alias("_lend"), signatures(F.col("text")).alias("_sig"))
-    mine = stored(mine, "spot-mine")
-    lent = mine.select(F.col("doc_id").alias("next_id"), "_lend", F.col("_sig").alias("_next"))
-    both = mine.select("doc_id", "next_id", "n", "_keep", "_sig").join(lent, "next_id")
-    both = both.select("doc_id", "n", "_sig", "_next", F.concat("_keep", "_lend").alias("_edited"))
-    both = both.select("doc_id", F.col("n").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "_sig", "_next", signatures(F.col("_edited")).alias("_esig"))
-    return both.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_sig")).alias("fingerprint"), fingerprint(F.col("_esig")).alias("edited_fingerprint"), likeness(F.col("_sig"), F.col("_esig")).alias("near_edited"), likeness(F.col("_sig"), F.col("_next")).alias("near_next"))
+    """Rows without an id go; rows that repeat an id follow each other in any order."""
+    rows = with_next(documents(spark, sf_dir).where("doc_id is not null").select("doc_id", whole("text").alias("text")))
+    n = F.char_length("text")
+    edited = F.expr("concat(substring(text, 1, cast(char_length(text) - char_length(text) div 2 as int)), substring(next_text, 1, cast(char_length(text) div 2 as int)))")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "signatures", "next_signatures", edited.alias("_edited"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "signatures", "next_signatures", signatures(F.col("_edited")).alias("_edited_sig"))
+    a, b, c = F.col("signatures"), F.col("_edited_sig"), F.col("next_signatures")
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
