@@ -1,8 +1,352 @@
-"""Queries over the driver tables and their SQL equivalents."""
+"""Queries over the driver tables, one or more for each operator, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import text as tx
+from .operators import evaluation, index as ix, search as se, selection as sel, stats
+from .plans.execute import execute
+from .plans.rewrite import rewrite
+from .plans.sparql import generic_triples, generics, parse
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _direct_sql() -> str:
+    parts = []
+    for t, (keys, cols) in stats.DIRECT.items():
+        s = f"'ex:{t}/' || " + " || '-' || ".join(keys)
+        for c in cols:
+            o = f"'ex:{stats.LINKS[c]}/' || {c}" if c in stats.LINKS else f"CAST({c} AS VARCHAR)"
+            parts.append(f"SELECT '{t}' AS endpoint, {s} AS s, 'ex:{t}#{c}' AS p, {o} AS o FROM {t} WHERE {c} IS NOT NULL")
+    return "\nUNION ALL ".join(parts)
+
+
+_Q = f"WITH q AS ({_direct_sql()})\n"
+_AWK = "regexp_extract(p, '([^/#]*)$', 1)"
+
+
+@query(_Q + f"SELECT endpoint, p AS predicate, count(*)::BIGINT AS usage_count, {_AWK} AS local_name FROM q GROUP BY ALL")
+def predicate_freq(spark, d):
+    c = stats.predicate_counts(stats.direct_triples(spark, d), "endpoint")
+    return c.withColumn("local_name", tx.local_name("predicate")).orderBy(F.desc("usage_count"), F.desc("predicate"))
+
+
+def flagship(spark, d):
+    return predicate_freq(spark, d)
+
+
+@query(_Q + "SELECT p AS predicate, count(*)::BIGINT AS usage_count FROM q WHERE endpoint IN ('customer', 'supplier', 'nation') GROUP BY ALL")
+def predicate_freq_merge(spark, d):
+    per = [stats.predicate_counts(stats.direct_triples(spark, d, (t,)), "endpoint") for t in ("customer", "supplier", "nation")]
+    return stats.merged_counts(per[0].unionByName(per[1]).unionByName(per[2]))
+
+
+@query("""SELECT p AS predicate, count(*)::BIGINT AS usage_count FROM
+(SELECT DISTINCT 'ex:' || source AS s, 'ex:text' AS p, text AS o FROM documents UNION ALL SELECT DISTINCT 'ex:' || source, 'ex:lang', lang FROM documents) GROUP BY ALL""")
+def predicate_freq_distinct(spark, d):
+    docs = _t(spark, d, "documents")
+    pairs = F.inline(F.array(F.struct(F.lit("ex:text").alias("p"), F.col("text").alias("o")), F.struct(F.lit("ex:lang").alias("p"), F.col("lang").alias("o"))))
+    return stats.distinct_predicate_counts(docs.select(F.concat(F.lit("ex:"), "source").alias("s"), pairs))
+
+
+@query(_Q + "SELECT count(DISTINCT p)::BIGINT AS n_predicates, count(*)::BIGINT AS n_statements FROM q")
+def predicate_total(spark, d):
+    return stats.predicate_total(stats.predicate_counts(stats.direct_triples(spark, d)))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/#]*)$', 1) AS local_name FROM pages")
+def local_name_awk(spark, d):
+    return _t(spark, d, "pages").select("page_id", tx.local_name("url").alias("local_name"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS local_name FROM pages")
+def local_name_slash(spark, d):
+    return _t(spark, d, "pages").select("page_id", tx.last_path_segment("url").alias("local_name"))
+
+
+_LABEL = "lower(regexp_replace(regexp_replace(regexp_extract(regexp_extract({0}, '([^/]*)$', 1), '([^#]*)$', 1), '[_\\-.+]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))"
+
+
+@query(f"SELECT page_id, {_LABEL.format('url')} AS label FROM pages")
+def label_tokens(spark, d):
+    return _t(spark, d, "pages").select("page_id", tx.label_tokens("url").alias("label"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_type, lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS l, lower(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS e, p_name FROM part)
+SELECT p_partkey, concat_ws(' ', p_name, p_name, l, l, e) AS text FROM p""")
+def document_text(spark, d):
+    return _t(spark, d, "part").select("p_partkey", tx.document_text("p_type", "p_name", "p_name").alias("text"))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents),
+g AS (SELECT doc_id, unnest(w) AS term FROM w
+UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w)
+SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct FROM g GROUP BY doc_id""")
+def word_ngrams(spark, d):
+    tf = ix.term_counts(_t(spark, d, "documents"), accents=False, keys=("doc_id",))
+    return tf.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count("*").alias("n_distinct"))
+
+
+def _part_tf(spark, d):
+    parts = _t(spark, d, "part").select(F.col("p_type").alias("endpoint"), F.col("p_partkey").alias("row_id"), F.col("p_name").alias("text"))
+    return parts, ix.term_counts(parts, longest=1, accents=False)
+
+
+_TF = """WITH p AS (SELECT p_type AS endpoint, p_partkey AS row_id, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]{2,}')) AS term FROM part),
+tf AS (SELECT endpoint, row_id, term, count(*) AS tf FROM p GROUP BY ALL),
+sz AS (SELECT p_type AS endpoint, count(*) AS size FROM part GROUP BY ALL),
+t AS (SELECT endpoint, term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+terms AS (SELECT endpoint, term, df, n, ln((1.0 + size) / (1.0 + df)) + 1 AS idf FROM t JOIN sz USING (endpoint)),
+w AS (SELECT endpoint, row_id, term, tf * idf AS w FROM tf JOIN terms USING (endpoint, term)),
+post AS (SELECT endpoint, row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY endpoint, row_id)) AS weight FROM w)
+"""
+
+
+@query(_TF + "SELECT endpoint, term, df, n, round(idf, 6) AS idf FROM terms")
+def tfidf_terms(spark, d):
+    parts, tf = _part_tf(spark, d)
+    terms, _ = ix.tfidf(tf, parts.groupBy("endpoint").agg(F.count("*").alias("size")))
+    return terms.withColumn("idf", F.round("idf", 6))
+
+
+@query(_TF + "SELECT endpoint, row_id, term, round(weight, 6) AS weight FROM post")
+def tfidf_postings(spark, d):
+    parts, tf = _part_tf(spark, d)
+    _, post = ix.tfidf(tf, parts.groupBy("endpoint").agg(F.count("*").alias("size")))
+    return post.withColumn("weight", F.round("weight", 6))
+
+
+@query(_TF + "SELECT endpoint, term, df, n FROM t QUALIFY row_number() OVER (PARTITION BY endpoint ORDER BY n DESC, term) <= 3")
+def tfidf_vocab_cap(spark, d):
+    return ix.capped_terms(_part_tf(spark, d)[1], 3)
+
+
+_GENERICS = ("gen:steel", "gen:small_brass", "gen:widget")
+
+
+def _search(spark, d, popa):
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("endpoint"), F.concat(F.lit("ex:part/"), F.col("p_partkey").cast("string")).alias("predicate"), F.col("p_type").alias("local_name"), F.col("p_size").cast("long").alias("usage_count"))
+    index = ix.build_index(p, accents=False)
+    names = spark.createDataFrame([(g,) for g in _GENERICS], "generic string")
+    out = se.search(index, names, popa=popa, accents=False)
+    return out.select("generic", "endpoint", "rank", "predicate", "usage_count", F.round("score_sparse", 5).alias("score_sparse"), F.round("score_fused", 4).alias("score_fused"))
+
+
+def _search_sql(popa: float) -> str:
+    gen = ", ".join(f"('{g}')" for g in _GENERICS)
+    label = "lower(regexp_replace(regexp_replace(regexp_extract(regexp_extract({0}, '([^/]*)$', 1), '([^#]*)$', 1), '[_.+{1}]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))"
+    grams = "unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+    lab = lambda c: label.format(c, "\\-")
+    return f"""WITH m AS (SELECT p_brand AS endpoint, 'ex:part/' || p_partkey AS predicate, p_type AS local_name, p_size::BIGINT AS usage_count FROM part),
+x AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', predicate, local_name, {lab('predicate')}, {lab('local_name')}, {lab('endpoint')})), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM m),
+tf AS (SELECT endpoint, predicate, term, count(*) AS tf FROM (SELECT endpoint, predicate, {grams} AS term FROM x) GROUP BY ALL),
+sz AS (SELECT endpoint, count(*) AS size FROM m GROUP BY ALL),
+terms AS (SELECT endpoint, term, ln((1.0 + any_value(size)) / (1.0 + count(*))) + 1 AS idf FROM tf JOIN sz USING (endpoint) GROUP BY ALL),
+pw AS (SELECT endpoint, predicate, term, tf * idf AS w FROM tf JOIN terms USING (endpoint, term)),
+post AS (SELECT endpoint, predicate, term, w / sqrt(sum(w * w) OVER (PARTITION BY endpoint, predicate)) AS weight FROM pw),
+g AS (SELECT g AS generic, regexp_extract_all(lower(g || ' ' || {label.format('g', '')}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM (VALUES {gen}) v(g)),
+qt AS (SELECT generic, term, count(*) AS tf FROM (SELECT generic, {grams} AS term FROM g) GROUP BY ALL),
+qw AS (SELECT generic, endpoint, term, tf * idf AS w FROM qt JOIN terms USING (term)),
+qn AS (SELECT generic, endpoint, term, w / sqrt(sum(w * w) OVER (PARTITION BY generic, endpoint)) AS q FROM qw),
+hit AS (SELECT generic, endpoint, predicate, sum(weight * q) AS s FROM post JOIN qn USING (endpoint, term) GROUP BY ALL),
+a AS (SELECT generic, m.endpoint, m.predicate, usage_count, coalesce(s, 0) AS s FROM m CROSS JOIN g LEFT JOIN hit USING (generic, endpoint, predicate)),
+z AS (SELECT *, round(0.7 * (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-9){f" + {popa} * (ln(1 + usage_count) - avg(ln(1 + usage_count)) OVER w) / (stddev_pop(ln(1 + usage_count)) OVER w + 1e-9)" if popa else ""}, 6) AS f FROM a WINDOW w AS (PARTITION BY generic, endpoint))
+SELECT generic, endpoint, row_number() OVER (PARTITION BY generic, endpoint ORDER BY f DESC, predicate)::INTEGER AS rank, predicate, usage_count, round(s, 5) AS score_sparse, round(f, 4) AS score_fused
+FROM z QUALIFY rank <= 3"""
+
+
+@query(_search_sql(0.0))
+def candidate_search_topk(spark, d):
+    return _search(spark, d, 0.0)
+
+
+@query(_search_sql(0.2))
+def candidate_search_popularity(spark, d):
+    return _search(spark, d, 0.2)
+
+
+def _vectors(spark, d):
+    e = _t(spark, d, "embeddings").select(F.concat(F.lit("label"), "label").alias("endpoint"), F.col("vec_id").alias("row_id"), "embedding")
+    first = e.groupBy("endpoint").agg(F.min_by("embedding", "row_id").alias("query")).withColumn("generic", F.lit("gen:vector"))
+    return e, se.dense_scores(e, first)
+
+
+_DOT = """WITH e AS (SELECT 'label' || label AS endpoint, vec_id AS row_id, embedding FROM embeddings),
+q AS (SELECT endpoint, arg_min(embedding, row_id) AS query FROM e GROUP BY endpoint),
+s AS (SELECT 'gen:vector' AS generic, endpoint, row_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * query[i]::DOUBLE)) AS d FROM e JOIN q USING (endpoint))
+"""
+
+
+@query(_DOT + "SELECT generic, endpoint, row_id, round(d, 5) AS score_dense, row_number() OVER (PARTITION BY endpoint ORDER BY round(d, 5) DESC, row_id)::INTEGER AS rank FROM s QUALIFY rank <= 3")
+def dense_topk(spark, d):
+    scores = _vectors(spark, d)[1].withColumn("score_dense", F.round("score_dense", 5))
+    return se.top_k(scores, score="score_dense", tie="row_id")
+
+
+@query(_DOT + """, f AS (SELECT *, CAST(row_id % 7 AS DOUBLE) AS sp FROM s),
+z AS (SELECT generic, endpoint, row_id, round(0.7 * (sp - avg(sp) OVER w) / (stddev_pop(sp) OVER w + 1e-9) + 0.3 * (d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-9), 4) AS score_fused FROM f WINDOW w AS (PARTITION BY endpoint))
+SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY score_fused DESC, row_id)::INTEGER AS rank FROM z QUALIFY rank <= 3""")
+def hybrid_topk(spark, d):
+    scores = _vectors(spark, d)[1].withColumns({"score_sparse": (F.col("row_id") % 7).cast("double"), "usage_count": F.lit(0)})
+    fused = se.fuse(scores).withColumn("score_fused", F.round("score_fused", 4))
+    return se.top_k(fused, tie="row_id").select("generic", "endpoint", "row_id", "score_fused", "rank")
+
+
+def _mapping_rows(spark, d):
+    o = _t(spark, d, "orders")
+    return o.select(F.concat(F.lit("gen:c"), "o_custkey").alias("generic"), F.col("o_orderpriority").alias("endpoint"), F.col("o_orderstatus").alias("predicate"), F.lit("").alias("reason"), (F.floor("o_totalprice") % 1000 / 1000).alias("confidence"), F.col("o_orderkey").alias("pos"))
+
+
+@query("""SELECT 'gen:c' || o_custkey AS generic, arg_max(o_orderpriority, (floor(o_totalprice) % 1000 / 1000, -o_orderkey)) AS endpoint, arg_max(o_orderkey, (floor(o_totalprice) % 1000 / 1000, -o_orderkey)) AS pos FROM orders GROUP BY ALL""")
+def select_best_mapping(spark, d):
+    return sel.best_per_generic(_mapping_rows(spark, d)).select("generic", "endpoint", "pos")
+
+
+@query("""SELECT 'gen:c' || o_custkey AS generic, o_orderpriority AS endpoint, arg_max(o_orderstatus, o_orderkey) AS predicate, min(o_orderkey) AS pos FROM orders GROUP BY ALL""")
+def nest_last_write(spark, d):
+    return sel.last_write(_mapping_rows(spark, d)).select("generic", "endpoint", "predicate", "pos")
+
+
+@query("""SELECT c_custkey, n_name AS endpoint, CASE WHEN n_regionkey <> 0 THEN 'http://' || n_name || '/sparql' END AS url FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def endpoint_lookup(spark, d):
+    n = _t(spark, d, "nation")
+    chosen = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("endpoint"))
+    catalog = n.where("n_regionkey <> 0").select(F.col("n_name").alias("id"), F.concat(F.lit("http://"), "n_name", F.lit("/sparql")).alias("url"))
+    return sel.with_url(chosen, catalog).select("c_custkey", "endpoint", "url")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def unmapped_anti(spark, d):
+    return _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def gold_semi(spark, d):
+    return _t(spark, d, "customer").join(_t(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+def _judged(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    uses = docs.select(F.col("source").alias("query_id"), F.concat(F.lit("gen:"), "doc_id").alias("gen_predicate"))
+    gold = labels.select(F.concat(F.lit("gen:"), "doc_id").alias("gen_predicate"), F.concat(F.lit("<ex:"), "quality", F.lit(">")).alias("expected"))
+    predicted = docs.where("doc_id % 5 <> 0").select(F.col("source").alias("query_id"), F.concat(F.lit("gen:"), "doc_id").alias("gen_predicate"), F.when(F.col("n_chars") > 400, "ex:1").otherwise("ex:0").alias("predicted"))
+    return evaluation.judged(uses, gold, predicted)
+
+
+_JUDGED = """WITH j AS (SELECT source AS query_id, 'gen:' || doc_id AS gen_predicate, doc_id % 5 <> 0 AS replaced,
+doc_id % 5 <> 0 AND (CASE WHEN n_chars > 400 THEN 1 ELSE 0 END) = quality AS correct FROM documents JOIN labels USING (doc_id))
+"""
+
+
+@query(_JUDGED + "SELECT query_id, count(*)::BIGINT AS total, count(*) FILTER (correct)::BIGINT AS correct, count(*) FILTER (NOT correct)::BIGINT AS incorrect, count(*) FILTER (replaced)::BIGINT AS replaced FROM j GROUP BY ALL")
+def mapping_eval(spark, d):
+    return evaluation.per_query(_judged(spark, d))
+
+
+@query(_JUDGED + "SELECT count(DISTINCT query_id)::BIGINT AS queries, count(*)::BIGINT AS predicates, count(*) FILTER (correct)::BIGINT AS correct, count(*) FILTER (NOT correct)::BIGINT AS incorrect, count(*) FILTER (replaced)::BIGINT AS replaced, round(100.0 * count(*) FILTER (correct) / count(*), 2)::DOUBLE AS precision FROM j")
+def mapping_summary(spark, d):
+    return evaluation.summary(_judged(spark, d)).drop("seconds_per_query", "seconds_per_predicate")
+
+
+@query(_JUDGED + "SELECT gen_predicate, count(*)::BIGINT AS errors FROM j WHERE NOT correct GROUP BY ALL")
+def error_histogram(spark, d):
+    return evaluation.error_histogram(_judged(spark, d))
+
+
+@query("SELECT event_id, event_type, props ->> '$.k' AS k, length(props)::INTEGER AS n FROM events")
+def json_payload_extract(spark, d):
+    e = _t(spark, d, "events")
+    return e.select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.char_length("props").alias("n"))
+
+
+_PREFIX = "".join(f"PREFIX {t}: <ex:{t}#>\n" for t in stats.DIRECT)
+
+
+def _run(spark, d, text: str) -> DataFrame:
+    return execute(_to_iris(text), stats.direct_triples(spark, d))
+
+
+def _to_iris(text: str) -> str:
+    """``table.column`` short for the predicate's IRI."""
+    import re
+
+    return re.sub(r"\b(\w+)\.(\w+_\w+)\b", r"<ex:\1#\2>", text)
+
+
+@query("SELECT 'ex:customer/' || c_custkey AS c, c_name AS name, c_mktsegment AS seg FROM customer WHERE c_nationkey = 3")
+def bgp_star(spark, d):
+    return _run(spark, d, "SELECT ?c ?name ?seg WHERE { ?c customer.c_name ?name ; customer.c_mktsegment ?seg ; customer.c_nationkey <ex:nation/3> . }")
+
+
+@query("""SELECT 'ex:orders/' || o_orderkey AS o, n_name AS nation, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def bgp_chain(spark, d):
+    return _run(spark, d, "SELECT ?o ?nation ?region WHERE { ?o orders.o_custkey ?c . ?c customer.c_nationkey ?n . ?n nation.n_name ?nation . ?n nation.n_regionkey ?r . ?r region.r_name ?region }")
+
+
+@query("""SELECT 'ex:customer/' || c_custkey AS c, o.k AS o FROM customer LEFT JOIN (SELECT o_custkey, 'ex:orders/' || o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey""")
+def optional_filter(spark, d):
+    return _run(spark, d, 'SELECT ?c ?o WHERE { ?c customer.c_name ?name . OPTIONAL { ?o orders.o_custkey ?c . ?o orders.o_orderstatus ?st . FILTER (?st = "F") } }')
+
+
+@query("""SELECT s_name AS name, NULL::VARCHAR AS seg FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT c_name, c_mktsegment FROM customer WHERE c_nationkey = 3""")
+def union_branches(spark, d):
+    return _run(spark, d, "SELECT ?name ?seg WHERE { { ?s supplier.s_name ?name . ?s supplier.s_nationkey <ex:nation/3> } UNION { ?c customer.c_name ?name . ?c customer.c_nationkey <ex:nation/3> . ?c customer.c_mktsegment ?seg } }")
+
+
+@query("""SELECT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= b.p_size AND b.p_size <= 5 AND a.p_type = b.p_type""")
+def range_join(spark, d):
+    return _run(spark, d, "SELECT ?a ?b WHERE { ?x part.p_brand ?br . ?x part.p_type ?ty . ?x part.p_size ?m . ?x part.p_name ?a . ?y part.p_brand ?br2 . ?y part.p_type ?ty2 . ?y part.p_size ?n . ?y part.p_name ?b . FILTER (STR(?br) = STR(?br2) && STR(?ty) = STR(?ty2) && ?m <= ?n && ?n <= 5) }")
+
+
+@query("SELECT 'ex:part/' || p_partkey AS x, p_type AS t FROM part WHERE regexp_matches(p_type, 'st|br', 'i') AND p_size > 40")
+def regex_filter(spark, d):
+    return _run(spark, d, 'SELECT ?x ?t WHERE { ?x part.p_type ?t . ?x part.p_size ?z . FILTER (REGEX(?t, "st|br", "i") && ?z > 40) }')
+
+
+@query("SELECT DISTINCT p_brand AS b, p_type AS t FROM part ORDER BY b, t LIMIT 50")
+def distinct_order_limit(spark, d):
+    return _run(spark, d, "SELECT DISTINCT ?b ?t WHERE { ?x part.p_brand ?b . ?x part.p_type ?t } ORDER BY ?b ?t LIMIT 50")
+
+
+@query(_Q + "SELECT p, o FROM q WHERE s = 'ex:nation/7' UNION ALL SELECT p, NULL FROM q WHERE o = 'ex:nation/7'")
+def var_predicate(spark, d):
+    return _run(spark, d, "SELECT ?p ?o WHERE { { <ex:nation/7> ?p ?o } UNION { ?s ?p <ex:nation/7> } }")
+
+
+@query("""SELECT 'ex:customer/' || c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def service_execute(spark, d):
+    q = rewrite("SELECT ?c ?n WHERE { ?c gen:home ?x . ?x gen:name ?n . }", {"gen:home": {"cust": "ex:customer#c_nationkey"}, "gen:name": {"nat": "ex:nation#n_name"}}, {"cust": "http://c/sparql", "nat": "http://n/sparql"})
+    return execute(q, stats.direct_triples(spark, d), endpoints={"customer": "http://c/sparql", "nation": "http://n/sparql"})
+
+
+_CORPUS = {
+    "union": "SELECT ?v WHERE { { ?s gen:a ?r . ?r gen:b ?v } UNION { ?u gen:a ?r . ?r gen:c ?v } }",
+    "optional": 'SELECT * WHERE { ?s gen:a ?r . OPTIONAL { ?r gen:b ?v . FILTER (?v > 3) } OPTIONAL { ?r gen:c "x"@en } } LIMIT 5',
+}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query()
+def service_grouping(spark, d):
+    """Rewriting is text work on the driver, a row per query."""
+    chosen = {"gen:a": {"one": "ex:p"}, "gen:b": {"one": "ex:q"}, "gen:c": {"two": "ex:r"}}
+    rows = [(k, len(generics(t)), len(generic_triples(parse(t))), rewrite(t, chosen, {"one": "http://one/", "two": "http://two/"})) for k, t in _CORPUS.items()]
+    return spark.createDataFrame(rows, "query_id string, n_generics int, n_triples int, rewritten string")
