@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import documents, small_batches, stored, whole
 from .links import components, confirm_by_sets
@@ -29,6 +29,8 @@ from .links import components, confirm_by_sets
 THRESHOLD = 0.8
 SYMBOLS, DISTANCE = 128, 44
 CHUNKS = 23
+#: Ranks of a member's stars that are met together; the last tier takes all the rest.
+TIERS = ((1, 1), (2, 4), (5, SYMBOLS))
 #: Word hashes remembered by a worker: bounds memory, not results.
 REMEMBERED = 300_000
 _SIZES = [len(x) for x in np.array_split(np.arange(SYMBOLS), CHUNKS)]
@@ -196,16 +198,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = members.select("rid").distinct().join(classes.select("rid", "sa", "sb"), "rid")
     sets = stored(whole_sets(docs, stored(needed, "near-needed"), id_col, text_col).dropDuplicates(["rid"]), "near-sets")
 
-    stars = stored(members.where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")).distinct(), "near-stars")
-    # one star a member first; most groups are whole after it
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    edges = confirm_by_sets(stored(_close(first, classes), "near-pairs"), sets, threshold)
-    labels = components(edges)
-    apart = _of(_of(stars, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("a", "b")
-    more = confirm_by_sets(stored(_close(apart, classes), "near-pairs"), sets, threshold)
-    if more.limit(1).count():
-        edges = edges.unionByName(more)
-        labels = components(edges)
+    # stars by how many buckets they share: a member's likest centre first, so that most
+    # groups are whole before the other stars are looked at
+    stars = members.where("rid <> rep").groupBy(F.col("rid").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("_s"))
+    stars = stored(stars.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("_s"), "b"))).drop("_s"), "near-stars")
+    edges, labels = None, classes.select("rid", F.col("rid").alias("label")).limit(0)
+    for lo, hi in TIERS:
+        apart = _of(_of(stars.where(F.col("_r").between(lo, hi)), labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("a", "b")
+        more = confirm_by_sets(stored(_close(apart, classes), "near-pairs"), sets, threshold)
+        if more.limit(1).count():
+            edges = more if edges is None else edges.unionByName(more)
+            labels = components(edges)
 
     big = labels.groupBy("label").agg(F.count("*").alias("_m"))
     named = _of(members.where("size > 2"), labels, "rid", "comp").join(big.withColumnRenamed("label", "comp"), "comp", "left")
@@ -220,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = outside.withColumnRenamed("key", "_k").join(others, (F.col("_k") == F.col("key")) & met).select("a", "b")
     late = confirm_by_sets(stored(pairs, "near-pairs"), sets, threshold)
     if late.limit(1).count():
-        labels = components(edges.unionByName(late))
+        labels = components(late if edges is None else edges.unionByName(late))
 
     of = stored(_of(classes.select("sa", "sb", "rid"), labels, "rid", "component_id").select("sa", "sb", "component_id"), "near-of")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
