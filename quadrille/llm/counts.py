@@ -35,8 +35,10 @@ def log_probabilities(vocabulary: Vocabulary) -> dict[str, float]:
 class ForwardTrie:
     """Forward scores by prefix. A node's state depends only on its path from the root."""
 
-    def __init__(self, logp: dict[str, float], longest: int, limit: int = TRIE_NODES):
-        self.logp, self.longest, self.limit = logp, longest, limit
+    def __init__(self, logp: dict[str, float], limit: int = TRIE_NODES):
+        self.limit = limit
+        # all ends of pieces: a lookup that finds none of them ends the search backwards
+        self.logp: dict[str, float | None] = {p[i:]: None for p in logp for i in range(1, len(p))} | logp
         self.clear()
 
     def clear(self) -> None:
@@ -57,8 +59,10 @@ class ForwardTrie:
             if below is None:
                 n_bytes = len(c.encode("utf-8", "surrogatepass"))
                 best, fewest = score[node] + BYTE * n_bytes, number[node] + n_bytes
-                for j in range(max(0, i - self.longest), i):
-                    p = logp.get(token[j:i])
+                for j in range(i - 1, -1, -1):
+                    p = logp.get(token[j:i], 0)
+                    if p == 0:
+                        break
                     if p is not None:
                         at = path[j]
                         s, k = score[at] + p, number[at] + 1
@@ -87,7 +91,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         vocabulary = Vocabulary(proto)
-        trie = ForwardTrie(log_probabilities(vocabulary), vocabulary.longest)
+        trie = ForwardTrie(log_probabilities(vocabulary))
         for b in batches:
             words, tokens = [], []
             for text in b.column(1).to_pylist():

@@ -29,32 +29,57 @@ SAMPLE, ROUNDS = 250, 2
 SMOOTH = 0.05
 #: Probability of a character without a piece, the same for every language.
 UNKNOWN = 1e-7
-#: Words remembered by a worker: bounds memory, not results.
-REMEMBERED = 200_000
+#: Words and trie nodes remembered by a worker: bound memory, not results.
+REMEMBERED, NODES = 200_000, 300_000
 REJECT = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def forward(word: str, p: dict[str, tuple[float, ...]], n: int, longest: int) -> tuple[float, ...]:
-    """Log probability of a word in each of ``n`` languages, summed over segmentations."""
-    ways, scale = [(1.0,) * n], 0.0
-    zero = (0.0,) * n
-    for i in range(1, len(word) + 1):
-        acc = list(zero)
-        for j in range(max(0, i - longest), i):
-            q = p.get(word[j:i])
-            if q is not None:
-                w = ways[j]
-                for k in range(n):
-                    acc[k] += w[k] * q[k]
-        if not any(acc):
-            acc = [w * UNKNOWN for w in ways[i - 1]]
-        if max(acc) < 1e-100:  # long words: lift what later positions still read
-            ways[-longest:] = [tuple(x * 1e100 for x in w) for w in ways[-longest:]]
-            acc = [x * 1e100 for x in acc]
-            scale -= 100 * math.log(10)
-        ways.append(tuple(acc))
-    return tuple(math.log(max(x, 1e-300)) + scale for x in ways[-1])
+class Forward:
+    """Log probabilities of words in each of ``n`` languages, summed over segmentations.
+
+    The sums up to a place depend only on the prefix, so they are kept in a trie and
+    shared by all words that begin alike; the trie begins anew at ``NODES`` nodes."""
+
+    def __init__(self, p: dict[str, tuple[float, ...]], n: int):
+        self.n = n
+        # all ends of pieces: a lookup that finds none of them ends the search backwards
+        self.p: dict[str, tuple[float, ...] | None] = {s[i:]: None for s in p for i in range(1, len(s))} | p
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: list[dict[str, int]] = [{}]
+        self.ways: list[tuple[float, ...]] = [(1.0,) * self.n]
+        self.scale: list[int] = [0]  # powers of 1e-100
+
+    def score(self, word: str) -> tuple[float, ...]:
+        if len(self.ways) > NODES:
+            self.clear()
+        child, ways, scale, p, n = self.child, self.ways, self.scale, self.p, self.n
+        path, node = [0], 0
+        for i, c in enumerate(word, 1):
+            below = child[node].get(c)
+            if below is None:
+                acc, lift = [0.0] * n, scale[node]
+                for j in range(i - 1, -1, -1):
+                    q = p.get(word[j:i], 0)
+                    if q == 0:
+                        break
+                    if q is not None:
+                        at = path[j]
+                        up = 1.0 if scale[at] == lift else 1e100 ** (lift - scale[at])
+                        acc = [a + w * x * up for a, w, x in zip(acc, ways[at], q)]
+                if not any(acc):
+                    acc = [w * UNKNOWN for w in ways[node]]
+                if max(acc) < 1e-100:
+                    acc, lift = [x * 1e100 for x in acc], lift + 1
+                below = child[node][c] = len(ways)
+                child.append({})
+                ways.append(tuple(acc))
+                scale.append(lift)
+            node = below
+            path.append(node)
+        return tuple(math.log(max(x, 1e-300)) - scale[node] * 100 * math.log(10) for x in ways[node])
 
 
 def expected(word: str, p: dict[str, float], longest: int) -> dict[str, float]:
@@ -145,8 +170,8 @@ def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc
     shared = spark.sparkContext.broadcast(p)  # vocabulary x languages
 
     def run(batches):
-        p, n = shared.value, len(langs)
-        longest = max(map(len, p), default=1)
+        n = len(langs)
+        trie = Forward(shared.value, n)
         known: dict = {}
         for b in batches:
             pred, score = [], []
@@ -162,7 +187,7 @@ def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc
                     if x is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        x = known[w] = forward(MARK + w, p, n, longest)
+                        x = known[w] = trie.score(MARK + w)
                     for i in range(n):
                         total[i] += k * x[i]
                 best = max(range(n), key=lambda i: (total[i], -i))
