@@ -3,6 +3,7 @@ functions, evaluated in the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -59,7 +60,6 @@ def word_ngrams(tokens: Column, longest: int = 3) -> Column:
 
 def strip_accents(text: Column | str) -> Column:
     """NFKD without combining marks; Spark has no built-in normalisation."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
