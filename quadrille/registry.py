@@ -202,11 +202,11 @@ def dense_topk(spark, d):
     return se.top_k(scores, score="score_dense", tie="row_id")
 
 
-@query(_DOT + """, f AS (SELECT *, CAST(row_id % 7 AS DOUBLE) AS sp FROM s),
+@query(_DOT + """, f AS (SELECT generic, endpoint, row_id, round(d, 5) AS d, CAST(row_id % 7 AS DOUBLE) AS sp FROM s),
 z AS (SELECT generic, endpoint, row_id, round(0.7 * (sp - avg(sp) OVER w) / (stddev_pop(sp) OVER w + 1e-9) + 0.3 * (d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-9), 4) AS score_fused FROM f WINDOW w AS (PARTITION BY endpoint))
 SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY score_fused DESC, row_id)::INTEGER AS rank FROM z QUALIFY rank <= 3""")
 def hybrid_topk(spark, d):
-    scores = _vectors(spark, d)[1].withColumns({"score_sparse": (F.col("row_id") % 7).cast("double"), "usage_count": F.lit(0)})
+    scores = _vectors(spark, d)[1].withColumns({"score_dense": F.round("score_dense", 5), "score_sparse": (F.col("row_id") % 7).cast("double"), "usage_count": F.lit(0)})
     fused = se.fuse(scores).withColumn("score_fused", F.round("score_fused", 4))
     return se.top_k(fused, tie="row_id").select("generic", "endpoint", "row_id", "score_fused", "rank")
 

@@ -9,7 +9,7 @@ from ..functions.text import first_of, last_path_segment, long_or_zero
 #: A superset of the accepted shapes; what is absent reads as null.
 _PREDICATE = "struct<iri:string,usage_count:string,local_name:string>"
 _DOCUMENT = f"version string, id string, endpoints array<struct<id:string,url:string,predicates:array<{_PREDICATE}>>>, predicates array<{_PREDICATE}>"
-_STRINGS = "endpoints array<struct<id:string,predicates:array<string>>>, predicates array<string>"
+_STRINGS = "id string, endpoints array<struct<id:string,predicates:array<string>>>, predicates array<string>"
 
 
 class UnknownShape(ValueError):
@@ -27,11 +27,13 @@ def predicate_records(spark: SparkSession, path: str, endpoint: str | None = Non
         return F.coalesce(F.get(named, F.lit(0)), F.get(f"{doc}.endpoints", F.lit(0)))
 
     raw = raw.withColumns({"e": chosen("d"), "te": chosen("t")})
-    if raw.where("e is null and d.predicates is null and t.predicates is null").limit(1).count():
+    if raw.where("e is null and te is null and d.predicates is null and t.predicates is null").limit(1).count():
         raise UnknownShape(path)
-    name = F.coalesce(F.lit(endpoint), F.col("e.id"), F.col("d.id"), F.lit(""))
-    objects = F.coalesce("e.predicates", "d.predicates")
-    strings = F.transform(F.coalesce("te.predicates", "t.predicates"), lambda s: F.when(~s.startswith("{"), s))
+    name = F.coalesce(F.lit(endpoint), F.col("e.id"), F.col("te.id"), F.col("d.id"), F.col("t.id"), F.lit(""))
+    strings = F.coalesce("te.predicates", "t.predicates")
+    # a list of strings does not parse as objects: then the strings stand alone
+    objects = F.coalesce("e.predicates", "d.predicates", F.transform(strings, lambda s: F.lit(None).cast(_PREDICATE)))
+    strings = F.transform(strings, lambda s: F.when(~s.startswith("{"), s))
     both = F.transform(F.arrays_zip(objects.alias("o"), strings.alias("s")), lambda x: F.struct(F.coalesce(x["o"]["iri"], x["s"]).alias("iri"), x["o"]["usage_count"].alias("n"), x["o"]["local_name"].alias("l")))
     rows = raw.select(name.alias("endpoint"), F.explode(both).alias("p"))
     return records(rows.select("endpoint", F.col("p.iri").alias("iri"), F.col("p.n").alias("usage_count"), F.col("p.l").alias("local_name")))
