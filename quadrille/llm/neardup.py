@@ -10,7 +10,8 @@ within the distance. Candidates are confirmed on whole sets.
 
 Equal sets are one class. Inside a bucket of equal keys no pairs are enumerated: each
 member meets the smallest one; confirmed links form components; then only members
-outside their bucket's main component meet the members of other components. So a group
+outside their bucket's main component meet the members of other components, and of
+those within the distance only pairs that share one of their rarest items. So a group
 of n near copies costs about n confirmations, and no link between components is lost.
 
 Rows with a null id are linked with nothing. Rows that repeat an id stay, each with the
@@ -185,6 +186,26 @@ def _of(members: DataFrame, labels: DataFrame, column: str, name: str) -> DataFr
     return members.join(got, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
 
+def _by_prefix(members: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: pairs of ``members`` (``rid, comp``) of different components that are
+    within the distance and can reach the threshold.
+
+    Items in one order, rarest first: sets at the threshold share an item within the
+    first ``n - least overlap + 1`` of each, at places that leave enough items behind.
+    The edits of near copies are rare, so members too far from all others share none."""
+    t = round(threshold * 100)
+    whole_set = stored(members.join(sets, "rid").select("rid", "comp", F.explode("items").alias("item"), F.size("items").alias("n")), "near-items")
+    often = whole_set.groupBy("item").agg(F.count("*").alias("_f")).where("_f > 1")
+    # an item of one set only meets nothing: the rest follow the n - count(*) such items
+    common = whole_set.join(often, "item").groupBy("rid", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("_f", "item"))).alias("_o"))
+    placed = common.select("rid", "comp", "n", F.posexplode(F.expr(f"slice(_o, 1, greatest(0, n - cast(ceil({t} * n / 100.0) as int) + 1 - (n - size(_o))))")).alias("_p", "_e"), (F.col("n") - F.size("_o")).alias("_alone"))
+    placed = stored(placed.select("rid", "comp", "n", F.col("_e.item").alias("item"), (F.col("n") - F.col("_alone") - F.col("_p")).alias("left")), "near-prefix")
+    x, y = (placed.select("item", *(F.col(c).alias(c + end) for c in ("rid", "comp", "n", "left"))) for end in "xy")
+    enough = F.expr(f"item = _i and compx <> compy and ridx < ridy and 100L * nx >= {t}L * ny and 100L * ny >= {t}L * nx and {100 + t}L * least(leftx, lefty) >= {t}L * (nx + ny)")
+    found = x.join(y.withColumnRenamed("item", "_i"), enough).select(F.col("ridx").alias("a"), F.col("ridy").alias("b")).distinct()
+    return _close(found, classes)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per input row."""
     rows = stored(sketch(docs, id_col, text_col), "near-rows")
@@ -217,10 +238,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = stored(named.join(stored(mixed, "near-mixed"), "key").join(classes.select("rid", "sig"), "rid"), "near-mixed")
     # pairs with the bucket's smallest member have been met as stars
     outside = mixed.where("comp <> main and rid <> rep").select("key", F.col("rid").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("x"))
-    others = mixed.where("rid <> rep").select("key", "slot", F.col("rid").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("y"), "main")
-    met = F.expr("ca <> cb and (cb = main or a < b)") & (F.col("slot") == _first_slot("x", "y")) & (distance("x", "y") <= DISTANCE)
-    # split anew by key, so that a large bucket can be dealt to several tasks
-    pairs = outside.withColumnRenamed("key", "_k").join(others, (F.col("_k") == F.col("key")) & met).select("a", "b")
+    others = mixed.where("rid <> rep").select(F.col("key").alias("_k"), "slot", F.col("rid").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("y"), "main")
+    met = F.expr("key = _k and ca <> cb and (cb = main or a < b)") & (F.col("slot") == _first_slot("x", "y")) & (distance("x", "y") <= DISTANCE)
+    # only who meets another component within the distance; a row each, not a row a pair
+    near = outside.join(others, met, "left_semi").select(F.col("a").alias("rid")).union(others.join(outside, met, "left_semi").select(F.col("b").alias("rid"))).distinct()
+    pairs = _by_prefix(stored(_of(near, labels, "rid", "comp"), "near-met"), sets, classes, threshold)
     late = confirm_by_sets(stored(pairs, "near-pairs"), sets, threshold)
     if late.limit(1).count():
         labels = components(late if edges is None else edges.unionByName(late))
