@@ -10,9 +10,9 @@ within the distance. Candidates are confirmed on whole sets.
 
 Equal sets are one class. Inside a bucket of equal keys no pairs are enumerated: each
 member meets the smallest one; confirmed links form components; then only members
-outside their bucket's main component meet the members of other components, and of
-those within the distance only pairs that share one of their rarest items. So a group
-of n near copies costs about n confirmations, and no link between components is lost.
+of buckets with several components meet those of other components, and of these
+only pairs that share one of their rarest items. So a group of n near copies costs
+about n confirmations, and no link between components is lost.
 
 Rows with a null id are linked with nothing. Rows that repeat an id stay, each with the
 component of its text. An empty table gives an empty result; only id and text are read.
@@ -136,14 +136,13 @@ def whole_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """``key, slot, rid``: each chunk under each way to leave one of its symbols out."""
-    out, slot = [], 0
+    """``key, rid``: each chunk under each way to leave one of its symbols out."""
+    out: list[Column] = []
     for c, n in enumerate(_SIZES):
         for j in range(n):
             rest = sum(255 << (8 * i) for i in range(n) if i != j)
-            out.append(F.struct(F.lit(slot).cast("short").alias("slot"), F.xxhash64(F.lit(slot), F.col("sig")[c].bitwiseAND(F.lit(rest))).alias("key")))
-            slot += 1
-    return classes.select("rid", F.inline(F.array(*out))).select("key", "slot", "rid")
+            out.append(F.xxhash64(F.lit(len(out)), F.col("sig")[c].bitwiseAND(F.lit(rest))))
+    return classes.select(F.explode(F.array(*out)).alias("key"), "rid")
 
 
 def _differing(x: Column, y: Column) -> Column:
@@ -158,22 +157,6 @@ def distance(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, _differing), F.lit(0), lambda a, b: a + b)
 
 
-def _first_slot(x: str, y: str) -> Column:
-    """The first slot at which two signatures within the distance meet: of the first
-    chunk with at most one differing symbol, the way that leaves that symbol out."""
-    starts = np.cumsum([0, *_SIZES[:-1]])
-    slot = F.lit(None).cast("int")
-    for c in reversed(range(CHUNKS)):
-        a, b = F.col(x)[c], F.col(y)[c]
-        # the differing byte's place: of the lowest differing bit
-        v = a.bitwiseXOR(b)
-        at = F.when(v == 0, 0)
-        for j in range(_SIZES[c]):
-            at = at.when(v.bitwiseAND(F.lit(255 << (8 * j))) == v, j)
-        slot = F.when(_differing(a, b) <= 1, F.lit(int(starts[c])) + at).otherwise(slot)
-    return slot
-
-
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose signatures are within the distance."""
     x = classes.select(F.col("rid").alias("a"), F.col("sig").alias("x"))
@@ -231,18 +214,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             edges = more if edges is None else edges.unionByName(more)
             labels = components(edges)
 
-    big = labels.groupBy("label").agg(F.count("*").alias("_m"))
-    named = _of(members.where("size > 2"), labels, "rid", "comp").join(big.withColumnRenamed("label", "comp"), "comp", "left")
-    named = stored(named.select("key", "slot", "rid", "rep", "comp", F.coalesce("_m", F.lit(1)).alias("_m")), "near-named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max(F.struct("_m", "comp")).alias("_main")).where("_lo <> _hi").select("key", F.col("_main.comp").alias("main"))
-    mixed = stored(named.join(stored(mixed, "near-mixed"), "key").join(classes.select("rid", "sig"), "rid"), "near-mixed")
-    # pairs with the bucket's smallest member have been met as stars
-    outside = mixed.where("comp <> main and rid <> rep").select("key", F.col("rid").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("x"))
-    others = mixed.where("rid <> rep").select(F.col("key").alias("_k"), "slot", F.col("rid").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("y"), "main")
-    met = F.expr("key = _k and ca <> cb and (cb = main or a < b)") & (F.col("slot") == _first_slot("x", "y")) & (distance("x", "y") <= DISTANCE)
-    # only who meets another component within the distance; a row each, not a row a pair
-    near = outside.join(others, met, "left_semi").select(F.col("a").alias("rid")).union(others.join(outside, met, "left_semi").select(F.col("b").alias("rid"))).distinct()
-    pairs = _by_prefix(stored(_of(near, labels, "rid", "comp"), "near-met"), sets, classes, threshold)
+    named = stored(_of(members.where("size > 2").select("key", "rid"), labels, "rid", "comp"), "near-named")
+    several = named.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
+    mixed = named.join(several, "key", "left_semi")
+    # all pairs within the distance share a bucket, and if not of one component a mixed one
+    pairs = _by_prefix(stored(mixed.select("rid", "comp").distinct(), "near-mixed"), sets, classes, threshold)
     late = confirm_by_sets(stored(pairs, "near-pairs"), sets, threshold)
     if late.limit(1).count():
         labels = components(late if edges is None else edges.unionByName(late))
