@@ -255,3 +255,17 @@ def test_pipeline(spark):
     assert docs.columns == spark.read.parquet(f"{d}/documents.parquet").columns
     ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) > 100
+
+
+def test_rarest_items_lose_no_pair_at_the_threshold(spark):
+    r = random.Random(5)
+    sets = {}
+    for i in range(120):  # near copies of a few sets, many of them about the threshold
+        base = range(1000 * (i % 4), 1000 * (i % 4) + 10 + 15 * (i % 3))
+        sets[i] = sorted({x if r.random() > 0.1 else r.randrange(10**6) for x in base})
+    rows = spark.createDataFrame([(i, s) for i, s in sets.items()], "rid long, items array<long>")
+    classes = spark.createDataFrame([(i, [0] * neardup.CHUNKS) for i in sets], "rid long, sig array<long>")
+    members = spark.createDataFrame([(i, i) for i in sets], "rid long, comp long")
+    got = [(x["a"], x["b"]) for x in neardup._by_prefix(members, rows, classes, 0.8).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert want and want <= {tuple(sorted(p)) for p in got} and len(got) == len(set(got))
