@@ -26,13 +26,13 @@ def near(spark, docs, sf_dir):
 
 
 def mixing(spark, docs, sf_dir):
-    """Each row as often as the mix takes it."""
-    return mixed_documents(docs)
+    """Each row as often as the mix takes it, its copies numbered."""
+    return mixed_documents(docs, copy_col="copy")
 
 
 def pieces(spark, docs, sf_dir):
-    """Piece ids of every row of the mix, and whether they decode to its text."""
-    return encode_documents(docs)
+    """Piece ids of every row of the mix, copies split each on its own, and whether they decode to its text."""
+    return encode_documents(docs, copy_col="copy")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixing", mixing), ("pieces", pieces)]

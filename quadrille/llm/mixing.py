@@ -108,14 +108,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return taken.select(cols).unionByName(zero.select(cols))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, copy_col: str | None = None) -> DataFrame:
     """The documents of the mix with all their columns, each repeated as often as the
-    mix takes it (taken words over size, rounded); what it takes less than half of goes."""
+    mix takes it (taken words over size, rounded); what it takes less than half of goes.
+    ``copy_col`` names a further column that numbers the copies of a row from 1."""
     times = mix(docs.withColumn("_key", F.xxhash64(whole("text"))), keep=("_key",)).select(F.col("doc_id").alias("_id"), "_key", F.expr("cast(round(taken / nullif(size, 0)) as int)").alias("_times")).where("_times > 0")
     times = stored(times.groupBy("_id", "_key").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")), "mix-times")
     # rows that repeat id and text share the sum of their copies
     own = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole("text")) == F.col("_key")))
-    return own.withColumn("_n", F.explode(F.expr("sequence(1, cast(ceil(_times / _rows) as int))"))).select(docs.columns)
+    return own.withColumn("_n", F.explode(F.expr("sequence(1, cast(ceil(_times / _rows) as int))"))).select(*docs.columns, *([F.col("_n").alias(copy_col)] if copy_col else []))
 
 
 def op9(spark, sf_dir):

@@ -1,9 +1,11 @@
 """Merge-type piece encoding with seeded dropout, and its lossless decoding.
 
-Characters are merged pairwise, highest piece score first, then leftmost. Each candidate
-merge is skipped when a hash keyed by seed, variant, the pair and its place falls below
-``dropout``; so a seed fixes all segmentations, and documents of different variants
-(a hash of the id) split the same words differently. Characters without a piece, and the
+Characters are merged pairwise, highest piece score first, then leftmost. Each merge that
+comes up is skipped when a hash keyed by seed, document (id, text and number of the copy),
+place of the word in the text and number of the merge falls below ``dropout``; so a seed
+fixes all segmentations, and every occurrence of a word is split on its own. What is
+remembered is the outcome of a word under given skips, which does not depend on who asks.
+Characters without a piece, and the
 space mark itself, are written as UTF-8 bytes. Without dropout the ids equal those of
 the public model. Null and empty text have no ids and decode to the empty string. An
 empty table gives an empty result; rows that repeat are encoded each.
@@ -22,11 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import documents, small_batches, whole
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 1
+DROPOUT, SEED = 0.1, 17
 _M = (1 << 64) - 1
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-#: Words remembered by a worker: bounds memory, not results.
-REMEMBERED = 500_000
+#: Outcomes remembered by a worker, and units encoded at a time: bound memory, not results.
+REMEMBERED, UNITS = 500_000, 200_000
 #: Symbols up to which words are merged together, and how many words at a time.
 SHORT, TOGETHER = 48, 8192
 #: The space mark as it stands in a text, kept apart from spaces until encoded.
@@ -38,7 +40,7 @@ class Codec:
     def __init__(self, proto: bytes, dropout: float = DROPOUT, seed: int = SEED):
         self.v = Vocabulary(proto)
         self.limit, self.seed = int(dropout * 2**64), seed
-        self.known: dict[int, dict[str, tuple[int, ...]]] = {}
+        self._forget()
         self.bytes = {i: p.replace(MARK, " ").encode() for i, p in self.v.piece.items()} | {i: bytes([b]) for i, b in self.v.of_byte.items()}
         self._tables()
 
@@ -60,17 +62,25 @@ class Codec:
         ids = list(pieces.values())
         self.rank[ids] = np.unique([self.v.score[p] for p in pieces], return_inverse=True)[1]
 
-    def _skips(self, key: int, at: int, left: int, piece: int) -> bool:
-        """Keyed hash of a candidate: its place, the length of its left part, the piece."""
-        h = (key ^ piece * 0x9E3779B97F4A7C15 ^ at * 0xC2B2AE3D27D4EB4F ^ left * 0x165667B19E3779F9) & _M
+    def _forget(self) -> None:
+        """Outcomes by number: the word and its skips, the ids, how many merges came up;
+        numbers by word, and by outcome and the next skip (``outcome << 8 | merge``)."""
+        self.asked: list[tuple[str, tuple[int, ...]]] = [("", ())]
+        self.ids: list[tuple[int, ...]] = [tuple(self.v.byte[b] for b in _ESCAPED.encode())]
+        self.tried = np.zeros(1, np.int64)
+        self.known: dict[str, int] = {"": 0}
+        self.after: dict[int, int] = {}
+
+    def _skips(self, key: int, at: int) -> bool:
+        """Keyed hash of the merge that comes up as number ``at``."""
+        h = (key ^ (at + 1) * 0xC2B2AE3D27D4EB4F) & _M
         h = (h ^ h >> 31) * 0xD6E8FEB86659FD93 & _M
         h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _M
         return (h ^ h >> 32) < self.limit
 
-    def _skips_each(self, key: int, at: np.ndarray, left: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """``_skips`` of many candidates."""
-        at, left, piece = (x.astype(np.uint64) for x in (at, left, piece))
-        h = np.uint64(key) ^ piece * _K[0] ^ at * _K[1] ^ left * _K[2]
+    def _skips_each(self, key: np.ndarray, at: int) -> np.ndarray:
+        """``_skips`` of many keys."""
+        h = key ^ np.uint64((at + 1) * 0xC2B2AE3D27D4EB4F & _M)
         h = (h ^ h >> np.uint64(31)) * _K[3]
         h = (h ^ h >> np.uint64(32)) * _K[3]
         h ^= h >> np.uint64(32)
@@ -79,14 +89,53 @@ class Codec:
     def _key(self, variant: int) -> int:
         return (self.seed * 0x9FB21C651E98DF25 + variant * 0xE7037ED1A0B428DB) & _M
 
-    def units(self, words: list[str], variant: int) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct words: short ones many at a time, of like length together."""
-        out = {w: self._ids(self.long(w, variant)) for w in words if len(w) > SHORT}
-        short = sorted((w for w in words if len(w) <= SHORT), key=len)
-        for at in range(0, len(short), TOGETHER):
-            some = short[at : at + TOGETHER]
-            out.update(zip(some, self.many(some, variant), strict=True))
-        return out
+    def _keys(self, variant: int, n: int) -> np.ndarray:
+        """A key for each of the ``n`` units of a text."""
+        h = np.uint64(self._key(variant)) ^ (np.arange(1, n + 1, dtype=np.uint64) * _K[0])
+        h = (h ^ h >> np.uint64(32)) * _K[2]
+        return h ^ h >> np.uint64(29)
+
+    def _ask(self, new: list[tuple[str, tuple[int, ...]]]) -> range:
+        """Numbers of outcomes not yet known; words of like length are merged together."""
+        first, ids, tried = len(self.ids), [()] * len(new), np.zeros(len(new), np.int64)
+        order = sorted(range(len(new)), key=lambda k: len(new[k][0]))
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            skips = np.zeros((len(some), 3 * SHORT), bool)
+            where = [(r, t) for r, k in enumerate(some) for t in new[k][1]]
+            if where:
+                skips[tuple(np.array(where).T)] = True
+            found, n = self._merged([new[k][0] for k in some], skips)
+            tried[some] = n
+            for k, x in zip(some, found, strict=True):
+                ids[k] = x
+        self.asked += new
+        self.ids += ids
+        self.tried = np.concatenate([self.tried, tried])
+        return range(first, first + len(new))
+
+    def _outcomes(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """Numbers of the outcomes of short words, each under its own key: first without
+        skips, then with the first merge its key skips, the second and so on."""
+        new = list(set(words) - self.known.keys())
+        self.known.update(zip(new, self._ask([(w, ()) for w in new]), strict=True))
+        got = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        who, at = np.arange(len(words) if self.limit else 0), np.zeros(len(words), np.int64)
+        while len(who):
+            end, skip = self.tried[got[who]], np.full(len(who), -1)
+            open_ = np.nonzero(at[who] < end)[0]
+            for t in range(int(end.max())):
+                open_ = open_[(skip[open_] < 0) & (end[open_] > t)]
+                ready = open_[at[who[open_]] <= t]
+                skip[ready[self._skips_each(keys[who[ready]], t)]] = t
+            who, skip = who[skip >= 0], skip[skip >= 0]
+            asked, of = np.unique(got[who] << 8 | skip, return_inverse=True)
+            asked = asked.tolist()
+            new = [k for k in asked if k not in self.after]
+            self.after.update(zip(new, self._ask([(self.asked[k >> 8][0], (*self.asked[k >> 8][1], k & 255)) for k in new]), strict=True))
+            got[who] = np.array([self.after[k] for k in asked], np.int64)[of]
+            at[who] = skip + 1
+        return got
 
     def _ids(self, symbols) -> tuple[int, ...]:
         piece_id, out = self.v.id, []
@@ -99,10 +148,19 @@ class Codec:
         return tuple(out)
 
     def many(self, words: list[str], variant: int) -> list[tuple[int, ...]]:
-        """The merges of ``long``, a step of every word at once. A row is a word, a column
-        the place where a symbol begins; ``best`` is the rank of the candidate merge of a
-        symbol with the one after it, -1 where there is none."""
-        n, key, none = np.fromiter(map(len, words), np.int64, len(words)), self._key(variant), -1
+        """Ids of words under the key of ``variant``."""
+        key = np.array([self._key(variant)], np.uint64)
+        most = 3 * max(map(len, words))
+        skips = np.array([self._skips_each(key, t)[0] for t in range(most)])
+        return self._merged(words, np.tile(skips & bool(self.limit), (len(words), 1)))[0]
+
+    def _merged(self, words: list[str], skips: np.ndarray) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """The merges of ``long``, a step of every word at once: the ids, and how many
+        merges came up. A row is a word, a column the place where a symbol begins; ``best``
+        is the rank of the candidate merge of a symbol with the one after it, -1 where
+        there is none. ``skips`` has the merges to skip, by their number."""
+        n, none = np.fromiter(map(len, words), np.int64, len(words)), -1
+        tried = np.zeros(len(words), np.int64)
         width = int(n.max())
         inside = np.arange(width) < n[:, None]
         sym = np.zeros((len(words), width + 1), np.int64)
@@ -117,9 +175,6 @@ class Codec:
             at = np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)
             hit = self.pairs[at] == both
             r, i, piece = r[hit], i[hit], self.merged[at[hit]]
-            if self.limit:
-                stays = ~self._skips_each(key, i, size[r, i], piece)
-                r, i, piece = r[stays], i[stays], piece[stays]
             best[r, i], into[r, i] = self.rank[piece], piece
 
         offer(*np.nonzero(np.arange(1, width + 1) < n[:, None]))
@@ -129,6 +184,10 @@ class Codec:
             i = of.argmax(axis=1)
             more = of[np.arange(len(rows)), i] != none
             rows, i = rows[more], i[more]
+            gone = skips[rows, tried[rows]]
+            tried[rows] += 1
+            best[rows[gone], i[gone]] = none
+            every, (rows, i) = rows, (rows[~gone], i[~gone])
             j = after[rows, i]
             k = after[rows, j]
             sym[rows, i] = into[rows, i]
@@ -140,19 +199,22 @@ class Codec:
             has_left, has_right = left >= 0, k < n[rows]
             best[rows[has_left], left[has_left]] = none
             offer(np.concatenate([rows[has_left], rows[has_right]]), np.concatenate([left[has_left], i[has_right]]))
+            rows = every
 
         flat = sym[:, :width][inside].tolist()
         ends = inside.sum(axis=1).cumsum().tolist()
         out = [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         for r in np.nonzero((inside & ~self.is_piece[sym[:, :width]]).any(axis=1))[0].tolist():
             out[r] = self._ids([words[r][a : a + size[r, a]] for a in np.nonzero(inside[r])[0].tolist()])
-        return out
+        return out, tried
 
     def long(self, word: str, variant: int) -> list[str]:
+        return self._long(word, self._key(variant))
+
+    def _long(self, word: str, key: int) -> list[str]:
         """Agenda of merges, a heap, over a linked list of symbols."""
-        piece_id, score = self.v.id, self.v.score
+        score, tried = self.v.score, 0
         limit, skips, push = self.limit, self._skips, heapq.heappush
-        key = self._key(variant)
         sym: list = list(word)
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -164,7 +226,7 @@ class Codec:
                 return
             both = sym[i] + sym[j]
             s = score.get(both)
-            if s is not None and not (limit and skips(key, i, len(sym[i]), piece_id[both])):
+            if s is not None:
                 push(agenda, (-s, i, j, both))
 
         for i in range(n - 1):
@@ -173,6 +235,9 @@ class Codec:
             _, i, j, both = heapq.heappop(agenda)
             if sym[i] is None or sym[j] is None or after[i] != j or sym[i] + sym[j] != both:
                 continue
+            tried += 1
+            if limit and skips(key, tried - 1):
+                continue
             sym[i], sym[j] = both, None
             after[i] = after[j]
             if after[i] < n:
@@ -190,29 +255,44 @@ class Codec:
         return out
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
-        return self.encode_all([text], variant)[0]
-
-    def encode_all(self, texts: list[str], variant: int = 0) -> list[list[int]]:
-        split = [self._split(t) for t in texts]
-        known = self.known.setdefault(variant, {})
-        words = set().union(*split)
-        new = words - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
-        if "" in new:
-            new.discard("")
-            known[""] = tuple(self.v.byte[b] for b in _ESCAPED.encode())
-        known.update(self.units(list(new), variant))
-        return [list(chain.from_iterable(map(known.__getitem__, units))) for units in split]
+        return self.encode_all([text], [variant])[0]
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[list[int]]:
+        """Ids of texts, each under the key of its own variant."""
+        out: list[list[int]] = []
+        split, held = [], 0
+        for k, text in enumerate(texts):
+            split.append(self._split(text))
+            held += len(split[-1])
+            if held >= UNITS or k == len(texts) - 1:
+                out += self._encoded(split, variants[len(out) : k + 1])
+                split, held = [], 0
+        return out
+
+    def _encoded(self, split: list[list[str]], variants: list[int]) -> list[list[int]]:
+        if len(self.ids) > REMEMBERED:
+            self._forget()
+        words = list(chain.from_iterable(split))
+        if not words:
+            return [[] for _ in split]
+        keys = np.concatenate([self._keys(v, len(u)) for v, u in zip(variants, split, strict=True)])
+        much = {w for w in set(words) if len(w) > SHORT}
+        long = [k for k, w in enumerate(words) if w in much] if much else []
+        got = self._outcomes(["" if w in much else w for w in words] if much else words, keys)
+        ids = list(map(self.ids.__getitem__, got.tolist()))
+        for k in long:
+            ids[k] = self._ids(self._long(words[k], int(keys[k])))
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [list(chain.from_iterable(ids[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text else text  # the mark put before the first word
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """``doc_id, n_tokens, ids, lossless``, a row per input row; no shuffle."""
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, copy_col: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids, lossless``, a row per input row; no shuffle. Rows that
+    repeat id and text are split alike unless ``copy_col`` tells them apart."""
     spark = docs.sparkSession
     small_batches(spark)
     proto = model_bytes(spark, model)
@@ -221,16 +301,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         codec = Codec(proto, dropout, seed)
         for b in batches:
             texts, of = b.column(1).to_pylist(), b.column(2).to_pylist()
-            ids: list = [None] * len(texts)
-            for k in set(of):
-                at = [i for i, x in enumerate(of) if x == k]
-                for i, found in zip(at, codec.encode_all([texts[i] for i in at], k), strict=True):
-                    ids[i] = found
+            ids = codec.encode_all(texts, of)
             same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
 
     kind = dict(docs.dtypes)[id_col]
-    variant = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(variants)).cast("int")
+    copy = [F.col(copy_col)] if copy_col else []
+    variant = F.xxhash64(F.col(id_col).cast("string"), whole(text_col), *copy)
     return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), variant.alias("variant")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 
 

@@ -198,6 +198,26 @@ def test_decode_documents(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a b", 2: ""}
 
 
+def test_equal_words_are_split_on_their_own(spark, proto):
+    """Between documents, within one, and between copies; the same in every run, and as
+    the scalar merges have it."""
+    text = "internationalisation unquestionably " * 20
+    rows = spark.createDataFrame([(1, text, 1), (1, text, 2), (2, text, 1), (None, text, 1)], "doc_id long, text string, copy int")
+    runs = [{(r["doc_id"], tuple(r["ids"])) for r in pieces_dropout.encode_documents(rows.repartition(n), copy_col="copy").collect()} for n in (1, 3)]
+    assert len({ids for _, ids in runs[0]}) == 4 and runs[0] == runs[1]
+    c = pieces_dropout.Codec(proto)
+    units = c._split(text + "x" * 60 + " ﷐")
+    assert len({c._long(w, int(k)).__str__() for w, k in zip(units, c._keys(7, len(units)), strict=True) if w == units[2]}) > 1
+    apart = [i for w, k in zip(units, c._keys(7, len(units)), strict=True) for i in (c._ids(c._long(w, int(k))) if w else c.ids[0])]
+    assert c.encode(text + "x" * 60 + " ﷐", 7) == apart
+
+
+def test_copies_of_the_mix_are_numbered(spark):
+    rows = [(i, "w " * 40, "en", "b" if i else "a") for i in range(40)]
+    got = mixing.mixed_documents(spark.createDataFrame(rows, SCHEMA), copy_col="copy").collect()
+    assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got) > len({r["doc_id"] for r in got})
+
+
 def test_forward_by_brute_force():
     p = {"a": (0.2, 0.1), "b": (0.1, 0.3), "ab": (0.3, 0.05), "ba": (0.05, 0.2)}
 
