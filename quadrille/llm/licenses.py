@@ -1,8 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (at line ends, and after ``.``, ``;`` or ``:`` before white
-space); each is normalised (lower case, runs of anything but letters, digits and dots
-become one space) and looked up in a table of known license sentences. A rule is an
+A text is cut into sentences after ``.``, ``;`` or ``:`` before white space and at lines
+without a letter or digit; other line ends are white space, so that hard-wrapped texts
+are read whole. Sentences are normalised (lower case, runs of anything but letters, digits
+and dots become one space) and looked up in a table of known license sentences. A known
+sentence may also begin at any line and end at any line end, so a notice on lines of its
+own is found without punctuation about it; it then counts as a sentence. A rule is an
 ordered sequence of sentence identifiers; at each place the longest rule that matches
 the identifiers found, unknown sentences apart, wins and its sentences are used up. At most
 ``GAP`` unknown sentences may stand between two sentences of a rule. Null and empty
@@ -34,7 +37,7 @@ SENTENCES = {
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-redistribute": "This program is free software:",
-    "gpl3-version": "either version 3 of the License, or (at your option) any later version.",
+    "gpl3-version": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-warranty": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -64,7 +67,9 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
 )
 
-_CUT = re.compile(r"\n+|(?<=[.;:])\s+")
+_CUT = re.compile(r"(?<=[.;:])\s+")
+#: A list mark before a sentence; those that end in a dot are cut off as it is.
+_MARK = re.compile(r"[^\w(]*\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})\)\s+", re.I)
 _OTHER = re.compile(r"[^\w.]+|_+")
 
 
@@ -72,24 +77,57 @@ def normalise(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip(" .")
 
 
-def _tables(sentences: dict[str, str], rules) -> tuple[dict[str, str], dict[str, list]]:
-    known = {}
-    for name, text in sentences.items():
-        for part in _CUT.split(text):
-            known.setdefault(normalise(part), name)
+def _tables(sentences: dict[str, str], rules) -> tuple[dict[str, list], dict[str, list]]:
+    """Known sentences by first word, long ones first; rules by first identifier."""
+    known: dict[str, list] = {}
+    for name, text in sorted(sentences.items(), key=lambda x: -len(normalise(x[1]))):
+        whole_one = normalise(text)
+        known.setdefault(whole_one.split(" ", 1)[0], []).append((whole_one, name))
     first: dict[str, list] = {}
     for license_id, ids in sorted(rules, key=lambda r: -len(r[1])):
         first.setdefault(ids[0], []).append((license_id, ids))
     return known, first
 
 
-def scan(text: str, known: dict[str, str], first: dict[str, list], gap: int = GAP) -> list[tuple[str, int, int]]:
+def _parts(text: str) -> list[tuple[str, bool]]:
+    """Normalised parts of a text, cut at line ends too, and whether a sentence ends there."""
+    out: list[tuple[str, bool]] = []
+    for line in text.split("\n"):
+        line = line.rstrip()
+        parts = [normalise(x) for x in _CUT.split(_MARK.sub("", line, count=1) if _MARK.match(line) else line)]
+        if not any(parts):
+            if out:
+                out[-1] = (out[-1][0], True)
+            continue
+        ends = [True] * (len(parts) - 1) + [line[-1] in ".;:"]
+        out += [x for x in zip(parts, ends, strict=True) if x[0]]
+    return out
+
+
+def _known_at(parts: list[tuple[str, bool]], i: int, known: dict[str, list]) -> tuple[str | None, int]:
+    """The longest known sentence that begins with part ``i``, and the part after it."""
+    for sentence, name in known.get(parts[i][0].split(" ", 1)[0], ()):
+        so_far, j = parts[i][0], i
+        while sentence.startswith(so_far + " ") and not parts[j][1] and j + 1 < len(parts):
+            j += 1
+            so_far += " " + parts[j][0]
+        if so_far == sentence:
+            return name, j + 1
+    return None, i + 1
+
+
+def scan(text: str, known: dict[str, list], first: dict[str, list], gap: int = GAP) -> list[tuple[str, int, int]]:
     """``(license, first sentence, last sentence)`` of the matches, in text order."""
     found = []  # (place, identifier)
-    for at, sentence in enumerate(_CUT.split(text)):
-        name = known.get(normalise(sentence)) if len(sentence) < 2_000 else None
+    parts, part, at, within = _parts(text), 0, 0, False
+    while part < len(parts):
+        name, after = _known_at(parts, part, known)
         if name:
+            at += within  # an unknown sentence ends before a known one
             found.append((at, name))
+        within = not (name or parts[part][1])
+        at += not within
+        part = after
     out, i = [], 0
     while i < len(found):
         for license_id, ids in first.get(found[i][1], ()):

@@ -265,6 +265,64 @@ def test_licenses():
     assert [x for x, _, _ in licenses.scan(bsd, known, first)] == ["BSD-2-Clause"]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("text, name", [(MIT, "MIT"), (GPL, "GPL-3.0"), (BSD, "BSD-2-Clause"), (BSD + BSD_NAME, "BSD-3-Clause")])
+def test_licenses_as_published(text, name):
+    known, first = licenses._tables(licenses.SENTENCES, licenses.RULES)
+    one_line = text.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n")
+    comment = "".join(f" * {line}".rstrip() + "\n" for line in text.split("\n"))
+    marks = re.sub(r"(?m)^(\d)\.", r"(\1)", text)
+    for t in (text, one_line, comment, marks, text.replace("\n", "\r\n"), text.replace(" ", "  " * 50), "Some heading\n" + text):
+        assert [x for x, _, _ in licenses.scan(t, known, first)] == [name]
+
+
+def test_licenses_on_lines_of_their_own():
+    known, first = licenses._tables(licenses.SENTENCES, licenses.RULES)
+    assert licenses.scan("no stop here\nReleased under the MIT License\nnor here", known, first) == [("MIT", 1, 1)]
+    assert licenses.scan("One. Two:\nthree\nLicensed under CC BY 4.0.", known, first) == [("CC-BY-4.0", 3, 3)]
+    assert licenses.scan("it is not released under the MIT License.", known, first) == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
