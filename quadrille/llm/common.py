@@ -51,6 +51,19 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def text_key(text: Column | str = "text") -> Column:
+    """With the id, the key of a row: rows that share an id, or have none, are told
+    apart by their text."""
+    return F.xxhash64(whole(text))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "_key") -> DataFrame:
+    """Rows of ``docs`` whose id and ``key`` are not in ``gone`` (``doc_id`` and ``key``);
+    null ids equal each other."""
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col(key).alias("_gone_key"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col(key) == F.col("_gone_key")), "left_anti")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Remainder 2 of crc32(doc_id as text) mod 4: rows nothing may be learned from.
     A null id counts as the empty string."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, documents, stored, whole
+from .common import SPACE, documents, stored, text_key, whole, without
 
 #: Code points hashed in the second step.
 PREFIX = 128
@@ -21,8 +21,8 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(whole(text), SPACE, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept``, a row per input row.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False, keep: tuple = ()) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept`` (and ``keep``), a row per input row.
 
     Each step groups what the step before left and lets go of rows that are alone in
     their group; only ids and hashes are shuffled. The full text of surviving rows is
@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids, norm = F.col(id_col).alias("doc_id"), normalised(text_col)
     full = F.sha2(F.col("_norm"), 256).alias("text_sha256")
     head = F.xxhash64(F.substring("_norm", 1, prefix)).alias("_head")
-    rows = docs.select(ids, norm.alias("_norm")).select("doc_id", F.char_length("_norm").alias("_len"), head, *([full] if digest else []))
+    rows = docs.select(ids, norm.alias("_norm"), *keep).select("doc_id", F.char_length("_norm").alias("_len"), head, *([full] if digest else []), *keep)
     rows = stored(rows, "exact-rows")
     alone = lambda df: df.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
 
@@ -43,12 +43,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone_head = rows.join(by_len, "_len", "left_semi").join(by_head, ["_len", "_head"], "left_anti")
     left = rows.join(by_head, ["_len", "_head"], "left_semi")
     if not digest:
-        again = docs.select(ids, norm.alias("_norm")).select("doc_id", F.char_length("_norm").alias("_len"), head, "_norm")
+        again = docs.select(ids, norm.alias("_norm"), *keep).select("doc_id", F.char_length("_norm").alias("_len"), head, "_norm", *keep)
         left = again.join(by_head, ["_len", "_head"], "left_semi").withColumn("text_sha256", full)
-    left = stored(left.select("doc_id", "_len", "_head", "text_sha256"), "exact-left")
+    left = stored(left.select("doc_id", "_len", "_head", "text_sha256", *keep), "exact-left")
     groups = stored(left.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
     grouped = left.join(groups, "text_sha256")
-    cols = ["doc_id", "keep_id", "group_size", *(["text_sha256"] if digest else [])]
+    cols = ["doc_id", "keep_id", "group_size", *(["text_sha256"] if digest else []), *keep]
     out = alone(alone_len).select(cols).unionByName(alone(alone_head).select(cols)).unionByName(grouped.select(cols))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
@@ -56,10 +56,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns; of rows that repeat both id
     and text, one stays."""
-    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    left = docs.join(stored(dropped, "exact-dropped"), F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    return left.dropDuplicates(["doc_id"]) if twice.count() else left
+    keyed = docs.withColumn("_key", text_key(normalised("text")))
+    decided = stored(exact_dedup(keyed, keep=("_key",)), "exact-decided")
+    left = without(keyed, stored(decided.where("not kept").select("doc_id", "_key").distinct(), "exact-dropped"))
+    twice = decided.where("kept and group_size > 1").groupBy("doc_id", "_key").count().where("count > 1").limit(1)
+    return (left.dropDuplicates(["doc_id", "_key"]) if twice.count() else left).select(docs.columns)
 
 
 def op4(spark, sf_dir):

@@ -21,7 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, hash_sample, held_out, small_batches, stored, whole
+from .common import documents, hash_sample, held_out, small_batches, stored, text_key, whole, without
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
 #: Documents of each language to learn from, and rounds of expectation maximisation.
@@ -162,8 +162,8 @@ def learn(docs: DataFrame, model: str = MODEL, sample: int = SAMPLE, rounds: int
     return langs, {s: tuple(p[k][s] for k in langs) for s in pieces}
 
 
-def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score``, a row per input row; no shuffle."""
+def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """``doc_id, lang_pred, score`` (and ``keep``), a row per input row; no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
     langs, p = fitted
@@ -193,17 +193,18 @@ def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc
                 best = max(range(n), key=lambda i: (total[i], -i))
                 pred.append(langs[best])
                 score.append(1 / sum(math.exp(max(-700.0, x - total[best])) for x in total))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], ["doc_id", "lang_pred", "score", *keep])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    kinds = dict(docs.dtypes)
+    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), *keep).mapInArrow(run, ", ".join([f"doc_id {kinds[id_col]}, lang_pred string, score double", *(f"{k} {kinds[k]}" for k in keep)]))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows whose language is known: not ``und``, and likelier than all others together."""
-    named = identify(docs, learn(docs)).where(f"lang_pred = 'und' or score < {REJECT}")
-    gone = stored(named.select(F.col("doc_id").alias("_gone")).distinct(), "lang-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    keyed = docs.withColumn("_key", text_key())
+    named = identify(keyed, learn(docs), keep=("_key",)).where(f"lang_pred = 'und' or score < {REJECT}")
+    gone = stored(named.select("doc_id", "_key").distinct(), "lang-gone")
+    return without(keyed, gone).select(docs.columns)
 
 
 def op7(spark, sf_dir):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import documents, small_batches, stored, whole
+from .common import documents, small_batches, stored, text_key, whole, without
 from .links import components, confirm_by_sets
 
 THRESHOLD = 0.8
@@ -90,8 +90,9 @@ def pack(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n, sa, sb, sig``: set size, the set's 128-bit hash, its signature."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
+    """``doc_id, n, sa, sb, sig`` (and ``keep``): set size, the set's 128-bit hash, its
+    signature."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -109,10 +110,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sigs.append(signature(items, family) if len(items) else np.zeros(SYMBOLS, np.uint8))
             flat = pack(np.array(sigs, np.uint8).reshape(len(sigs), SYMBOLS)).ravel()
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CHUNKS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), sig], ["doc_id", "n", "sa", "sb", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), sig, *batch.columns[2:]], ["doc_id", "n", "sa", "sb", "sig", *keep])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sa long, sb long, sig array<long>")
+    kinds = dict(docs.dtypes)
+    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), *keep).mapInArrow(run, ", ".join([f"doc_id {kinds[id_col]}, n long, sa long, sb long, sig array<long>", *(f"{k} {kinds[k]}" for k in keep)]))
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,9 +190,9 @@ def _by_prefix(members: DataFrame, sets: DataFrame, classes: DataFrame, threshol
     return _close(found, classes)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, a row per input row."""
-    rows = stored(sketch(docs, id_col, text_col), "near-rows")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` (and ``keep``), a row per input row."""
+    rows = stored(sketch(docs, id_col, text_col, keep), "near-rows")
     linked = rows.where("n > 0 and doc_id is not null")
     classes = stored(linked.groupBy("sa", "sb").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "near-classes")
     every = keys(classes)
@@ -224,15 +225,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(late if edges is None else edges.unionByName(late))
 
     of = stored(_of(classes.select("sa", "sb", "rid"), labels, "rid", "component_id").select("sa", "sb", "component_id"), "near-of")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = linked.join(of, ["sa", "sb"]).select("doc_id", "n", "component_id").unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), *keep)
+    out = linked.join(of, ["sa", "sb"]).select("doc_id", "n", "component_id", *keep).unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *keep)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all columns."""
-    gone = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    keyed = docs.withColumn("_key", text_key())
+    gone = stored(near_duplicates(keyed, keep=("_key",)).where("not kept").select("doc_id", "_key").distinct(), "near-gone")
+    return without(keyed, gone).select(docs.columns)
 
 
 def op8(spark, sf_dir):

@@ -323,6 +323,22 @@ def test_licenses_on_lines_of_their_own():
     assert licenses.scan("it is not released under the MIT License.", known, first) == []
 
 
+@pytest.mark.parametrize("shared", [None, 5])
+def test_stages_decide_by_row(spark, shared):
+    """One row with the id ``shared`` goes, the others with that id and texts of their
+    own stay; of rows that repeat id and text, exact keeps one."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 300 and lang = 'en'").orderBy("doc_id").limit(4)
+    a, b, c, _ = [" ".join(dict.fromkeys(r["text"].split())) for r in d.collect()]
+    docs = lambda *rows: spark.createDataFrame([(i, t, "en", "a") for i, t in rows], SCHEMA)
+    left = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    want = sorted([(1, a), (shared or 0, b), (shared or 0, c)])
+    assert left(exact.drop_copies(docs((1, a), (shared, a), (shared, b), (shared, c), (shared, c)))) == want
+    assert left(language.keep_identified(docs((1, a), (shared, "123"), (shared, b), (shared, c)))) == want
+    if shared:  # null ids are never near copies
+        near = a.replace(a.split()[5], "edited", 1)
+        assert left(neardup.drop_near_copies(docs((1, a), (shared, near), (7, c)))) == sorted([(1, a), (7, c)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
