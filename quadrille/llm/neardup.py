@@ -117,8 +117,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> Dat
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, items`` of the classes in ``needed`` (``rid, sa, sb``)."""
-    rows = docs.select(F.col(id_col).alias("rid"), whole(text_col).alias("text")).join(needed.select("rid"), "rid", "left_semi")
+    """``rid, items`` of the classes in ``needed`` (``rid, doc, sa, sb``)."""
+    rows = docs.select(F.col(id_col).alias("doc"), whole(text_col).alias("text")).join(needed.select("doc"), "doc", "left_semi")
 
     def run(batches):
         import xxhash
@@ -130,10 +130,10 @@ def whole_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
             half = lambda a, b: pa.array([int.from_bytes(d[a:b], "little", signed=True) for d in digest], pa.int64())  # noqa: B023, E731
             ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
             flat = np.concatenate(items).view(np.int64) if items else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), half(0, 8), half(8, 16), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rid", "sa", "sb", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), half(0, 8), half(8, 16), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "sa", "sb", "items"])
 
-    sets = rows.mapInArrow(run, f"rid {dict(rows.dtypes)['rid']}, sa long, sb long, items array<long>")
-    return sets.join(needed, ["rid", "sa", "sb"], "left_semi").select("rid", "items")
+    sets = rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, sa long, sb long, items array<long>")
+    return sets.join(needed, ["doc", "sa", "sb"]).select("rid", "items")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -194,13 +194,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id, kept`` (and ``keep``), a row per input row."""
     rows = stored(sketch(docs, id_col, text_col, keep), "near-rows")
     linked = rows.where("n > 0 and doc_id is not null")
-    classes = stored(linked.groupBy("sa", "sb").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "near-classes")
+    classes = stored(linked.groupBy("sa", "sb").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "near-classes")
+    # a class goes by its smallest id, unless ids are repeated with different sets
+    repeated = classes.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+    classes = classes.withColumn("rid", F.concat_ws("/", F.col("doc").cast("string"), "sa", "sb") if repeated else F.col("doc"))
     every = keys(classes)
     shared = stored(every.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "near-keys")
     found = stored(every.join(shared, "key", "left_semi"), "near-found")
     reps = stored(found.groupBy("key").agg(F.min("rid").alias("rep"), F.count("*").alias("size")), "near-reps")
     members = stored(found.join(reps, "key"), "near-members")
-    needed = members.select("rid").distinct().join(classes.select("rid", "sa", "sb"), "rid")
+    needed = members.select("rid").distinct().join(classes.select("rid", "doc", "sa", "sb"), "rid")
     sets = stored(whole_sets(docs, stored(needed, "near-needed"), id_col, text_col).dropDuplicates(["rid"]), "near-sets")
 
     # stars by how many buckets they share: a member's likest centre first, so that most
@@ -224,10 +227,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if late.limit(1).count():
         labels = components(late if edges is None else edges.unionByName(late))
 
-    of = stored(_of(classes.select("sa", "sb", "rid"), labels, "rid", "component_id").select("sa", "sb", "component_id"), "near-of")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), *keep)
-    out = linked.join(of, ["sa", "sb"]).select("doc_id", "n", "component_id", *keep).unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *keep)
+    of = _of(classes.select("sa", "sb", "rid", "doc"), labels, "rid", "comp")
+    if repeated:
+        least = of.groupBy("comp").agg(F.min(F.struct("doc", "rid")).alias("_least"))
+        of = of.join(least, "comp").select("sa", "sb", F.col("_least.doc").alias("component_id"), (F.col("rid") == F.col("_least.rid")).alias("_first"))
+    else:
+        of = of.select("sa", "sb", F.col("comp").alias("component_id"), F.lit(True).alias("_first"))
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("_first"), *keep)
+    out = linked.join(stored(of, "near-of"), ["sa", "sb"]).select("doc_id", "n", "component_id", "_first", *keep).unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("_first")).alias("kept"), *keep)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -334,9 +334,11 @@ def test_stages_decide_by_row(spark, shared):
     want = sorted([(1, a), (shared or 0, b), (shared or 0, c)])
     assert left(exact.drop_copies(docs((1, a), (shared, a), (shared, b), (shared, c), (shared, c)))) == want
     assert left(language.keep_identified(docs((1, a), (shared, "123"), (shared, b), (shared, c)))) == want
+    near = a.replace(a.split()[5], "edited", 1)
     if shared:  # null ids are never near copies
-        near = a.replace(a.split()[5], "edited", 1)
-        assert left(neardup.drop_near_copies(docs((1, a), (shared, near), (7, c)))) == sorted([(1, a), (7, c)])
+        assert left(neardup.drop_near_copies(docs((1, a), (shared, near), (shared, b), (7, c)))) == sorted([(1, a), (shared, b), (7, c)])
+        again = b.replace(b.split()[5], "edited", 1)
+        assert len(left(neardup.drop_near_copies(docs((shared, b), (shared, again), (shared, c))))) == 2
 
 
 def test_pipeline(spark):
