@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,19 +28,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and
-    a lost executor costs a re-read, not a recomputation."""
+_BINS: list[list[str]] = []
+
+
+def stored(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost
+    executor costs a re-read, not a recomputation. Within ``temporary`` it goes at the
+    end; a ``lasting`` one stays until the scope around that ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrille/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_BINS) > lasting:
+        _BINS[-1 - lasting].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts travel to Python in Arrow batches; few rows bound their memory."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def temporary(spark: SparkSession):
+    """What is stored in this scope is deleted at its end."""
+    _BINS.append([])
+    try:
+        yield
+    finally:
+        for path in _BINS.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def by_bytes(batches, most: int = 32 << 20):
+    """Record batches cut so that none is much over ``most`` bytes or 256 rows: whole
+    texts become Python objects a batch at a time."""
+    for b in batches:
+        rows = max(1, min(256, b.num_rows * most // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +79,20 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(whole(text))
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str = "_key") -> DataFrame:
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while (name := "_" + name).lower() in taken:
+        pass
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose id and ``key`` are not in ``gone`` (``doc_id`` and ``key``);
     null ids equal each other."""
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col(key).alias("_gone_key"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col(key) == F.col("_gone_key")), "left_anti")
+    a, b = (free(docs, c) for c in ("gone", "gone_key"))
+    gone = gone.select(F.col("doc_id").alias(a), F.col(key).alias(b))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(a)) & (F.col(key) == F.col(b)), "left_anti")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,18 +1,19 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A text's set: distinct shingles of two words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased); with
-one word, that word; without words or text, empty and linked with nothing. A signature
-has ``SYMBOLS`` minhashes of 8 bits. Signatures of sets at the threshold differ in
-``DISTANCE`` symbols or fewer (the mean plus 4.2 standard deviations). Split into more
-than ``DISTANCE / 2`` chunks, such signatures agree but for one symbol in some chunk:
-every chunk is looked up under each way to leave one symbol out, which finds all pairs
-within the distance. Candidates are confirmed on whole sets.
-
-Equal sets are one class. Inside a bucket of equal keys no pairs are enumerated: each
-member meets the smallest one; confirmed links form components; then only members
-of buckets with several components meet those of other components, and of these
-only pairs that share one of their rarest items. So a group of n near copies costs
-about n confirmations, and no link between components is lost.
+A text's set: distinct shingles of ``words`` words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased);
+with fewer words, the whole sequence as one; without words or text, empty and linked with
+nothing. A signature has ``SYMBOLS`` minhashes of ``BITS`` bits. Signatures of sets at the
+threshold differ in ``DISTANCE`` symbols or fewer (the mean plus 4 standard deviations).
+Split into more than ``DISTANCE / 2`` chunks, such signatures agree but for one symbol in
+some chunk: every chunk is looked up under each way to leave one symbol out, which finds
+all pairs within the distance. Candidates are confirmed on whole texts.
+
+Equal sets are one class. Inside a bucket of equal keys each member meets the smallest
+one; links confirmed on whole texts form components, a member's nearest star first. Then
+only buckets with several components are looked at again: in buckets of ``SMALL`` members
+or fewer the members of different components meet, in larger ones those that share one
+of their rarest shingles. So a group of n near copies costs about n confirmations, and no
+link between components is lost.
 
 Rows with a null id are linked with nothing. Rows that repeat an id stay, each with the
 component of its text. An empty table gives an empty result; only id and text are read.
@@ -22,20 +23,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import documents, small_batches, stored, text_key, whole, without
-from .links import components, confirm_by_sets
+from .common import by_bytes, documents, free, stored, temporary, text_key, whole, without
+from .links import components
 
 THRESHOLD = 0.8
-SYMBOLS, DISTANCE = 128, 44
-CHUNKS = 23
-#: Ranks of a member's stars that are met together; the last tier takes all the rest.
-TIERS = ((1, 1), (2, 4), (5, SYMBOLS))
+#: Words of a shingle, unless the caller says otherwise.
+WORDS = 5
+SYMBOLS, BITS, DISTANCE = 96, 10, 35
+CHUNKS = 18
+#: Members of a bucket up to which components meet in pairs.
+SMALL = 16
+#: Bits of the filter that texts pass before they are shuffled (4 MB).
+FILTER = 1 << 25
 #: Word hashes remembered by a worker: bounds memory, not results.
 REMEMBERED = 300_000
 _SIZES = [len(x) for x in np.array_split(np.arange(SYMBOLS), CHUNKS)]
-assert DISTANCE // CHUNKS == 1 and max(_SIZES) <= 7
+assert DISTANCE // CHUNKS == 1 and max(_SIZES) * BITS < 64
+_FIELD = (1 << BITS) - 1
+#: The lowest bit of each symbol of a chunk.
+_ONES = sum(1 << (BITS * j) for j in range(max(_SIZES)))
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -49,17 +57,16 @@ class _Hashes(dict):
         return h
 
 
-def shingle_set(text: str, hashes: _Hashes) -> np.ndarray:
+def shingle_set(text: str, hashes: _Hashes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
-    if not words:
+    found = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
+    if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) == 1:
-        x = h * _K1
-    else:
-        b = h[1:]
-        x = h[:-1] * _K1 + ((b << np.uint64(31)) | (b >> np.uint64(33))) * _K2
+    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    n = min(words, len(h))
+    x = h[: len(h) - n + 1] * _K1
+    for k in range(1, n):
+        x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * _K2 + h[k : len(h) - n + 1 + k] * _K1
     x ^= x >> np.uint64(33)
     x *= _K3
     x ^= x >> np.uint64(29)
@@ -77,63 +84,106 @@ def signature(items: np.ndarray, family) -> np.ndarray:
     for at in range(0, low.shape[1], 2048):
         least = (low[:, at : at + 2048] * a + b).min(axis=1)
         best = least if best is None else np.minimum(best, least)
-    return (best & np.uint32(255)).astype(np.uint8)
+    return (best * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
 def pack(signatures: np.ndarray) -> np.ndarray:
-    """Rows of ``SYMBOLS`` bytes to rows of ``CHUNKS`` longs."""
+    """Rows of ``SYMBOLS`` symbols to rows of ``CHUNKS`` longs."""
     out, at = np.zeros((len(signatures), CHUNKS), np.int64), 0
     for c, n in enumerate(_SIZES):
         for j in range(n):
-            out[:, c] |= signatures[:, at + j].astype(np.int64) << (8 * j)
+            out[:, c] |= signatures[:, at + j].astype(np.int64) << (BITS * j)
         at += n
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
-    """``doc_id, n, sa, sb, sig`` (and ``keep``): set size, the set's 128-bit hash, its
-    signature."""
-    small_batches(docs.sparkSession)
+def sketch(docs: DataFrame, id_col: str, text_col: str, keep: tuple = (), words: int = WORDS) -> DataFrame:
+    """``doc_id, th, n, sa, sb, sig`` (and ``keep``): a hash of the text, set size, the
+    set's 128-bit hash, its signature."""
 
     def run(batches):
         import xxhash
 
         hashes, family = _Hashes(), _family()
-        for batch in batches:
+        for batch in by_bytes(batches):
             sizes, sa, sb, sigs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                items = shingle_set(text, hashes)
+            for text in batch.column(2).to_pylist():
+                items = shingle_set(text, hashes, words)
                 whole_set = xxhash.xxh3_128_digest(items.tobytes())
                 sizes.append(len(items))
                 sa.append(int.from_bytes(whole_set[:8], "little", signed=True))
                 sb.append(int.from_bytes(whole_set[8:], "little", signed=True))
-                sigs.append(signature(items, family) if len(items) else np.zeros(SYMBOLS, np.uint8))
-            flat = pack(np.array(sigs, np.uint8).reshape(len(sigs), SYMBOLS)).ravel()
+                sigs.append(signature(items, family) if len(items) else np.zeros(SYMBOLS, np.uint32))
+            flat = pack(np.array(sigs, np.uint32).reshape(len(sigs), SYMBOLS)).ravel()
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CHUNKS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), sig, *batch.columns[2:]], ["doc_id", "n", "sa", "sb", "sig", *keep])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), sig, *batch.columns[3:]], ["doc_id", "th", "n", "sa", "sb", "sig", *keep])
 
     kinds = dict(docs.dtypes)
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), *keep).mapInArrow(run, ", ".join([f"doc_id {kinds[id_col]}, n long, sa long, sb long, sig array<long>", *(f"{k} {kinds[k]}" for k in keep)]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("th"), whole(text_col).alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds[id_col]}, th long, n long, sa long, sb long, sig array<long>", *(f"{k} {kinds[k]}" for k in keep)]))
 
 
-def whole_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, items`` of the classes in ``needed`` (``rid, doc, sa, sb``)."""
-    rows = docs.select(F.col(id_col).alias("doc"), whole(text_col).alias("text")).join(needed.select("doc"), "doc", "left_semi")
+def _maybe(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """``rows`` (``doc, th, text``) less most of those not in ``needed``, so that a join
+    moves few other texts: a filter of ``FILTER`` bits that the driver passes on. Its size
+    is fixed; where it is full, more rows pass, none is lost."""
+    slot = F.pmod(F.xxhash64("doc", "th"), F.lit(FILTER))
+    words = needed.select(slot.alias("_s")).groupBy(F.expr("_s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(_s % 64 as int)))").alias("v")).toArrow()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        import xxhash
+        bits = shared.value
+        for batch in batches:
+            s = batch.column(3).to_numpy()
+            hit = (bits[s >> 6] >> (s & 63)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["doc", "th", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return rows.withColumn("_s", slot).mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, th long, text string")
+
+
+def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rid, text`` of the classes in ``needed`` (``rid, doc, th``): one text of each."""
+    rows = _maybe(docs.select(F.col(id_col).alias("doc"), text_key(text_col).alias("th"), whole(text_col).alias("text")), needed)
+    return stored(rows.join(needed, ["doc", "th"]).groupBy("doc", "th").agg(F.first("rid").alias("rid"), F.first("text").alias("text")).select("rid", "text"), "near-texts")
 
+
+def confirm(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """``a, b`` of the pairs whose sets have intersection >= threshold * union, in whole
+    hundredths."""
+    t = round(threshold * 100)
+
+    def run(batches):
         hashes = _Hashes()
-        for batch in batches:
-            items = [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
-            digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in items]
-            half = lambda a, b: pa.array([int.from_bytes(d[a:b], "little", signed=True) for d in digest], pa.int64())  # noqa: B023, E731
-            ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
-            flat = np.concatenate(items).view(np.int64) if items else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), half(0, 8), half(8, 16), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "sa", "sb", "items"])
+        for batch in by_bytes(batches):
+            x, y = (map(lambda s: shingle_set(s, hashes, words), batch.column(c).to_pylist()) for c in (2, 3))
+            good = []
+            for u, v in zip(x, y, strict=True):
+                both = len(u) + len(v) - len(np.union1d(u, v))
+                good.append(100 * both >= t * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    sets = rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, sa long, sb long, items array<long>")
-    return sets.join(needed, ["doc", "sa", "sb"]).select("rid", "items")
+    kinds = dict(pairs.dtypes)
+    met = pairs.select("a", "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
+    return stored(met.select("a", "b", "x", "y").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}"), "near-edges")
+
+
+def items_of(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``rid, comp, n, item``: the set of each member, a row for each item."""
+
+    def run(batches):
+        hashes = _Hashes()
+        for batch in by_bytes(batches):
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                x = shingle_set(text, hashes, words).view(np.int64)
+                for at in range(0, len(x), 10_000):
+                    part = x[at : at + 10_000]
+                    same = [c.slice(k, 1).take(pa.array(np.zeros(len(part), np.int64))) for c in batch.columns[:2]]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(part), len(x))), pa.array(part)], ["rid", "comp", "n", "item"])
+
+    kinds = dict(members.dtypes)
+    return members.select("rid", "comp").join(texts, "rid").mapInArrow(run, f"rid {kinds['rid']}, comp {kinds['comp']}, n long, item long")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -141,28 +191,31 @@ def keys(classes: DataFrame) -> DataFrame:
     out: list[Column] = []
     for c, n in enumerate(_SIZES):
         for j in range(n):
-            rest = sum(255 << (8 * i) for i in range(n) if i != j)
+            rest = sum(_FIELD << (BITS * i) for i in range(n) if i != j)
             out.append(F.xxhash64(F.lit(len(out)), F.col("sig")[c].bitwiseAND(F.lit(rest))))
     return classes.select(F.explode(F.array(*out)).alias("key"), "rid")
 
 
 def _differing(x: Column, y: Column) -> Column:
-    """Bytes in which two longs differ."""
+    """Symbols in which two longs differ: the bits of each come together in its lowest."""
     v = x.bitwiseXOR(y)
-    for n in (4, 2, 1):
-        v = v.bitwiseOR(F.shiftrightunsigned(v, n))
-    return F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+    far = BITS
+    while far > 1:
+        far = (far + 1) // 2
+        v = v.bitwiseOR(F.shiftrightunsigned(v.bitwiseAND(F.lit(_ONES * (_FIELD & ~((1 << far) - 1)))), far))
+        v = v.bitwiseAND(F.lit(_ONES * ((1 << far) - 1)))
+    return F.bit_count(v)
 
 
 def distance(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, _differing), F.lit(0), lambda a, b: a + b)
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures are within the distance."""
+def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b, d`` of the pairs whose signatures are within the distance."""
     x = classes.select(F.col("rid").alias("a"), F.col("sig").alias("x"))
     y = classes.select(F.col("rid").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(distance("x", "y") <= DISTANCE).select("a", "b")
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", distance("x", "y").alias("d")).where(f"d <= {DISTANCE}"), "near-close")
 
 
 def _of(members: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -170,15 +223,14 @@ def _of(members: DataFrame, labels: DataFrame, column: str, name: str) -> DataFr
     return members.join(got, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
 
-def _by_prefix(members: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: pairs of ``members`` (``rid, comp``) of different components that are
-    within the distance and can reach the threshold.
+def by_rarest(whole_set: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: pairs of members of different components that can reach the threshold, of
+    their sets' ``rid, comp, n, item``.
 
     Items in one order, rarest first: sets at the threshold share an item within the
     first ``n - least overlap + 1`` of each, at places that leave enough items behind.
     The edits of near copies are rare, so members too far from all others share none."""
     t = round(threshold * 100)
-    whole_set = stored(members.join(sets, "rid").select("rid", "comp", F.explode("items").alias("item"), F.size("items").alias("n")), "near-items")
     often = whole_set.groupBy("item").agg(F.count("*").alias("_f")).where("_f > 1")
     # an item of one set only meets nothing: the rest follow the n - count(*) such items
     common = whole_set.join(often, "item").groupBy("rid", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("_f", "item"))).alias("_o"))
@@ -186,64 +238,72 @@ def _by_prefix(members: DataFrame, sets: DataFrame, classes: DataFrame, threshol
     placed = stored(placed.select("rid", "comp", "n", F.col("_e.item").alias("item"), (F.col("n") - F.col("_alone") - F.col("_p")).alias("left")), "near-prefix")
     x, y = (placed.select("item", *(F.col(c).alias(c + end) for c in ("rid", "comp", "n", "left"))) for end in "xy")
     enough = F.expr(f"item = _i and compx <> compy and ridx < ridy and 100L * nx >= {t}L * ny and 100L * ny >= {t}L * nx and {100 + t}L * least(leftx, lefty) >= {t}L * (nx + ny)")
-    found = x.join(y.withColumnRenamed("item", "_i"), enough).select(F.col("ridx").alias("a"), F.col("ridy").alias("b")).distinct()
-    return _close(found, classes)
+    return x.join(y.withColumnRenamed("item", "_i"), enough).select(F.col("ridx").alias("a"), F.col("ridy").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` (and ``keep``), a row per input row."""
-    rows = stored(sketch(docs, id_col, text_col, keep), "near-rows")
-    linked = rows.where("n > 0 and doc_id is not null")
-    classes = stored(linked.groupBy("sa", "sb").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "near-classes")
-    # a class goes by its smallest id, unless ids are repeated with different sets
-    repeated = classes.groupBy("doc").count().where("count > 1").limit(1).count() > 0
-    classes = classes.withColumn("rid", F.concat_ws("/", F.col("doc").cast("string"), "sa", "sb") if repeated else F.col("doc"))
-    every = keys(classes)
-    shared = stored(every.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "near-keys")
-    found = stored(every.join(shared, "key", "left_semi"), "near-found")
-    reps = stored(found.groupBy("key").agg(F.min("rid").alias("rep"), F.count("*").alias("size")), "near-reps")
-    members = stored(found.join(reps, "key"), "near-members")
-    needed = members.select("rid").distinct().join(classes.select("rid", "doc", "sa", "sb"), "rid")
-    sets = stored(whole_sets(docs, stored(needed, "near-needed"), id_col, text_col).dropDuplicates(["rid"]), "near-sets")
-
-    # stars by how many buckets they share: a member's likest centre first, so that most
-    # groups are whole before the other stars are looked at
-    stars = members.where("rid <> rep").groupBy(F.col("rid").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("_s"))
-    stars = stored(stars.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("_s"), "b"))).drop("_s"), "near-stars")
-    edges, labels = None, classes.select("rid", F.col("rid").alias("label")).limit(0)
-    for lo, hi in TIERS:
-        apart = _of(_of(stars.where(F.col("_r").between(lo, hi)), labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("a", "b")
-        more = confirm_by_sets(stored(_close(apart, classes), "near-pairs"), sets, threshold)
-        if more.limit(1).count():
-            edges = more if edges is None else edges.unionByName(more)
-            labels = components(edges)
-
-    named = stored(_of(members.where("size > 2").select("key", "rid"), labels, "rid", "comp"), "near-named")
+def _between(members: DataFrame, labels: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Of buckets with several components: pairs of members of different components in
+    the small ones (``a, b``), and the members of the others (``rid, comp``)."""
+    named = stored(_of(members.where("n > 2"), labels, "rid", "comp").select("key", "rid", "rep", "n", "comp"), "near-named")
     several = named.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    mixed = named.join(several, "key", "left_semi")
-    # all pairs within the distance share a bucket, and if not of one component a mixed one
-    pairs = _by_prefix(stored(mixed.select("rid", "comp").distinct(), "near-mixed"), sets, classes, threshold)
-    late = confirm_by_sets(stored(pairs, "near-pairs"), sets, threshold)
-    if late.limit(1).count():
-        labels = components(late if edges is None else edges.unionByName(late))
-
-    of = _of(classes.select("sa", "sb", "rid", "doc"), labels, "rid", "comp")
-    if repeated:
-        least = of.groupBy("comp").agg(F.min(F.struct("doc", "rid")).alias("_least"))
-        of = of.join(least, "comp").select("sa", "sb", F.col("_least.doc").alias("component_id"), (F.col("rid") == F.col("_least.rid")).alias("_first"))
-    else:
-        of = of.select("sa", "sb", F.col("comp").alias("component_id"), F.lit(True).alias("_first"))
+    mixed = stored(named.join(several, "key", "left_semi"), "near-mixed")
+    x, y = (mixed.where(f"n <= {small} and rid <> rep").select("key", F.col("rid").alias(r), F.col("comp").alias(c)) for r, c in (("a", "_ca"), ("b", "_cb")))
+    pairs = x.join(y, "key").where("a < b and _ca <> _cb").select("a", "b").distinct()
+    return pairs, stored(mixed.where(f"n > {small}").select("rid", "comp").distinct(), "near-large")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple = (), words: int = WORDS, small: int = SMALL) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` (and ``keep``), a row per input row."""
+    with temporary(docs.sparkSession):
+        rows = stored(sketch(docs, id_col, text_col, keep, words), "near-rows", lasting=True)
+        linked = rows.where("n > 0 and doc_id is not null")
+        classes = linked.groupBy("sa", "sb").agg(F.min(F.struct("doc_id", "th")).alias("_least"), F.first("sig").alias("sig"))
+        classes = stored(classes.select("sa", "sb", F.col("_least.doc_id").alias("doc"), F.col("_least.th").alias("th"), "sig"), "near-classes")
+        # a class goes by its smallest id, unless ids are repeated with different sets
+        repeated = classes.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+        classes = classes.withColumn("rid", F.concat_ws("/", F.col("doc").cast("string"), "sa", "sb") if repeated else F.col("doc"))
+        every = keys(classes)
+        shared = stored(every.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("rep")).where("n > 1"), "near-keys")
+        members = stored(every.join(shared, "key"), "near-members")
+        fetch = lambda rids: texts_of(docs, stored(classes.select("rid", "doc", "th").join(rids.distinct(), "rid", "left_semi"), "near-needed"), id_col, text_col)
+        ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rid"))
+
+        # the nearest star of each member first, then those still between components
+        stars = close(members.where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")).distinct(), classes)
+        texts = fetch(ends(stars))
+        edges = confirm(stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), texts, threshold, words)
+        labels = components(edges)
+        apart = _of(_of(stars, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("a", "b")
+        edges = edges.unionByName(confirm(apart, texts, threshold, words))
+        labels = components(edges)
+
+        pairs, large = _between(members, labels, small)
+        late = close(pairs, classes)
+        texts = texts.unionByName(fetch(ends(late).unionByName(large.select("rid")).join(texts.select("rid"), "rid", "left_anti")))
+        late = late.unionByName(close(by_rarest(stored(items_of(large, texts, words), "near-items"), threshold), classes))
+        labels = components(edges.unionByName(confirm(late.select("a", "b").distinct(), texts, threshold, words)))
+
+        of = _of(classes.select("sa", "sb", "rid", "doc"), labels, "rid", "comp")
+        if repeated:
+            least = of.groupBy("comp").agg(F.min(F.struct("doc", "rid")).alias("_least"))
+            of = of.join(least, "comp").select("sa", "sb", F.col("_least.doc").alias("component_id"), (F.col("rid") == F.col("_least.rid")).alias("_first"))
+        else:
+            of = of.select("sa", "sb", F.col("comp").alias("component_id"), F.lit(True).alias("_first"))
+        of = stored(of, "near-of", lasting=True)
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("_first"), *keep)
-    out = linked.join(stored(of, "near-of"), ["sa", "sb"]).select("doc_id", "n", "component_id", "_first", *keep).unionByName(alone)
+    out = linked.join(of, ["sa", "sb"]).select("doc_id", "n", "component_id", "_first", *keep).unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("_first")).alias("kept"), *keep)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all columns."""
-    keyed = docs.withColumn("_key", text_key())
-    gone = stored(near_duplicates(keyed, keep=("_key",)).where("not kept").select("doc_id", "_key").distinct(), "near-gone")
-    return without(keyed, gone).select(docs.columns)
+    """The rows of ``docs`` that stay, one of each component, with all columns; sets are
+    of ``WORDS`` words."""
+    key = free(docs, "key")
+    keyed = docs.withColumn(key, text_key())
+    with temporary(docs.sparkSession):
+        gone = stored(near_duplicates(keyed, keep=(key,)).where("not kept").select("doc_id", key).distinct(), "near-gone", lasting=True)
+    return without(keyed, gone, key).select(docs.columns)
 
 
 def op8(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), words=2)
