@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, small_batches, whole
+from .common import by_bytes, documents, whole
 
 GAP = 2
 
@@ -38,19 +38,49 @@ SENTENCES = {
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-redistribute": "This program is free software:",
     "gpl3-version": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2-version": "either version 2 of the License, or (at your option) any later version.",
+    "lgpl-redistribute": "This library is free software:",
+    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl21-version": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-version": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-warranty": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-use": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "spdx": "SPDX-License-Identifier:",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "cc-by": "Licensed under CC BY 4.0.",
     "cc-by-sa": "Licensed under CC BY-SA 4.0.",
     "cc0": "This work is dedicated to the public domain under CC0 1.0.",
 }
 
+# Identifiers that may follow an SPDX mark.
+SPDX = ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "Zlib", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
+SENTENCES |= {f"spdx-{x}": x for x in SPDX}
+
 # Ordered rules: license, identifiers.
 RULES = (
+    *((x, ("spdx", f"spdx-{x}")) for x in SPDX),
+    ("GPL-2.0", ("gpl-redistribute", "gpl2-terms", "gpl2-version")),
+    ("LGPL-2.1", ("lgpl-redistribute", "lgpl21-terms", "lgpl21-version")),
+    ("LGPL-3.0", ("lgpl-redistribute", "lgpl3-version")),
+    ("LGPL-3.0", ("gpl-redistribute", "lgpl3-version")),
+    ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-form", "mpl2-copy-http")),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense-free", "unlicense-use")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
     ("Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-law")),
     ("Apache-2.0", ("apache-grant", "apache-use")),
     ("Apache-2.0", ("apache-short",)),
@@ -132,7 +162,8 @@ def scan(text: str, known: dict[str, list], first: dict[str, list], gap: int = G
     while i < len(found):
         for license_id, ids in first.get(found[i][1], ()):
             span = found[i : i + len(ids)]
-            if [n for _, n in span] == list(ids) and all(b[0] - a[0] - 1 <= gap for a, b in zip(span, span[1:])):
+            most = 0 if ids[0] == "spdx" else gap  # the mark and its identifier stand together
+            if [n for _, n in span] == list(ids) and all(b[0] - a[0] - 1 <= most for a, b in zip(span, span[1:])):
                 out.append((license_id, span[0][0], span[-1][0]))
                 i += len(ids)
                 break
@@ -144,12 +175,11 @@ def scan(text: str, known: dict[str, list], first: dict[str, list], gap: int = G
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """``doc_id, licenses`` (distinct, sorted), ``n_matches, spans`` (sentence numbers),
     a row per input row; no shuffle."""
-    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches):
         known, first = _tables(sentences, rules)
-        for b in batches:
+        for b in by_bytes(batches):
             found = [scan(t, known, first) for t in b.column(1).to_pylist()]
             spans = [[{"license": x, "first": i, "last": j} for x, i, j in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted({x for x, _, _ in f}) for f in found], pa.list_(pa.string())), pa.array(map(len, found), pa.int64()), pa.array(spans, kind)], ["doc_id", "licenses", "n_matches", "spans"])
