@@ -27,6 +27,8 @@ ANCHORS = (
 CHAIN = 2
 #: Ids in a range of neighbouring documents, about.
 RANGE = 500
+#: Quantiles of the ids between which ranges are cut.
+CELLS = 256
 NEAR = 0.8
 
 
@@ -108,19 +110,40 @@ def following(ids: DataFrame) -> DataFrame:
     return ids.withColumn("_in", inside).join(step, "_pid").select("id", F.coalesce("_in", "_next").alias("next_id"))
 
 
+def _ranges(docs: DataFrame) -> Column | None:
+    """Names of ranges of ids: cells between ``CELLS`` quantiles, each cut evenly into
+    ranges of about ``RANGE`` ids, so that a far id widens its own cell's ranges alone."""
+    at = [i / CELLS for i in range(1, CELLS)]
+    borders = docs.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0]
+    if borders is None:
+        return None
+    borders = sorted(set(borders))
+    # number of borders not above the id, by binary search
+    steps = [1 << k for k in reversed(range(len(borders).bit_length()))]
+    listed = F.array(*[F.lit(b) for b in borders])
+    at_step = lambda pos, s: pos + F.when(F.get(listed, pos + s - 1) <= F.col("doc_id"), s).otherwise(F.lit(0))
+    cell = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), at_step)
+    found = docs.groupBy(cell.alias("cell")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).collect()  # a row a cell
+    lo, width = ([None] * (len(borders) + 1) for _ in range(2))
+    for r in found:
+        lo[r["cell"]], width[r["cell"]] = r["lo"], max(1, -(-(r["hi"] - r["lo"] + 1) * RANGE // r["n"]))
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("decimal(20, 0)") for v in values]), cell)
+    inside = (F.col("doc_id").cast("decimal(20, 0)") - of(lo)) / of(width)
+    return F.concat_ws("/", cell, F.floor(inside).cast("string"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, signatures, next_text, next_signatures`` by descending doc_id.
 
     Rows are dealt to ranges of about ``RANGE`` ids and every range also gets the first
     row of the range after it, so texts are shuffled once and no task sees more than its
     ranges."""
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-(hi - lo + 1) * RANGE // n)) if n else 1
-    docs = docs.withColumn("_range", F.expr(f"(cast(doc_id as decimal(20, 0)) - {lo or 0}) div {width}"))
-    first = stored(docs.groupBy(F.col("_range").alias("id")).agg(F.max("doc_id").alias("doc_id")), "spot-first")
-    after = following(first.select("id")) if n else first.select("id", F.col("id").alias("next_id"))
-    guests = after.join(first.withColumnRenamed("id", "next_id"), "next_id").select(F.col("id").alias("_owner"), "doc_id")
-    guests = docs.drop("_range").join(stored(guests, "spot-guests"), "doc_id").select(F.col("_owner").alias("_range"), "doc_id", "text", F.lit(True).alias("_guest"))
+    name = _ranges(docs)
+    docs = docs.withColumn("_range", F.lit("") if name is None else name)
+    first = stored(docs.groupBy("_range").agg(F.max("doc_id").alias("id")), "spot-first")
+    after = following(first.select("id")) if name is not None else first.select("id", F.col("id").alias("next_id"))
+    guests = first.join(after, "id").select("_range", F.col("next_id").alias("doc_id"))
+    guests = docs.drop("_range").join(stored(guests, "spot-guests"), "doc_id").select("_range", "doc_id", "text", F.lit(True).alias("_guest"))
     rows = docs.select("_range", "doc_id", "text", F.lit(False).alias("_guest")).unionByName(guests)
     rows = rows.repartition("_range").withColumn("signatures", signatures(F.col("text")))
     w = Window.partitionBy("_range").orderBy("_guest", F.desc("doc_id"))
