@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, documents, stored, text_key, whole, without
+from .common import SPACE, documents, free, stored, temporary, text_key, whole, without
 
 #: Code points hashed in the second step.
 PREFIX = 128
@@ -56,11 +56,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns; of rows that repeat both id
     and text, one stays."""
-    keyed = docs.withColumn("_key", text_key(normalised("text")))
-    decided = stored(exact_dedup(keyed, keep=("_key",)), "exact-decided")
-    left = without(keyed, stored(decided.where("not kept").select("doc_id", "_key").distinct(), "exact-dropped"))
-    twice = decided.where("kept and group_size > 1").groupBy("doc_id", "_key").count().where("count > 1").limit(1)
-    return (left.dropDuplicates(["doc_id", "_key"]) if twice.count() else left).select(docs.columns)
+    key = free(docs, "key")
+    keyed = docs.withColumn(key, text_key(normalised("text")))
+    with temporary(docs.sparkSession):
+        decided = stored(exact_dedup(keyed, keep=(key,)), "exact-decided")
+        gone = stored(decided.where("not kept").select("doc_id", key).distinct(), "exact-dropped", lasting=True)
+        twice = decided.where("kept and group_size > 1").groupBy("doc_id", key).count().where("count > 1").limit(1).count()
+    left = without(keyed, gone, key)
+    return (left.dropDuplicates(["doc_id", key]) if twice else left).select(docs.columns)
 
 
 def op4(spark, sf_dir):

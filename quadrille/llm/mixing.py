@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, documents, stored, whole
+from .common import WORD, documents, free, stored, temporary, text_key, whole
 
 #: Slots aimed at, and the largest block in words.
 SLOTS, LARGEST_BLOCK = 100_000, 65_536
@@ -110,13 +110,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, copy_col: str | None = None) -> DataFrame:
     """The documents of the mix with all their columns, each repeated as often as the
-    mix takes it (taken words over size, rounded); what it takes less than half of goes.
-    ``copy_col`` names a further column that numbers the copies of a row from 1."""
-    times = mix(docs.withColumn("_key", F.xxhash64(whole("text"))), keep=("_key",)).select(F.col("doc_id").alias("_id"), "_key", F.expr("cast(round(taken / nullif(size, 0)) as int)").alias("_times")).where("_times > 0")
-    times = stored(times.groupBy("_id", "_key").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")), "mix-times")
-    # rows that repeat id and text share the sum of their copies
-    own = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole("text")) == F.col("_key")))
-    return own.withColumn("_n", F.explode(F.expr("sequence(1, cast(ceil(_times / _rows) as int))"))).select(*docs.columns, *([F.col("_n").alias(copy_col)] if copy_col else []))
+    mix takes it (taken words over size, rounded); what it takes less than half of goes,
+    and so do documents of size 0. The blocks a source gives once more than others lie
+    together in its shuffled order, so of all its documents only those at the two ends are
+    rounded, each by half its size at most. Rows that repeat id and text share the sum of
+    their copies. ``copy_col`` names a further column that numbers the copies of a row
+    from 1."""
+    key, gone, times, rows, extra, n = (free(docs, x) for x in ("key", "id", "times", "rows", "extra", "copy"))
+    keyed = docs.withColumn(key, text_key())
+    with temporary(docs.sparkSession):
+        taken = mix(keyed, keep=(key,)).select(F.col("doc_id").alias(gone), F.col(key).alias(times), F.expr("cast(round(taken / nullif(size, 0)) as int)").alias(rows)).where(F.col(rows) > 0)
+        plan = taken.groupBy(gone, times).agg(F.sum(rows).alias("_t"), F.count("*").alias("_n"))
+        same = keyed.groupBy("doc_id", key).agg(F.count("*").alias("_n")).where("_n > 1")
+        same = stored(same.select(F.col("doc_id").alias("_i"), F.col(key).alias("_k"), F.col("_n").alias("_all")), "mix-same")
+        plan = plan.join(same, F.col(gone).eqNullSafe(F.col("_i")) & (F.col(times) == F.col("_k")), "left").withColumn("_all", F.coalesce("_all", F.lit(1)))
+        plan = stored(plan.select(gone, times, F.expr("cast(_t div _all as int)").alias(rows), F.expr("cast(_t % _all as int)").alias(extra)), "mix-times", lasting=True)
+    met = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(key) == F.col(times)))
+    every = met.where(F.col(rows) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(rows)))).select(*docs.columns, n)
+    # what does not divide evenly goes to one of the rows that repeat
+    one = met.where(F.col(extra) > 0).groupBy(gone, key).agg(F.first(F.struct(*docs.columns)).alias("_row"), F.first(rows).alias("_done"), F.first(extra).alias("_more"))
+    rest = one.select("_row.*", F.explode(F.sequence(F.col("_done") + 1, F.col("_done") + F.col("_more"))).alias(n))
+    out = every.unionByName(rest)
+    return out.select(*docs.columns, *([F.col(n).alias(copy_col)] if copy_col else []))
 
 
 def op9(spark, sf_dir):
