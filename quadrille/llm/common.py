@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch between Spark and its workers.
+BATCH = str(8 << 20)
 _OWN: dict[str, str] = {}
 
 
@@ -37,7 +39,13 @@ def stored(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     end; a ``lasting`` one stays until the scope around that ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrille/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(batch)
+    spark.conf.set(batch, BATCH)  # while this is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, was)
     if len(_BINS) > lasting:
         _BINS[-1 - lasting].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +63,18 @@ def temporary(spark: SparkSession):
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(name, build):
+    """What a worker keeps from task to task: one object at a time, so that the stages of
+    a pipeline do not add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
 def by_bytes(batches, most: int = 32 << 20):
     """Record batches cut so that none is much over ``most`` bytes or 256 rows: whole
     texts become Python objects a batch at a time."""

@@ -17,12 +17,11 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, documents, whole
+from .common import by_bytes, documents, kept, whole
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
 #: Nodes a worker's trie may have before it begins anew: bounds memory, not results.
@@ -107,10 +106,9 @@ class ForwardTrie:
         return last[-1][1]
 
 
-@lru_cache(1)
 def _trie(proto: bytes) -> ForwardTrie:
     """A worker's trie, kept from task to task."""
-    return ForwardTrie(log_probabilities(Vocabulary(proto)))
+    return kept(("trie", hash(proto)), lambda: ForwardTrie(log_probabilities(Vocabulary(proto))))
 
 
 def pre_tokens(text: str) -> list[str]:

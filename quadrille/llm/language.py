@@ -18,14 +18,13 @@ import math
 import re
 import uuid
 from collections import Counter
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, documents, free, held_out, stored, temporary, text_key, whole, without
+from .common import by_bytes, documents, free, held_out, kept, stored, temporary, text_key, whole, without
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
 #: Documents of each language to learn from, and rounds of expectation maximisation.
@@ -35,7 +34,7 @@ SMOOTH = 0.05
 UNKNOWN = 1e-7
 #: Words remembered by a worker, and words of a text looked at together: bound memory,
 #: not results.
-REMEMBERED, PART = 400_000, 1_000_000
+REMEMBERED, PART = 250_000, 1_000_000
 #: Letters up to which words are scored together, and how many words at a time.
 LONG, TOGETHER = 64, 8192
 #: Bits of a hash that name its bucket.
@@ -206,29 +205,6 @@ class Scorer:
         return np.add.reduceat(self.scores[got], np.cumsum(n) - n, axis=0)
 
 
-@lru_cache(1)
-def _scorer(name: str, shared: _Shared) -> Scorer:
-    """A worker's scorer, kept from task to task."""
-    return Scorer(*shared.value)
-
-
-class _Shared:
-    """A broadcast value whose name alone tells it apart."""
-
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self):
-        return 0
-
-    def __eq__(self, other):
-        return True
-
-
 def expected(word: str, p: dict[str, float], longest: int) -> dict[str, float]:
     """Expected uses of each piece over all segmentations of a word; words over 64
     letters are cut, as products of more pieces would vanish."""
@@ -313,7 +289,7 @@ def learn(docs: DataFrame, model: str = MODEL, sample: int = SAMPLE, rounds: int
 def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` (and ``keep``), a row per input row; no shuffle."""
     langs, p = fitted
-    name, shared = uuid.uuid4().hex, _Shared(docs.sparkSession.sparkContext.broadcast((p, len(langs))))  # vocabulary x languages
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((p, len(langs)))  # vocabulary x languages
 
     def run(batches):
         for b in by_bytes(batches):
@@ -321,7 +297,7 @@ def identify(docs: DataFrame, fitted: tuple[list[str], dict], id_col: str = "doc
             named = np.fromiter(map(bool, found), bool, len(found))
             pred, score = np.full(len(found), "und", object), np.zeros(len(found))
             if named.any():
-                total = _scorer(name, shared).texts(found)[named]
+                total = kept(("scorer", name), lambda: Scorer(*shared.value)).texts(found)[named]
                 best = total.argmax(axis=1)
                 pred[named] = np.array(langs, object)[best]
                 score[named] = 1 / np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -700.0)).sum(axis=1)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_bytes, documents, free, stored, temporary, text_key, whole, without
+from .common import by_bytes, documents, free, kept, stored, temporary, text_key, whole, without
 from .links import components
 
 THRESHOLD = 0.8
@@ -38,7 +38,7 @@ SMALL = 16
 #: Bits of the filter that texts pass before they are shuffled (4 MB).
 FILTER = 1 << 25
 #: Word hashes remembered by a worker: bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _SIZES = [len(x) for x in np.array_split(np.arange(SYMBOLS), CHUNKS)]
 assert DISTANCE // CHUNKS == 1 and max(_SIZES) * BITS < 64
 _FIELD = (1 << BITS) - 1
@@ -104,7 +104,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, keep: tuple = (), words:
     def run(batches):
         import xxhash
 
-        hashes, family = _Hashes(), _family()
+        hashes, family = kept("hashes", _Hashes), _family()
         for batch in by_bytes(batches):
             sizes, sa, sb, sigs = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -155,7 +155,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) ->
     t = round(threshold * 100)
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = kept("hashes", _Hashes)
         for batch in by_bytes(batches):
             x, y = (map(lambda s: shingle_set(s, hashes, words), batch.column(c).to_pylist()) for c in (2, 3))
             good = []
@@ -173,7 +173,7 @@ def items_of(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """``rid, comp, n, item``: the set of each member, a row for each item."""
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = kept("hashes", _Hashes)
         for batch in by_bytes(batches):
             for k, text in enumerate(batch.column(2).to_pylist()):
                 x = shingle_set(text, hashes, words).view(np.int64)

@@ -16,14 +16,13 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect_right
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, documents, whole
+from .common import by_bytes, documents, kept, whole
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
 DROPOUT, SEED = 0.1, 17
@@ -422,10 +421,9 @@ def _gather(values: np.ndarray, start: np.ndarray, n: np.ndarray, upto: np.ndarr
     return values[np.cumsum(at)]
 
 
-@lru_cache(2)
 def codec(proto: bytes, dropout: float, seed: int) -> Codec:
     """A worker's codec: it keeps what it remembers from task to task."""
-    return Codec(proto, dropout, seed)
+    return kept(("codec", hash(proto), dropout, seed), lambda: Codec(proto, dropout, seed))
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, copy_col: str | None = None) -> DataFrame:

@@ -25,14 +25,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, documents, hash_sample, held_out, whole
+from .common import by_bytes, documents, hash_sample, held_out, kept, whole
 
 SAMPLE, LEXICON = 6_000, 4_000
 #: A word needs so many toxic texts and so much log odds.
@@ -146,10 +145,9 @@ class Grammar:
         return out
 
 
-@lru_cache(1)
 def _grammar(lexicon: tuple[tuple[str, float], ...]) -> Grammar:
     """A worker's grammar, kept from task to task."""
-    return Grammar(dict(lexicon))
+    return kept(("grammar", lexicon), lambda: Grammar(dict(lexicon)))
 
 
 def features(scores: list[float]) -> list[float]:
