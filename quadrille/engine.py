@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import search as search_ops
@@ -38,9 +42,15 @@ class Translation:
     tree: Query | None = None
     params: dict = field(default_factory=dict)
 
+    def to_json(self) -> str:
+        return json.dumps({"mapping": self.mapping, "rewritten_query": self.rewritten, "params": self.params}, ensure_ascii=False)
+
 
 class Engine:
-    def __init__(self, spark: SparkSession, index: dict[str, DataFrame], endpoints: dict[str, str] | None, selector: Selector | None = None, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, index: dict[str, DataFrame], endpoints: dict[str, str] | None, selector: Selector | None = None, settings: Settings | None = None, encoder: Callable[[DataFrame], DataFrame] | None = None):
+        """``encoder``: from ``generic`` to ``generic, query`` (a vector), for an index with
+        ``vectors``."""
+        self.encoder = encoder
         self.spark, self.index, self.endpoints = spark, index, endpoints
         self.selector, self.settings = selector or BestScore(), settings or Settings()
 
@@ -49,7 +59,12 @@ class Engine:
 
     def candidates(self, names: DataFrame, popularity: float | None = None) -> DataFrame:
         s = self.settings
-        return search_ops.search(self.index, names, s.top_k, s.w_sparse, s.w_dense, s.popularity if popularity is None else popularity)
+        dense = None
+        if self.encoder is not None and "vectors" in self.index:
+            dense = search_ops.dense_all(self.index["vectors"], self.encoder(names))
+        elif (self.encoder is None) != ("vectors" not in self.index):
+            log.warning("dense search needs both vectors and an encoder: left out")
+        return search_ops.search(self.index, names, s.top_k, s.w_sparse, s.w_dense, s.popularity if popularity is None else popularity, dense)
 
     def selected(self, text: str, names: DataFrame, popularity: float | None = None) -> DataFrame:
         """One row per generic: ``generic, endpoint, predicate, reason, confidence``."""
@@ -57,8 +72,9 @@ class Engine:
         return best_per_generic(last_write(rows), self.settings.ignore_null)
 
     def translate(self, text: str, popularity: float | None = None) -> Translation:
-        began = time.time()
+        began, request = time.time(), uuid.uuid4().hex[:8]
         names = generics(text)
+        log.info("%s: %d placeholders", request, len(names))
         if not names:
             return Translation({"candidates": {}, "selected": {}}, text)
         if self.endpoints is None:
@@ -67,21 +83,29 @@ class Engine:
         chosen = {r["generic"]: (r["endpoint"], r["predicate"]) for r in rows if r["predicate"]}
         tree = rewrite_tree(parse(text), chosen, self.endpoints, self.settings.compat_grouping)
         mapping = {r["generic"]: {r["endpoint"]: {"predicate": r["predicate"], "reason": r["reason"], "confidence": r["confidence"]}} for r in rows}
-        log.info("translated %d placeholders in %.2f s", len(names), time.time() - began)
-        return Translation({"selected": mapping}, show(tree), tree)
+        log.info("%s: %d of %d placeholders chosen, rewritten in %.2f s", request, len(chosen), len(names), time.time() - began)
+        return Translation({"selected": mapping}, show(tree), tree, {"top_k": self.settings.top_k, "popularity": self.settings.popularity if popularity is None else popularity})
 
     def translate_batch(self, queries: DataFrame) -> DataFrame:
-        """``query_id, text, rewritten`` for ``query_id, text``: one search for all."""
+        """``query_id, text, rewritten, error`` for ``query_id, text``: one search for all. A
+        query that cannot be read has an error and no rewritten text."""
         uses = generic_uses(queries)
         chosen = self.selected("", uses.select(F.col("gen_predicate").alias("generic")).distinct()).where("predicate is not null")
         per = uses.join(chosen, F.col("gen_predicate") == F.col("generic")).groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("generic", F.struct("endpoint", "predicate")))).alias("chosen"))
         urls, compat = dict(self.endpoints or {}), self.settings.compat_grouping
 
-        @F.udf("string")
-        def apply(text, chosen):
-            return show(rewrite_tree(parse(text), {k: (v["endpoint"], v["predicate"]) for k, v in (chosen or {}).items()}, urls, compat))
-
-        return queries.join(per, "query_id", "left").select("query_id", "text", apply("text", "chosen").alias("rewritten"))
+        @F.pandas_udf("rewritten string, error string")
+        def apply(text: pd.Series, chosen: pd.Series) -> pd.DataFrame:
+            out = []
+            for t, c in zip(text, chosen, strict=True):
+                try:
+                    out.append((show(rewrite_tree(parse(t), {k: (v["endpoint"], v["predicate"]) for k, v in json.loads(c or "{}").items()}, urls, compat)), None))
+                except Exception as e:
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            return pd.DataFrame(out, columns=["rewritten", "error"])
+
+        done = queries.join(per, "query_id", "left").select("query_id", "text", apply("text", F.to_json("chosen")).alias("_r"))
+        return done.select("query_id", "text", "_r.rewritten", "_r.error")
 
     def run(self, text: str, quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
         """Translate a query and run it over ``endpoint, s, p, o``."""

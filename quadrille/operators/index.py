@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_text, strip_accents, word_ngrams, words
 
 MAX_FEATURES = 200_000
+PARTS = 64
 
 
 def term_counts(docs: DataFrame, text: str = "text", longest: int = 3, accents: bool = True, keys=("endpoint", "row_id")) -> DataFrame:
     """``*keys, term, tf``."""
     value = strip_accents(text) if accents else F.col(text)
-    toks = docs.select(*keys, words(value).alias("_w")).select(*keys, F.explode(word_ngrams(F.col("_w"), longest)).alias("term"))
-    return toks.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return docs.select(*keys, words(value).alias("_w")).select(*keys, F.inline(counted(word_ngrams(F.col("_w"), longest))))
+
+
+def counted(grams: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array of terms, within the row: runs of its sorted
+    values."""
+
+    def runs(s):
+        first = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == F.size(s)) | (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.slice(first, 1, F.size(first) - 1), lambda at, k: F.struct(F.get(s, at).alias("term"), (F.get(first, k + 1) - at).cast("long").alias("tf")))
+
+    return F.when(F.size(grams) > 0, F.get(F.transform(F.array(F.array_sort(grams)), runs), F.lit(0)))
 
 
 def capped_terms(tf: DataFrame, limit: int) -> DataFrame:
     """Terms with ``df`` and total count, the ``limit`` most frequent of each endpoint
-    (ties by term)."""
+    (ties by term). Ranked within ``PARTS`` parts first, so that one large endpoint's
+    terms are not sorted in one task."""
     terms = tf.groupBy("endpoint", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("endpoint").orderBy(F.desc("n"), "term"))
-    return terms.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+    order = (F.desc("n"), "term")
+    for by in (["endpoint", F.pmod(F.xxhash64("term"), F.lit(PARTS))], ["endpoint"]):
+        terms = terms.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= limit).drop("_r")
+    return terms
 
 
 def tfidf(tf: DataFrame, sizes: DataFrame, limit: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:

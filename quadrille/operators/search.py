@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import popularity, query_text, zscore
+from ..scratch import stored
 from .index import term_counts
 
 TOP_K, SPARSE, DENSE, POPULARITY = 3, 0.7, 0.3, 0.0
@@ -21,21 +22,37 @@ def query_terms(generics: DataFrame, accents: bool = True) -> DataFrame:
     return term_counts(q, accents=accents, keys=("generic",))
 
 
-def sparse_scores(terms: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+def sparse_scores(terms: DataFrame, postings: DataFrame, queries: DataFrame, repair: bool = False) -> DataFrame:
     """``generic, endpoint, row_id, score_sparse``: cosine, rows without a common term
-    left out. A missing idf counts as 1."""
-    q = queries.join(terms.select("endpoint", "term", "idf"), "term").withColumn("_w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    left out. A missing idf counts as 1; with ``repair`` also that of a missing term row."""
+    # a term row that lost its idf, or lost with its row, still has postings
+    known = terms.select("endpoint", "term", "idf").unionByName(postings.select("endpoint", "term").distinct().join(terms, ["endpoint", "term"], "left_anti").withColumn("idf", F.lit(1.0))) if repair else terms.select("endpoint", "term", "idf")
+    q = queries.join(known, "term").withColumn("_w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("generic", "endpoint")))
     q = q.select("generic", "endpoint", "term", (F.col("_w") / norm).alias("_q"))
     met = postings.join(q, ["endpoint", "term"])
     return met.groupBy("generic", "endpoint", "row_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score_sparse"))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def dense_scores(vectors: DataFrame, queries: DataFrame | None) -> DataFrame:
     """``generic, endpoint, row_id, score_dense``: inner products of ``endpoint, row_id,
-    embedding`` with ``generic, endpoint, query`` of the same endpoint."""
+    embedding`` with ``generic, endpoint, query`` of the same endpoint; without queries, ``vectors`` has them by row."""
     dot = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(queries, "endpoint").select("generic", "endpoint", "row_id", dot.alias("score_dense"))
+    met = vectors if queries is None else vectors.join(queries, "endpoint")
+    return met.select("generic", "endpoint", "row_id", dot.alias("score_dense"))
+
+
+def dense_all(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``generic, endpoint, row_id, score_dense`` of every row and each of ``generic, query``:
+    the query vectors of a batch ride along as one array."""
+    listed = queries.agg(F.collect_list(F.struct("generic", "query")).alias("_q")).first()["_q"]  # the placeholders of a query batch
+    each = F.array(*[F.struct(F.lit(r["generic"]).alias("generic"), F.array(*[F.lit(float(x)) for x in r["query"]]).alias("query")) for r in listed])
+    return dense_scores(vectors.select("endpoint", "row_id", "embedding", F.inline(each)), None)
+
+
+def candidate_totals(candidates: DataFrame) -> DataFrame:
+    """``generic, endpoints, candidates``: how many a placeholder has."""
+    return candidates.groupBy("generic").agg(F.countDistinct("endpoint").alias("endpoints"), F.count("*").alias("candidates"))
 
 
 def fuse(scored: DataFrame, w_sparse: float = SPARSE, w_dense: float = DENSE, popa: float = POPULARITY) -> DataFrame:
@@ -56,11 +73,11 @@ def search(index: dict[str, DataFrame], generics: DataFrame, k: int = TOP_K, w_s
     local_name, usage_count, score_sparse, score_dense, score_fused``.
 
     Rows that share no term have score 0 and can still be candidates where an endpoint has
-    fewer than ``k`` matches. Mean and deviation of the z-score need only sums over the
+    fewer than ``k`` matches, by predicate. Mean and deviation of the z-score need only sums over the
     matching rows and the endpoint's size, so the rows without a match are not paired with
-    every generic: each endpoint keeps its ``k`` best rows by popularity for them."""
+    every generic: each endpoint keeps its first ``2 k`` rows by predicate for them."""
     meta = index["meta"].select("endpoint", "row_id", "predicate", "local_name", "usage_count")
-    hits = sparse_scores(index["terms"], index["postings"], query_terms(generics, accents))
+    hits = stored(sparse_scores(index["terms"], index["postings"], query_terms(generics, accents)), "search-hits")
     if popa or dense is not None:
         # popularity or vectors rank all rows: a generic is scored against all of an endpoint
         pairs = _all_rows(meta, generics)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Tables mapped directly to triples: key columns and the columns that become predicates.
@@ -18,18 +20,24 @@ DIRECT = {
 LINKS = {"n_regionkey": "region", "c_nationkey": "nation", "s_nationkey": "nation", "o_custkey": "customer", "l_partkey": "part", "l_suppkey": "supplier"}
 
 
-def direct_triples(spark: SparkSession, sf_dir: str, tables=tuple(DIRECT)) -> DataFrame:
-    """``endpoint, s, p, o`` of table rows: a triple per non-null mapped column."""
-    out = None
+def direct_triples(spark: SparkSession, sf_dir: str, tables=tuple(DIRECT), by_predicate: bool = False) -> DataFrame:
+    """``endpoint, s, p, o`` of table rows: a triple per non-null mapped column.
+
+    One scan gives all triples of a table; with ``by_predicate`` each column is a branch
+    with its predicate as a constant, so that a query which names predicates reads only
+    their columns."""
+    value = lambda c: F.concat(F.lit(f"ex:{LINKS[c]}/"), F.col(c)) if c in LINKS else F.col(c).cast("string")
+    parts = []
     for t in tables:
         keys, cols = DIRECT[t]
-        df = spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*keys, *[c for c in cols if c not in keys])
-        s = F.concat(F.lit(f"ex:{t}/"), F.concat_ws("-", *keys))
-        value = lambda c: F.concat(F.lit(f"ex:{LINKS[c]}/"), F.col(c)) if c in LINKS else F.col(c).cast("string")
-        pairs = F.array(*[F.struct(F.lit(f"ex:{t}#{c}").alias("p"), value(c).alias("o")) for c in cols])
-        df = df.select(F.lit(t).alias("endpoint"), s.alias("s"), F.inline(pairs)).where("o is not null")
-        out = df if out is None else out.unionByName(df)
-    return out
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        s, at = F.concat(F.lit(f"ex:{t}/"), F.concat_ws("-", *keys)).alias("s"), F.lit(t).alias("endpoint")
+        if by_predicate:
+            parts += [df.where(F.col(c).isNotNull()).select(at, s, F.lit(f"ex:{t}#{c}").alias("p"), value(c).alias("o")) for c in cols]
+        else:
+            pairs = F.array(*[F.struct(F.lit(f"ex:{t}#{c}").alias("p"), value(c).alias("o")) for c in cols])
+            parts.append(df.select(at, s, F.inline(pairs)).where("o is not null"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predicate_counts(uses: DataFrame, *by: str) -> DataFrame:
@@ -47,5 +55,11 @@ def merged_counts(counts: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by, "predicate").agg(F.sum("usage_count").alias("usage_count"))
 
 
+def most_common(uses: DataFrame, key: str, position: str) -> DataFrame:
+    """``key, n`` by count descending, ties by first use."""
+    counts = uses.groupBy(key).agg(F.count("*").alias("n"), F.min(position).alias("_first"))
+    return counts.orderBy(F.desc("n"), "_first").drop("_first")
+
+
 def predicate_total(counts: DataFrame) -> DataFrame:
     return counts.agg(F.countDistinct("predicate").alias("n_predicates"), F.sum("usage_count").alias("n_statements"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as tx
 from .operators import evaluation, index as ix, search as se, selection as sel, stats
-from .plans.execute import execute
+from .engine import generic_uses
+from .plans.execute import execute, lexical
 from .plans.rewrite import rewrite
 from .plans.sparql import generic_triples, generics, parse
+from .scratch import new_path
+from .sources import catalog, rdf, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,8 +105,9 @@ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i]
 UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w)
 SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct FROM g GROUP BY doc_id""")
 def word_ngrams(spark, d):
-    tf = ix.term_counts(_t(spark, d, "documents"), accents=False, keys=("doc_id",))
-    return tf.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count("*").alias("n_distinct"))
+    grams = tx.word_ngrams(tx.words("text"))
+    per = _t(spark, d, "documents").where("text is not null").select("doc_id", F.size(grams).cast("long").alias("n"), F.size(F.array_distinct(grams)).cast("long").alias("n_distinct"))
+    return per.where("n > 0")
 
 
 def _part_tf(spark, d):
@@ -140,19 +144,20 @@ def tfidf_vocab_cap(spark, d):
     return ix.capped_terms(_part_tf(spark, d)[1], 3)
 
 
-_GENERICS = ("gen:steel", "gen:small_brass", "gen:widget")
+#: Queries of the searches: types of the parts whose key is divisible by 100.
+_GENERICS = "SELECT DISTINCT 'gen:' || lower(replace(p_type, ' ', '_')) FROM part WHERE p_partkey % 100 = 0"
 
 
 def _search(spark, d, popa):
     p = _t(spark, d, "part").select(F.col("p_brand").alias("endpoint"), F.concat(F.lit("ex:part/"), F.col("p_partkey").cast("string")).alias("predicate"), F.col("p_type").alias("local_name"), F.col("p_size").cast("long").alias("usage_count"))
     index = ix.build_index(p, accents=False)
-    names = spark.createDataFrame([(g,) for g in _GENERICS], "generic string")
+    asked = F.concat(F.lit("gen:"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))))
+    names = _t(spark, d, "part").where("p_partkey % 100 = 0").select(asked.alias("generic")).distinct()
     out = se.search(index, names, popa=popa, accents=False)
     return out.select("generic", "endpoint", "rank", "predicate", "usage_count", F.round("score_sparse", 5).alias("score_sparse"), F.round("score_fused", 4).alias("score_fused"))
 
 
 def _search_sql(popa: float) -> str:
-    gen = ", ".join(f"('{g}')" for g in _GENERICS)
     label = "lower(regexp_replace(regexp_replace(regexp_extract(regexp_extract({0}, '([^/]*)$', 1), '([^#]*)$', 1), '[_.+{1}]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))"
     grams = "unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
     lab = lambda c: label.format(c, "\\-")
@@ -163,7 +168,7 @@ sz AS (SELECT endpoint, count(*) AS size FROM m GROUP BY ALL),
 terms AS (SELECT endpoint, term, ln((1.0 + any_value(size)) / (1.0 + count(*))) + 1 AS idf FROM tf JOIN sz USING (endpoint) GROUP BY ALL),
 pw AS (SELECT endpoint, predicate, term, tf * idf AS w FROM tf JOIN terms USING (endpoint, term)),
 post AS (SELECT endpoint, predicate, term, w / sqrt(sum(w * w) OVER (PARTITION BY endpoint, predicate)) AS weight FROM pw),
-g AS (SELECT g AS generic, regexp_extract_all(lower(g || ' ' || {label.format('g', '')}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM (VALUES {gen}) v(g)),
+g AS (SELECT g AS generic, regexp_extract_all(lower(g || ' ' || {label.format('g', '')}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM ({_GENERICS}) v(g)),
 qt AS (SELECT generic, term, count(*) AS tf FROM (SELECT generic, {grams} AS term FROM g) GROUP BY ALL),
 qw AS (SELECT generic, endpoint, term, tf * idf AS w FROM qt JOIN terms USING (term)),
 qn AS (SELECT generic, endpoint, term, w / sqrt(sum(w * w) OVER (PARTITION BY generic, endpoint)) AS q FROM qw),
@@ -186,25 +191,25 @@ def candidate_search_popularity(spark, d):
 
 def _vectors(spark, d):
     e = _t(spark, d, "embeddings").select(F.concat(F.lit("label"), "label").alias("endpoint"), F.col("vec_id").alias("row_id"), "embedding")
-    first = e.groupBy("endpoint").agg(F.min_by("embedding", "row_id").alias("query")).withColumn("generic", F.lit("gen:vector"))
-    return e, se.dense_scores(e, first)
+    asked = e.where("row_id % 100 = 0").select("endpoint", F.concat(F.lit("gen:"), "row_id").alias("generic"), F.col("embedding").alias("query"))
+    return e, se.dense_scores(e, asked)
 
 
 _DOT = """WITH e AS (SELECT 'label' || label AS endpoint, vec_id AS row_id, embedding FROM embeddings),
-q AS (SELECT endpoint, arg_min(embedding, row_id) AS query FROM e GROUP BY endpoint),
-s AS (SELECT 'gen:vector' AS generic, endpoint, row_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * query[i]::DOUBLE)) AS d FROM e JOIN q USING (endpoint))
+q AS (SELECT endpoint, 'gen:' || row_id AS generic, embedding AS query FROM e WHERE row_id % 100 = 0),
+s AS (SELECT generic, endpoint, row_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * query[i]::DOUBLE)) AS d FROM e JOIN q USING (endpoint))
 """
 
 
-@query(_DOT + "SELECT generic, endpoint, row_id, round(d, 5) AS score_dense, row_number() OVER (PARTITION BY endpoint ORDER BY round(d, 5) DESC, row_id)::INTEGER AS rank FROM s QUALIFY rank <= 3")
+@query(_DOT + "SELECT generic, endpoint, row_id, round(d, 5) AS score_dense, row_number() OVER (PARTITION BY generic, endpoint ORDER BY round(d, 5) DESC, row_id)::INTEGER AS rank FROM s QUALIFY rank <= 3")
 def dense_topk(spark, d):
     scores = _vectors(spark, d)[1].withColumn("score_dense", F.round("score_dense", 5))
     return se.top_k(scores, score="score_dense", tie="row_id")
 
 
 @query(_DOT + """, f AS (SELECT generic, endpoint, row_id, round(d, 5) AS d, CAST(row_id % 7 AS DOUBLE) AS sp FROM s),
-z AS (SELECT generic, endpoint, row_id, round(0.7 * (sp - avg(sp) OVER w) / (stddev_pop(sp) OVER w + 1e-9) + 0.3 * (d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-9), 4) AS score_fused FROM f WINDOW w AS (PARTITION BY endpoint))
-SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY score_fused DESC, row_id)::INTEGER AS rank FROM z QUALIFY rank <= 3""")
+z AS (SELECT generic, endpoint, row_id, round(0.7 * (sp - avg(sp) OVER w) / (stddev_pop(sp) OVER w + 1e-9) + 0.3 * (d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-9), 4) AS score_fused FROM f WINDOW w AS (PARTITION BY generic, endpoint))
+SELECT *, row_number() OVER (PARTITION BY generic, endpoint ORDER BY score_fused DESC, row_id)::INTEGER AS rank FROM z QUALIFY rank <= 3""")
 def hybrid_topk(spark, d):
     scores = _vectors(spark, d)[1].withColumns({"score_dense": F.round("score_dense", 5), "score_sparse": (F.col("row_id") % 7).cast("double"), "usage_count": F.lit(0)})
     fused = se.fuse(scores).withColumn("score_fused", F.round("score_fused", 4))
@@ -234,9 +239,9 @@ def endpoint_lookup(spark, d):
     return sel.with_url(chosen, catalog).select("c_custkey", "endpoint", "url")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 250000)")
 def unmapped_anti(spark, d):
-    return _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return _t(spark, d, "customer").join(_t(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -282,7 +287,7 @@ _PREFIX = "".join(f"PREFIX {t}: <ex:{t}#>\n" for t in stats.DIRECT)
 
 
 def _run(spark, d, text: str) -> DataFrame:
-    return execute(_to_iris(text), stats.direct_triples(spark, d))
+    return execute(_to_iris(text), stats.direct_triples(spark, d, by_predicate=True))
 
 
 def _to_iris(text: str) -> str:
@@ -335,18 +340,293 @@ def var_predicate(spark, d):
 @query("""SELECT 'ex:customer/' || c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def service_execute(spark, d):
     q = rewrite("SELECT ?c ?n WHERE { ?c gen:home ?x . ?x gen:name ?n . }", {"gen:home": {"cust": "ex:customer#c_nationkey"}, "gen:name": {"nat": "ex:nation#n_name"}}, {"cust": "http://c/sparql", "nat": "http://n/sparql"})
-    return execute(q, stats.direct_triples(spark, d), endpoints={"customer": "http://c/sparql", "nation": "http://n/sparql"})
+    return execute(q, stats.direct_triples(spark, d, by_predicate=True), endpoints={"customer": "http://c/sparql", "nation": "http://n/sparql"})
 
 
 _CORPUS = {
     "union": "SELECT ?v WHERE { { ?s gen:a ?r . ?r gen:b ?v } UNION { ?u gen:a ?r . ?r gen:c ?v } }",
     "optional": 'SELECT * WHERE { ?s gen:a ?r . OPTIONAL { ?r gen:b ?v . FILTER (?v > 3) } OPTIONAL { ?r gen:c "x"@en } } LIMIT 5',
+    "ask": "PREFIX e: <http://e /  >\nASK { ?s gen:a e:x }",
+    "construct": "CONSTRUCT { ?s gen:zz ?o } WHERE { ?s gen:a ?o }",
 }
 
 
-@query()
+#: What rewriting makes of the corpus: placeholders of one endpoint and block share a SERVICE.
+_REWRITTEN = {
+    "union": (3, 4, """SELECT ?v
+WHERE {
+  {
+    SERVICE <http://one/> {
+      ?s <ex:p> ?r .
+      ?r <ex:q> ?v .
+    }
+  }
+  UNION
+  {
+    SERVICE <http://one/> {
+      ?u <ex:p> ?r .
+    }
+    SERVICE <http://two/> {
+      ?r <ex:r> ?v .
+    }
+  }
+}
+"""),
+    "optional": (3, 3, """SELECT *
+WHERE {
+  SERVICE <http://one/> {
+    ?s <ex:p> ?r .
+  }
+  OPTIONAL {
+    SERVICE <http://one/> {
+      ?r <ex:q> ?v .
+    }
+    FILTER (?v > 3)
+  }
+  OPTIONAL {
+    SERVICE <http://two/> {
+      ?r <ex:r> "x"@en .
+    }
+  }
+}
+LIMIT 5
+"""),
+    "ask": (1, 1, """PREFIX e: <http://e/>
+ASK
+WHERE {
+  SERVICE <http://one/> {
+    ?s <ex:p> e:x .
+  }
+}
+"""),
+    "construct": (2, 1, """CONSTRUCT { ?s gen:zz ?o }
+WHERE {
+  SERVICE <http://one/> {
+    ?s <ex:p> ?o .
+  }
+}
+"""),
+}
+_EXPECTED = ", ".join(f"('{k}', {n}::INTEGER, {m}::INTEGER, '{t.replace(chr(39), chr(39) * 2)}')" for k, (n, m, t) in _REWRITTEN.items())
+
+
+@query(f"SELECT * FROM (VALUES {_EXPECTED}) v(query_id, n_generics, n_triples, rewritten)")
 def service_grouping(spark, d):
     """Rewriting is text work on the driver, a row per query."""
     chosen = {"gen:a": {"one": "ex:p"}, "gen:b": {"one": "ex:q"}, "gen:c": {"two": "ex:r"}}
     rows = [(k, len(generics(t)), len(generic_triples(parse(t))), rewrite(t, chosen, {"one": "http://one/", "two": "http://two/"})) for k, t in _CORPUS.items()]
     return spark.createDataFrame(rows, "query_id string, n_generics int, n_triples int, rewritten string")
+
+
+# --- sources and sinks: tables are written in the reference's file formats and read back
+_NT = """nt AS (SELECT '<http://x/nation/' || n_nationkey || '>' AS s, '<http://x/name>' AS p, '"' || n_name || '"@en' AS o FROM nation
+UNION ALL SELECT '<http://x/nation/' || n_nationkey || '>', '<http://x/in>', '<http://x/region/' || n_regionkey || '>' FROM nation
+UNION ALL SELECT '<http://x/supplier/' || s_suppkey || '>', '<http://x/at>', '<http://x/nation/' || s_nationkey || '>' FROM supplier)
+"""
+
+
+def _nt_triples(spark, d) -> DataFrame:
+    iri = lambda kind, key: F.concat(F.lit(f"<http://x/{kind}/"), F.col(key).cast("string"), F.lit(">"))
+    n, s = _t(spark, d, "nation"), _t(spark, d, "supplier")
+    of = lambda df, s, p, o: df.select(s.alias("s"), F.lit(f"<http://x/{p}>").alias("p"), o.alias("o"))
+    out = of(n, iri("nation", "n_nationkey"), "name", F.concat(F.lit('"'), "n_name", F.lit('"@en'))).unionByName(of(n, iri("nation", "n_nationkey"), "in", iri("region", "n_regionkey")))
+    return out.unionByName(of(s, iri("supplier", "s_suppkey"), "at", iri("nation", "s_nationkey")))
+
+
+def _nt_files(spark, d) -> str:
+    """N-Triples with comments, blank and broken lines among them; one part compressed."""
+    path = new_path(spark, "nt")
+    sinks.write_ntriples(_nt_triples(spark, d), path)
+    noise = spark.createDataFrame([("# a comment <http://x/a> <http://x/b> .",), ("",), ("<http://x/only> <http://x/two>",), ("<http://x/s> plain <http://x/o> .",)], "value string")
+    noise.coalesce(1).write.mode("append").option("compression", "gzip").text(path)
+    return path
+
+
+def _read_nt(spark, d) -> DataFrame:
+    return rdf.read_ntriples(spark, _nt_files(spark, d), "x", glob="*.{txt,txt.gz}")
+
+
+@query("WITH " + _NT + "SELECT 'x' AS endpoint, s, p, o FROM nt")
+def ntriples_scan(spark, d):
+    return _read_nt(spark, d).select("endpoint", "s", "p", "o")
+
+
+@query("WITH " + _NT + """, l AS (SELECT s || ' ' || p || ' ' || o || ' .' AS v FROM nt UNION ALL VALUES ('<http://x/only> <http://x/two>'), ('<http://x/s> plain <http://x/o> .'))
+SELECT '<' || regexp_extract_all(v, '<([^>]+)>', 1)[2] || '>' AS p, count(*)::BIGINT AS n FROM l WHERE len(regexp_extract_all(v, '<([^>]+)>', 1)) > 1 GROUP BY ALL""")
+def second_iri_scan(spark, d):
+    uses = rdf.predicates(spark, _nt_files(spark, d), "second_iri", glob="*.{txt,txt.gz}")
+    return uses.groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + _NT + "SELECT n.n_name AS name, count(*)::BIGINT AS suppliers FROM supplier JOIN nation n ON s_nationkey = n_nationkey GROUP BY ALL")
+def query_over_dump(spark, d):
+    """A query over triples as the sources read them."""
+    got = execute("SELECT ?s ?name WHERE { ?s <http://x/at> ?n . ?n <http://x/name> ?name }", _read_nt(spark, d))
+    return got.groupBy(lexical(F.col("name")).alias("name")).agg(F.count("*").alias("suppliers"))
+
+
+@query("SELECT n_nationkey AS k FROM nation WHERE n_name = 'FRANCE'")
+def literal_with_language(spark, d):
+    """``"x"@en`` equals neither ``"x"@fr`` nor ``"x"``."""
+    quads = _read_nt(spark, d)
+    ask = lambda o: execute(f"SELECT ?n WHERE {{ ?n <http://x/name> {o} }}", quads)
+    hit = ask('"FRANCE"@en').unionByName(ask('"FRANCE"@fr')).unionByName(ask("'FRANCE'@de"))
+    return hit.select(F.regexp_extract("n", r"nation/(\d+)", 1).cast("int").alias("k"))
+
+
+@query("WITH " + _NT + "SELECT count(*)::BIGINT AS usage_count, p AS predicate, row_number() OVER (ORDER BY count(*) DESC, p DESC)::INTEGER AS place FROM nt GROUP BY p")
+def frequency_file(spark, d):
+    """Written as count and IRI by line, most used first, and read back in that order."""
+    path = new_path(spark, "freq")
+    sinks.write_frequencies(stats.predicate_counts(_read_nt(spark, d)), path)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("place", "v"))
+    return lines.select(F.split("v", "\t")[0].cast("long").alias("usage_count"), F.split("v", "\t")[1].alias("predicate"), (F.col("place") + 1).alias("place"))
+
+
+_COUNTED = "WITH " + _NT + ", c AS (SELECT btrim(p, '<>') AS iri, count(*)::BIGINT AS usage_count FROM nt GROUP BY p)\n"
+_COUNTED = _COUNTED.replace("btrim(p, '<>')", "trim(p, '<>')")
+
+
+@query(_COUNTED + "SELECT iri, usage_count, regexp_extract(iri, '([^/#]*)$', 1) AS local_name FROM c")
+def predicate_lines(spark, d):
+    path = new_path(spark, "ndjson")
+    sinks.write_ndjson(stats.predicate_counts(_read_nt(spark, d)), path)
+    return spark.read.schema("iri string, usage_count long, local_name string").json(path)
+
+
+@query(_COUNTED + "SELECT 'x' AS endpoint, iri AS predicate, regexp_extract(iri, '([^/#]*)$', 1) AS local_name, usage_count FROM c")
+def predicate_documents(spark, d):
+    """An endpoint's document, written and read as index records."""
+    path = new_path(spark, "document")
+    sinks.predicate_document(stats.predicate_counts(_read_nt(spark, d)), "x").coalesce(1).write.text(path)
+    return catalog.predicate_records(spark, path, "x")
+
+
+def _turtle_files(spark, d) -> str:
+    """A file of Turtle with prefixes, a broken statement, lists of objects; RDF/XML beside it."""
+    path = new_path(spark, "turtle")
+    n = _t(spark, d, "nation")
+    line = F.format_string('n:%d x:name "%s"@en ;\n  x:in r:%d , <all> .', "n_nationkey", "n_name", "n_regionkey")
+    body = n.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("b")).select(F.concat(F.lit("@prefix n: <http://x/nation/> .\n@prefix r: <http://x/region/> .\nPREFIX x: <http://x/>\n@base <http://x/> .\nn:bad x:name .\n"), "b").alias("value"))
+    body.write.option("lineSep", "\n").text(path)
+    region = F.format_string('<rdf:Description rdf:about="http://x/region/%d"><x:name xml:lang="en">%s</x:name></rdf:Description>', "r_regionkey", "r_name")
+    xml = _t(spark, d, "region").agg(F.array_join(F.array_sort(F.collect_list(region)), "").alias("b")).select(F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x/">'), "b", F.lit("</rdf:RDF>")).alias("value"))
+    xml.write.text(path + "-xml")
+    return path
+
+
+_TURTLE = """SELECT '<http://x/nation/' || n_nationkey || '>' AS s, '<http://x/name>' AS p, '"' || n_name || '"@en' AS o FROM nation
+UNION ALL SELECT '<http://x/nation/' || n_nationkey || '>', '<http://x/in>', '<http://x/region/' || n_regionkey || '>' FROM nation
+UNION ALL SELECT '<http://x/nation/' || n_nationkey || '>', '<http://x/in>', '<http://x/all>' FROM nation"""
+
+
+@query(_TURTLE)
+def turtle_scan(spark, d):
+    """In chunks of few statements: prefixes go with each."""
+    return rdf.read_statements(spark, _turtle_files(spark, d), glob="*.txt", chunk=7)[0].select("s", "p", "o")
+
+
+@query("SELECT 1::BIGINT AS failures, 'n:bad x:name' AS chunk")
+def failed_statements(spark, d):
+    bad = rdf.read_statements(spark, _turtle_files(spark, d), glob="*.txt")[1]
+    return bad.groupBy(F.regexp_extract("chunk", r"(n:bad x:name)", 1).alias("chunk")).agg(F.count("*").alias("failures"))
+
+
+@query("SELECT '<http://x/region/' || r_regionkey || '>' AS s, '<http://x/name>' AS p, '\"' || r_name || '\"@en' AS o FROM region")
+def rdfxml_scan(spark, d):
+    path = _turtle_files(spark, d) + "-xml"
+    text = spark.read.text(path, wholetext=True)
+    return rdf.parse_texts(text.select(F.lit("r.rdf").alias("path"), F.col("value").cast("binary").alias("content")))[0].select("s", "p", "o")
+
+
+@query("""SELECT '<http://bio2rdf.org/nation:' || n_nationkey || '>' AS s, '<http://bio2rdf.org/in>' AS p, '<http://bio2rdf.org/r%20' || n_regionkey || '%27s>' AS o FROM nation
+UNION ALL SELECT '<http://bio2rdf.org/nation:' || n_nationkey || '>', '<http://bio2rdf.org/name>', '"' || n_name || '"' FROM nation""")
+def n3_conversion(spark, d):
+    """Broken lines are repaired, parsed and written as N-Triples, which are read again."""
+    path, out = new_path(spark, "n3"), new_path(spark, "converted")
+    n = _t(spark, d, "nation")
+    a = n.select(F.format_string("<<http://bio2rdf.org/nation:%d>> <http://bio2rdf.org/in> <http://bio2rdf.org/r %d's;> .", "n_nationkey", "n_regionkey").alias("value"))
+    b = n.select(F.format_string('http://bio2rdf.org/nation:%d b:name "%s" .', "n_nationkey", "n_name").alias("value"))
+    head = spark.createDataFrame([("@prefix b: <http://bio2rdf.org/> .",)], "value string")
+    head.unionByName(a).unionByName(b).coalesce(1).write.text(path)
+    good, _ = rdf.read_statements(spark, path, glob="*.txt", repair=True, chunk=10)
+    sinks.write_ntriples(good, out)
+    return rdf.read_ntriples(spark, out, glob="*.txt").select("s", "p", "o")
+
+
+@query(_TF + "SELECT endpoint, term, df, round(idf, 6) AS idf FROM terms")
+def index_files(spark, d):
+    """An index written by endpoint and read back."""
+    path = new_path(spark, "index")
+    parts, tf = _part_tf(spark, d)
+    terms, post = ix.tfidf(tf, parts.groupBy("endpoint").agg(F.count("*").alias("size")))
+    sinks.write_index({"meta": parts, "terms": terms, "postings": post}, path)
+    return sinks.read_index(spark, path)["terms"].select("endpoint", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("SELECT n_name AS id, 'http://' || n_name || '/sparql' AS url FROM nation WHERE n_nationkey % 2 = 0 AND n_name NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1)")
+def endpoint_catalog(spark, d):
+    """A catalog file under its several key names; endpoints with an index are passed over."""
+    path = new_path(spark, "catalog")
+    n = _t(spark, d, "nation").where("n_nationkey % 2 = 0")
+    entry = F.when(F.col("n_nationkey") % 4 == 0, F.format_string("  - id: '%s'\n    url: 'http://%s/sparql'", "n_name", "n_name")).otherwise(F.format_string("  - name: '%s'\n    service: 'http://%s/sparql'", "n_name", "n_name"))
+    n.agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("b")).select(F.concat(F.lit("endpoints:\n"), "b").alias("value")).write.text(path)
+    found = catalog.read_endpoints(spark, path).withColumnRenamed("id", "endpoint")
+    built = _t(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("endpoint"))
+    return catalog.not_built(found, built).withColumnRenamed("endpoint", "id")
+
+
+@query("""SELECT 'q' || n_nationkey AS query_id, unnest(['gen:in', 'gen:r' || n_regionkey]) AS gen_predicate, unnest([0, 1])::INTEGER AS pos FROM nation""")
+def query_corpus(spark, d):
+    """Queries as files; their placeholders in order of first use."""
+    q = _t(spark, d, "nation").select(F.concat(F.lit("q"), "n_nationkey").alias("query_id"), F.format_string("SELECT * WHERE { ?s gen:in ?o . ?o gen:r%d ?x . ?x gen:in ?y }", "n_regionkey").alias("text"))
+    return generic_uses(q).select("query_id", "gen_predicate", "pos")
+
+
+@query("SELECT 'gen:' || lower(n_name) AS gen_predicate, '<http://x/' || n_nationkey || '>' AS expected FROM nation")
+def gold_mapping(spark, d):
+    path = new_path(spark, "gold")
+    n = _t(spark, d, "nation")
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("gen:"), F.lower("n_name")), F.format_string("<http://x/%d>", "n_nationkey")))))
+    n.agg(F.to_json(F.map_concat(F.create_map(F.lit("_note"), F.lit("x"), F.lit("$schema"), F.lit("y")), pairs)).alias("value")).write.text(path)
+    return catalog.read_gold(spark, path)
+
+
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(w)::INTEGER AS n, md5(array_to_string(w, ' ')) AS words FROM w")
+def accents_stripped(spark, d):
+    w = tx.words(tx.strip_accents("text"))
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("words"))
+
+
+@query("SELECT page_id, url AS bare, '<' || replace(url, ' ', '') || '>' AS bracketed, CASE WHEN regexp_full_match(split_part(url, '/', 5), '[0-9]+') THEN split_part(url, '/', 5)::BIGINT ELSE 0 END AS number FROM pages")
+def iri_forms(spark, d):
+    p = _t(spark, d, "pages").withColumn("x", F.concat(F.lit(" <"), "url", F.lit("> ")))
+    return p.select("page_id", tx.bare_iri("x").alias("bare"), tx.bracketed_iri("x").alias("bracketed"), tx.long_or_zero(F.split_part("url", F.lit("/"), F.lit(5))).alias("number"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, min(event_id))::INTEGER AS place FROM events GROUP BY event_type")
+def most_common_first_seen(spark, d):
+    ranked = stats.most_common(_t(spark, d, "events"), "event_type", "event_id")
+    return ranked.agg(F.collect_list(F.struct("event_type", "n")).alias("r")).select(F.posexplode("r").alias("p", "r")).select("r.event_type", "r.n", (F.col("p") + 1).alias("place"))
+
+
+@query("""SELECT 'gen:c' || o_custkey AS generic, o_orderpriority AS endpoint, arg_max(o_orderstatus, o_orderkey) AS predicate FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL""")
+def selector_answers(spark, d):
+    """Answers as a model gives them, with invalid keys, to the last valid choice."""
+    o = _t(spark, d, "orders").orderBy("o_orderkey")
+    key = F.when(F.col("o_custkey") % 5 == 0, "gen:").otherwise(F.concat(F.lit("gen:c"), "o_custkey"))
+    row = F.struct("o_orderkey", F.struct(key.alias("generic"), F.col("o_orderpriority").alias("endpoint"), F.col("o_orderstatus").alias("predicate"), F.lit("why").alias("reason"), F.lit(0.5).alias("confidence")).alias("m"))
+    answers = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("r")).select(F.to_json(F.struct(F.col("r.m").alias("mappings"))).alias("response"))
+    return sel.last_write(sel.valid(sel.parse_response(answers))).select("generic", "endpoint", "predicate")
+
+
+@query("""SELECT 'gen:c' || o_custkey AS generic, count(DISTINCT o_orderpriority)::BIGINT AS endpoints, count(*)::BIGINT AS candidates FROM orders GROUP BY ALL""")
+def candidate_totals(spark, d):
+    return se.candidate_totals(_mapping_rows(spark, d))
+
+
+@query(_JUDGED + "SELECT query_id, count(*)::BIGINT AS total, count(*) FILTER (correct)::BIGINT AS correct, count(*) FILTER (NOT correct)::BIGINT AS incorrect, count(*) FILTER (replaced)::BIGINT AS replaced FROM j GROUP BY ALL")
+def report_file(spark, d):
+    path = new_path(spark, "report")
+    sinks.write_report(evaluation.per_query(_judged(spark, d)), path)
+    return spark.read.schema("query_id string, total long, correct long, incorrect long, replaced long").json(path)

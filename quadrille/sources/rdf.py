@@ -19,6 +19,11 @@ MODES = ("nt_fields", "second_iri", "graph")
 FORMATS = {"nt": "nt", "n3": "n3", "ttl": "turtle", "rdf": "xml", "xml": "xml", "owl": "xml"}
 
 
+#: Statements parsed together.
+CHUNK = 500
+_ONLY_HEAD = re.compile(r"(?i)^(?:\s*#[^\n]*(?:\n|$))*\s*$|^\s*@?(?:prefix\s+[^\s:]*:|base)\s*<[^>]*>\s*$")
+
+
 class NoInput(FileNotFoundError):
     """The folder holds no dump."""
 
@@ -45,13 +50,13 @@ def read_ntriples(spark: SparkSession, path: str, endpoint: str | None = None, g
     return x.select(F.lit(endpoint).alias("endpoint"), "file", F.col("f")[0].alias("s"), F.col("f")[1].alias("p"), obj.alias("o"))
 
 
-def predicates(spark: SparkSession, path: str, mode: str = "nt_fields", endpoint: str | None = None) -> DataFrame:
+def predicates(spark: SparkSession, path: str, mode: str = "nt_fields", endpoint: str | None = None, glob: str = "*.{nt,nt.gz}") -> DataFrame:
     """``endpoint, file, p``, a row per use, by one of three ways to count: the second
     field of a line; the second ``<...>`` of a line; distinct triples of a file."""
     if mode == "nt_fields":
-        return read_ntriples(spark, path, endpoint).select("endpoint", "file", "p")
+        return read_ntriples(spark, path, endpoint, glob).select("endpoint", "file", "p")
     if mode == "second_iri":
-        lines = _lines(spark, path, "*.{nt,nt.gz}").where(~F.trim("value").startswith("#"))
+        lines = _lines(spark, path, glob).where(~F.trim("value").startswith("#"))
         p = F.get(F.regexp_extract_all("value", F.lit("<([^>]+)>"), F.lit(1)), F.lit(1))
         return lines.select(F.lit(endpoint).alias("endpoint"), "file", F.concat(F.lit("<"), p, F.lit(">")).alias("p")).where("p is not null")
     if mode == "graph":
@@ -93,7 +98,7 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
     def blank() -> str:
         nonlocal fresh
         fresh += 1
-        return f"_:b{fresh}"
+        return f"_:genid{fresh}"
 
     def term() -> str:
         nonlocal i
@@ -169,6 +174,8 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
         if word in ("prefix", "base"):
             dotted, i = tokens[i]["at"] is not None, i + 1
             if word == "prefix":
+                if kind() != "name":
+                    raise TurtleError("expected a prefix")
                 name, i = tokens[i]["name"] or "", i + 1
                 prefix[name] = term()[1:-1]
             else:
@@ -227,7 +234,11 @@ def parse_rdfxml(text: str) -> Iterator[tuple[str, str, str]]:
 def read_rdf(spark: SparkSession, path: str, endpoint: str | None = None, glob: str = "*.{nt,nt.gz,rdf,xml,n3,ttl}") -> tuple[DataFrame, DataFrame]:
     """Triples of all files, and ``file, error`` of those that cannot be parsed. Format by
     suffix; a gzip file is opened in the task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return parse_texts(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path), endpoint)
+
+
+def parse_texts(files: DataFrame, endpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same, of ``path, content``."""
 
     def parse(batches):
         import gzip
@@ -241,8 +252,8 @@ def read_rdf(spark: SparkSession, path: str, endpoint: str | None = None, glob:
                     text = (gzip.decompress(content) if file.endswith(".gz") else content).decode("utf-8", "replace")
                     suffix = file.removesuffix(".gz").rsplit(".", 1)[-1].lower()
                     rows = list((parse_rdfxml if FORMATS.get(suffix) == "xml" else parse_turtle)(text))
-                except (ValueError, ET.ParseError, OSError) as e:
-                    yield pd.DataFrame([(file, None, None, None, str(e)[:500])], columns=["file", "s", "p", "o", "error"])
+                except Exception as e:  # whatever is wrong with one file, the others are read
+                    yield pd.DataFrame([(file, None, None, None, f"{type(e).__name__}: {e}"[:500])], columns=["file", "s", "p", "o", "error"])
                     continue
                 for i in range(0, len(rows), 50_000):
                     part = pd.DataFrame(rows[i : i + 50_000], columns=["s", "p", "o"])
@@ -253,6 +264,67 @@ def read_rdf(spark: SparkSession, path: str, endpoint: str | None = None, glob:
     return good, got.where("error is not null").select("file", "error")
 
 
+def read_statements(spark: SparkSession, path: str, endpoint: str | None = None, glob: str = "*.{n3,ttl,nt}", recursive: bool = True, repair: bool = False, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Triples of line-wise written Turtle, N3 or N-Triples, and ``file, error, chunk`` of
+    what cannot be parsed.
+
+    Files are cut where a full stop ends a line, by Spark's reader, so large files are
+    read in many tasks. The prefixes of a file are gathered first and stand before each of
+    its chunks. A chunk that fails is parsed again statement by statement, so a failure
+    costs its own statement only. ``repair`` mends each line first. A full stop at the end
+    of a line inside a long literal also cuts; such statements end up in the failures."""
+    from ..functions.repair import repair_line
+
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("lineSep", ".\n").text(path)
+    if not lines.inputFiles():
+        raise NoInput(f"{path} has no {glob}")
+    lines = lines.select(F.col("_metadata.file_path").alias("_path"), "value")
+    head = F.regexp_extract_all("value", F.lit(r"(?im)^\s*@?(prefix\s+[^\s:]*:\s*<[^>\n]*>|base\s+<[^>\n]*>)"), F.lit(1))
+    heads = lines.where(F.lower("value").contains("prefix") | F.lower("value").contains("base")).select("_path", F.explode(head).alias("_h"))
+    heads = heads.groupBy("_path").agg(F.array_join(F.array_sort(F.collect_set("_h")), "\n").alias("_head"))
+    text = F.array_join(F.transform(F.split("value", "\n"), repair_line), "\n") if repair else F.col("value")
+    rows = lines.where(F.trim("value") != "").select("_path", text.alias("_text")).join(heads, "_path", "left")
+    rows = rows.select(F.regexp_extract("_path", "([^/]*)$", 1).alias("file"), F.coalesce("_head", F.lit("")).alias("_head"), F.xxhash64("_path", "_text").alias("_salt"), "_text")
+
+    def parse(batches):
+        import pandas as pd
+
+        def parsed(head, salt, texts):
+            body = "".join(t if t.rstrip().endswith(".") else t + "\n.\n" for t in texts if not _ONLY_HEAD.match(t))
+            own = lambda x: f"_:s{salt & (1 << 64) - 1:x}_{x[2:]}" if re.match(r"_:genid\d+$", x) else x
+            return [(own(s), p, own(o)) for s, p, o in parse_turtle(head + "\n" + body)]
+
+        for pdf in batches:
+            for (file, head), own in pdf.groupby(["file", "_head"], sort=False):
+                texts, salts = own["_text"].tolist(), own["_salt"].tolist()
+                out = []
+                for at in range(0, len(texts), chunk):
+                    some = texts[at : at + chunk]
+                    try:
+                        out += [(file, *t, None, None) for t in parsed(head, salts[at], some)]
+                    except Exception:
+                        for k, one in enumerate(some):
+                            try:
+                                out += [(file, *t, None, None) for t in parsed(head, salts[at + k], [one])]
+                            except Exception as e:
+                                out.append((file, None, None, None, f"{type(e).__name__}: {e}"[:500], one))
+                yield pd.DataFrame(out, columns=["file", "s", "p", "o", "error", "chunk"])
+
+    got = rows.mapInPandas(parse, "file string, s string, p string, o string, error string, chunk string")
+    good = got.where("error is null").select(F.lit(endpoint).alias("endpoint"), "file", "s", "p", "o")
+    return good, got.where("error is not null").select("file", "error", "chunk")
+
+
+def convert_n3(spark: SparkSession, path: str, out: str, recursive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Repairs, parses and writes N3 files as N-Triples to ``out``; the failures, which
+    ``read_statements`` tells apart, are returned."""
+    from .sinks import write_ntriples
+
+    good, bad = read_statements(spark, path, None, "*.n3", recursive, True, chunk)
+    write_ntriples(good, out)
+    return bad
+
+
 def read_n3_lines(spark: SparkSession, path: str, recursive: bool = True, dry_run: bool = False) -> DataFrame:
     """Repaired lines of N3 files; a dry run reads the first 1000."""
     from ..functions.repair import repair_line

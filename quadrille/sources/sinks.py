@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import local_name
@@ -42,8 +43,25 @@ def write_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite")
         df.write.mode(mode).partitionBy("endpoint").parquet(f"{path}/{name}")
 
 
+class MissingIndex(FileNotFoundError):
+    """A folder without an index table, as parquet or CSV."""
+
+
 def read_index(spark, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("meta", "terms", "postings")}
+    """The tables of an index, ``vectors`` if it has them; ``meta`` also as CSV."""
+    out = {}
+    for name in ("meta", "terms", "postings", "vectors"):
+        try:
+            out[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException:
+            try:
+                if name == "meta":
+                    out[name] = spark.read.csv(f"{path}/{name}.csv", header=True, inferSchema=True)
+            except AnalysisException:
+                pass
+            if name not in out and name != "vectors":
+                raise MissingIndex(f"{path}/{name}") from None
+    return out
 
 
 def write_report(report: DataFrame, path: str) -> None:

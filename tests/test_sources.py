@@ -48,6 +48,39 @@ def test_graph_formats(spark, tmp_path):
     assert counts(rdf.predicates(spark, str(tmp_path), "graph"))["<http://e/p>"] == 4
 
 
+def test_bad_files_cost_themselves_only(spark, tmp_path):
+    (tmp_path / "good.ttl").write_text("@prefix e: <http://e/> .\ne:a e:p e:b .\n")
+    (tmp_path / "cut.ttl").write_text("@prefix")
+    (tmp_path / "z.nt.gz").write_bytes(gzip.compress(b"<a:a> <p:p> <o:o> .\n" * 999)[:-20])
+    good, bad = rdf.read_rdf(spark, str(tmp_path))
+    assert {r["file"] for r in good.collect()} == {"good.ttl"} and {r["file"] for r in bad.collect()} == {"cut.ttl", "z.nt.gz"}
+
+
+def test_statements_in_chunks(spark, tmp_path):
+    """Any chunk size gives the same triples; a failure costs its statement."""
+    body = "".join(f"e:s{i} e:p [ e:q {i} ] ,\n  \"x . y\" .\n" for i in range(40))
+    (tmp_path / "a.n3").write_text("@prefix e: <http://e/> .\n# a remark.\n" + body + "e:bad e:worse .\ne:last a e:T .")
+    runs = []
+    for chunk in (1, 7, 1000):
+        good, bad = rdf.read_statements(spark, str(tmp_path), chunk=chunk)
+        rows = good.collect()
+        assert len(rows) == 121 and len({r["s"] for r in rows}) == 81 and [r["chunk"].strip() for r in bad.collect()] == ["e:bad e:worse"]
+        runs.append(sorted((r["p"], r["o"]) for r in rows if not r["o"].startswith("_:")))
+    assert runs[0] == runs[1] == runs[2]
+    out = str(tmp_path / "out")
+    assert rdf.convert_n3(spark, str(tmp_path), out).count() == 1
+    assert rdf.read_ntriples(spark, out, glob="*.txt").count() == 121
+
+
+def test_index_files(spark, tmp_path):
+    t = spark.createDataFrame([("e", 1)], "endpoint string, n int")
+    sinks.write_index({"terms": t, "postings": t}, str(tmp_path))
+    with pytest.raises(sinks.MissingIndex):
+        sinks.read_index(spark, str(tmp_path))
+    (tmp_path / "meta.csv").write_text("endpoint,n\ne,1\n")
+    assert set(sinks.read_index(spark, str(tmp_path))) == {"meta", "terms", "postings"}
+
+
 def test_predicate_documents(spark, tmp_path):
     for name, doc in {
         "a": '{"endpoints": [{"id": "x", "predicates": [{"iri": "http://e/p", "usage_count": "bad"}]}, {"id": "y", "predicates": [{"iri": "http://e/q", "usage_count": 3, "local_name": "Q"}, {"iri": " "}]}]}',
