@@ -25,7 +25,7 @@ from .common import by_bytes, documents, kept, whole
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
 #: Nodes a worker's trie may have before it begins anew: bounds memory, not results.
-TRIE_NODES = 400_000
+TRIE_NODES = 1_000_000
 #: Characters of a pre-token up to which it enters the trie.
 DEEP = 256
 #: Log probability of one fallback byte: less than any piece.
@@ -47,7 +47,7 @@ class ForwardTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: list[dict[str, int]] = [{}]
+        self.child: dict[int, int] = {}  # by node and character
         self.score, self.number = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
@@ -62,7 +62,8 @@ class ForwardTrie:
         child, score, number, logp = self.child, self.score, self.number, self.logp
         path, node = [0], 0
         for i, c in enumerate(token, 1):
-            below = child[node].get(c)
+            edge = node << 21 | ord(c)
+            below = child.get(edge)
             if below is None:
                 n_bytes = len(c.encode("utf-8", "surrogatepass"))
                 best, fewest = score[node] + BYTE * n_bytes, number[node] + n_bytes
@@ -76,8 +77,7 @@ class ForwardTrie:
                         if s > best or s == best and k < fewest:
                             best, fewest = s, k
                 below = len(score)
-                child[node][c] = below
-                child.append({})
+                child[edge] = below
                 score.append(best)
                 number.append(fewest)
             node = below
