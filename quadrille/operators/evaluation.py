@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import bare_iri
+from ..plans.sparql import generics
 
 
 def judged(uses: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -34,3 +37,27 @@ def summary(rows: DataFrame, timings: DataFrame | None = None) -> DataFrame:
 def error_histogram(rows: DataFrame) -> DataFrame:
     wrong = rows.where("not correct").groupBy("gen_predicate").agg(F.count("*").alias("errors"))
     return wrong.orderBy(F.desc("errors"), "gen_predicate")
+
+
+def timed_run(engine, queries: list[tuple[str, str]], gold: DataFrame, delay: float = 0.0) -> tuple[DataFrame, dict]:
+    """Translates queries one after the other and judges what was chosen: a row for each
+    query, and the summary. ``seconds`` is the time of a call; a pause between calls is not
+    counted. A query that fails has no predictions and its error in the row."""
+    rows, found, uses = [], [], []
+    for k, (name, text) in enumerate(queries):
+        if k and delay:
+            time.sleep(delay)
+        began, error, chosen = time.time(), None, {}
+        try:
+            chosen = engine.translate(text).mapping["selected"]
+        except Exception as e:  # the run goes on
+            error = f"{type(e).__name__}: {e}"
+        rows.append((name, time.time() - began, error))
+        uses += [(name, g) for g in generics(text)]
+        found += [(name, g, v["predicate"]) for g, per in chosen.items() for v in per.values() if v["predicate"]]
+    spark = engine.spark
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows_judged = judged(frame(uses, "query_id string, gen_predicate string"), gold, frame(found, "query_id string, gen_predicate string, predicted string"))
+    seconds = frame(rows, "query_id string, seconds double, error string")
+    report = seconds.join(per_query(rows_judged), "query_id", "left")
+    return report, summary(rows_judged, seconds.select("query_id", "seconds")).first().asDict() | {"total_seconds": sum(r[1] for r in rows)}

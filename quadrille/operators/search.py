@@ -72,38 +72,38 @@ def search(index: dict[str, DataFrame], generics: DataFrame, k: int = TOP_K, w_s
     """Candidates of every generic in every endpoint: ``generic, endpoint, rank, predicate,
     local_name, usage_count, score_sparse, score_dense, score_fused``.
 
-    Rows that share no term have score 0 and can still be candidates where an endpoint has
-    fewer than ``k`` matches, by predicate. Mean and deviation of the z-score need only sums over the
-    matching rows and the endpoint's size, so the rows without a match are not paired with
-    every generic: each endpoint keeps its first ``2 k`` rows by predicate for them."""
+    Rows that share no term have score 0 and can still be candidates, the most popular
+    first, then by predicate. They are not paired with every generic: mean and deviation
+    of the z-scores need only sums over the matching rows and each endpoint's size; and of
+    an endpoint's first ``2 k`` rows in that order either ``k`` match, and then precede all
+    rows behind them that do not, or ``k`` of them are the first without a match. Only vectors
+    (or a negative weight) rank all rows of an endpoint against each generic."""
     meta = index["meta"].select("endpoint", "row_id", "predicate", "local_name", "usage_count")
     hits = stored(sparse_scores(index["terms"], index["postings"], query_terms(generics, accents)), "search-hits")
-    if popa or dense is not None:
-        # popularity or vectors rank all rows: a generic is scored against all of an endpoint
-        pairs = _all_rows(meta, generics)
-        scored = pairs.join(hits, ["generic", "endpoint", "row_id"], "left")
+    if dense is not None or w_sparse < 0:
+        scored = _all_rows(meta, generics).join(hits, ["generic", "endpoint", "row_id"], "left")
         if dense is not None:
             scored = scored.join(dense, ["generic", "endpoint", "row_id"], "left")
         else:
             scored = scored.withColumn("score_dense", F.lit(0.0))
         scored = scored.fillna(0.0, ["score_sparse", "score_dense"])
         return _columns(top_k(fuse(scored, w_sparse, w_dense, popa), k))
-    size = meta.groupBy("endpoint").agg(F.count("*").alias("_n"))
+    liked = popa * popularity("usage_count") if popa else F.lit(0.0)
+    sizes = meta.groupBy("endpoint").agg(F.count("*").alias("_n"), F.avg(liked).alias("_pm"), F.stddev_pop(liked).alias("_ps")).collect()  # a row an endpoint
+    each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in sizes]) if sizes else F.expr("cast(array() as array<struct<endpoint:string,_n:long,_pm:double,_ps:double>>)")
     sums = hits.groupBy("generic", "endpoint").agg(F.sum("score_sparse").alias("_s"), F.sum(F.col("score_sparse") * F.col("score_sparse")).alias("_q"))
-    stats = _all_rows(size, generics).join(sums, ["generic", "endpoint"], "left").fillna(0.0, ["_s", "_q"])
+    per = generics.select("generic").distinct().select("generic", F.inline(each)).join(sums, ["generic", "endpoint"], "left").fillna(0.0, ["_s", "_q"])
     mean = F.col("_s") / F.col("_n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - mean * mean)) + 1e-9
-    stats = stats.select("generic", "endpoint", mean.alias("_mean"), sd.alias("_sd"))
-    first = meta.withColumn("_r", F.row_number().over(Window.partitionBy("endpoint").orderBy("predicate")))
-    # any k + (matches) rows by predicate hold the k first rows without a match; matches
-    # among them are told apart by the join
-    n_hits = hits.groupBy("generic", "endpoint").agg(F.count("*").alias("_hits"))
-    need = stats.join(n_hits, ["generic", "endpoint"], "left").where(F.coalesce("_hits", F.lit(0)) < k).select("generic", "endpoint")
-    none = need.join(first.where(F.col("_r") <= 2 * k), "endpoint").drop("_r").join(hits, ["generic", "endpoint", "row_id"], "left_anti").withColumn("score_sparse", F.lit(0.0))
+    per = stored(per.select("generic", "endpoint", mean.alias("_mean"), sd.alias("_sd"), "_pm", "_ps"), "search-pairs")
+    first = meta.withColumn("_r", F.row_number().over(Window.partitionBy("endpoint").orderBy(liked.desc(), "predicate"))).where(F.col("_r") <= 2 * k).drop("_r")
+    none = per.select("generic", "endpoint").join(first, "endpoint").join(hits, ["generic", "endpoint", "row_id"], "left_anti").withColumn("score_sparse", F.lit(0.0))
     some = hits.join(meta, ["endpoint", "row_id"])
-    scored = some.unionByName(none.select(some.columns)).join(stats, ["generic", "endpoint"])
-    fused = scored.withColumns({"score_dense": F.lit(0.0), "score_fused": F.round(w_sparse * (F.col("score_sparse") - F.col("_mean")) / F.col("_sd"), DIGITS)})
-    return _columns(top_k(fused, k))
+    scored = some.unionByName(none.select(some.columns)).join(per, ["generic", "endpoint"])
+    fused = w_sparse * (F.col("score_sparse") - F.col("_mean")) / F.col("_sd")
+    if popa:  # the weight is within: the deviation of a multiple is the multiple of the deviation
+        fused = fused + popa * (popularity("usage_count") - F.col("_pm") / popa) / (F.col("_ps") / abs(popa) + 1e-9)
+    return _columns(top_k(scored.withColumns({"score_dense": F.lit(0.0), "score_fused": F.round(fused, DIGITS)}), k))
 
 
 def _all_rows(per_endpoint: DataFrame, generics: DataFrame) -> DataFrame:

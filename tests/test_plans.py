@@ -2,7 +2,8 @@ from pathlib import Path
 
 import pytest
 from quadrille.engine import Engine, MissingCatalog, Settings, generic_uses
-from quadrille.operators import evaluation, index, selection
+from quadrille.operators import evaluation, index, search, selection
+from pyspark.sql import functions as F
 from quadrille.plans.execute import execute
 from quadrille.plans.rewrite import normalise_mapping, rewrite
 from quadrille.plans.sparql import QuerySyntaxError, Triple, generic_triples, generics, parse, show, walk
@@ -118,6 +119,21 @@ def test_engine(spark, engine):
         Engine(spark, engine.index, None).translate(q)
 
 
+@pytest.mark.parametrize("popa", [0.0, 0.4, -0.4])
+def test_candidates_by_brute_force(spark, popa):
+    """The rows kept for each endpoint give what ranking all rows would give."""
+    import random
+
+    rng = random.Random(3)
+    words = "part of name label same as type is has date place born".split()
+    rows = [(e, f"http://{e}/{rng.choice(words)}{rng.choice(words).title()}{i}", "", rng.randrange(50)) for e in ("one", "two") for i in range(40)]
+    idx = index.build_index(spark.createDataFrame(rows, "endpoint string, predicate string, local_name string, usage_count long"))
+    names = spark.createDataFrame([(f"gen:{w}_{v}",) for w, v in (("part", "of"), ("nothing", "known"), ("type", "place"))], "generic string")
+    get = lambda df: sorted((r["generic"], r["endpoint"], r["rank"], r["predicate"], round(r["score_fused"], 5)) for r in df.collect())
+    zero = idx["meta"].select(F.explode(F.array(*[F.lit(r["generic"]) for r in names.collect()])).alias("generic"), "endpoint", "row_id", F.lit(0.0).alias("score_dense"))
+    assert get(search.search(idx, names, popa=popa)) == get(search.search(idx, names, popa=popa, dense=zero))
+
+
 def test_selection(spark):
     answer = '{"mappings": [{"generic": "gen:a", "endpoint": "x", "predicate": null, "reason": "", "confidence": 0.9}, {"generic": "gen:a", "endpoint": "y", "predicate": "p", "reason": "", "confidence": 0.9}, {"generic": "gen:a", "endpoint": "y", "predicate": "q", "reason": "", "confidence": 0.5}, {"generic": "gen:", "endpoint": "y", "predicate": "q", "reason": "", "confidence": 0.5}]}'
     rows = selection.valid(selection.parse_response(spark.createDataFrame([(answer,)], "response string")))
@@ -138,3 +154,37 @@ def test_evaluation(spark):
     s = evaluation.summary(rows).first()
     assert (s["predicates"], s["correct"], s["incorrect"], s["replaced"], s["precision"]) == (3, 1, 2, 2, 33.33)
     assert [tuple(r) for r in evaluation.error_histogram(rows).collect()] == [("gen:a", 1), ("gen:b", 1)]
+
+
+def test_command_lines(spark, tmp_path):
+    from quadrille.__main__ import main
+
+    def go(*args):
+        main([str(x) for x in args], spark)
+
+    dump = tmp_path / "dump"
+    dump.mkdir()
+    (dump / "a.nt").write_text("<http://x/a> <http://p/partOf> <http://x/b> .\n" * 3 + "<http://x/a> <http://p/label> <http://x/c> .\n")
+    go("count", dump, "--out", tmp_path / "docs/one", "--endpoint", "one")
+    doc = next((tmp_path / "docs/one/predicates.json").glob("part-*")).read_text()
+    (tmp_path / "built/one").mkdir(parents=True)
+    (tmp_path / "built/one/predicates.json").write_text(doc)
+    go("build-index", tmp_path / "built", "--out", tmp_path / "index")
+    (tmp_path / "endpoints.yml").write_text("endpoints:\n  - id: one\n    url: http://one/sparql\n")
+    (tmp_path / "queries").mkdir()
+    (tmp_path / "queries/B1.tex").write_text("SELECT * WHERE { ?s gen:partOf ?o . ?o gen:label ?l }")
+    (tmp_path / "queries/B2.tex").write_text("SELECT { gen:label")
+    engine = ["--index", tmp_path / "index", "--endpoints", tmp_path / "endpoints.yml"]
+    go("translate", tmp_path / "queries", "--out", tmp_path / "out", *engine)
+    got = {r["query_id"]: r for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert "SERVICE <http://one/sparql>" in got["B1"]["rewritten"] and "<http://p/partOf>" in got["B1"]["rewritten"] and got["B2"]["error"]
+    (tmp_path / "gold.json").write_text('{"_note": "", "gen:partOf": "<http://p/partOf>", "gen:label": "http://p/other"}')
+    go("evaluate", tmp_path / "queries", "--out", tmp_path / "report", "--gold", tmp_path / "gold.json", "--delay", 0, *engine)
+    rows = {r["query_id"]: r for r in spark.read.json(str(tmp_path / "report")).collect()}
+    assert (rows["B1"]["correct"], rows["B1"]["incorrect"]) == (1, 1) and rows["B1"]["seconds"] > 0 and rows["B2"]["error"]
+    n3 = tmp_path / "n3"
+    n3.mkdir()
+    (n3 / "a.n3").write_text("@prefix e: <http://e/> .\ne:a e:p e:b .\ne:bad .\n")
+    go("convert-n3", n3, "--out", tmp_path / "nt")
+    go("convert-n3", n3, "--dry-run")
+    assert spark.read.text(str(tmp_path / "nt")).count() == 1 and spark.read.json(str(tmp_path / "nt-failures")).count() == 1
