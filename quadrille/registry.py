@@ -106,7 +106,7 @@ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w
 SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct FROM g GROUP BY doc_id""")
 def word_ngrams(spark, d):
     grams = tx.word_ngrams(tx.words("text"))
-    per = _t(spark, d, "documents").where("text is not null").select("doc_id", F.size(grams).cast("long").alias("n"), F.size(F.array_distinct(grams)).cast("long").alias("n_distinct"))
+    per = _t(spark, d, "documents").where("text is not null").select("doc_id", F.size(grams).cast("long").alias("n"), F.size(ix.counted(grams)).cast("long").alias("n_distinct"))
     return per.where("n > 0")
 
 
