@@ -48,14 +48,19 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, lambdas inside included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_ngrams(tokens: Column, longest: int = 3) -> Column:
     """1- to ``longest``-grams, joined by a space."""
 
-    def of(n: int) -> Column:
+    def of(tokens: Column, n: int) -> Column:
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
-    return F.concat(*[of(n) for n in range(1, longest + 1)])
+    return let(tokens, lambda w: F.concat(*[of(w, n) for n in range(1, longest + 1)]))
 
 
 def strip_accents(text: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import document_text, strip_accents, word_ngrams, words
+from ..functions.text import document_text, let, strip_accents, word_ngrams, words
 
 MAX_FEATURES = 200_000
 PARTS = 64
@@ -18,13 +18,14 @@ def term_counts(docs: DataFrame, text: str = "text", longest: int = 3, accents:
 
 def counted(grams: Column) -> Column:
     """``array<struct<term, tf>>`` of an array of terms, within the row: runs of its sorted
-    values."""
+    values. Arrays are bound once (``let``): inside a lambda an expression is evaluated for
+    every element."""
 
     def runs(s):
         first = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == F.size(s)) | (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.transform(F.slice(first, 1, F.size(first) - 1), lambda at, k: F.struct(F.get(s, at).alias("term"), (F.get(first, k + 1) - at).cast("long").alias("tf")))
+        return let(first, lambda f: F.transform(F.slice(f, 1, F.size(f) - 1), lambda at, k: F.struct(F.get(s, at).alias("term"), (F.get(f, k + 1) - at).cast("long").alias("tf"))))
 
-    return F.when(F.size(grams) > 0, F.get(F.transform(F.array(F.array_sort(grams)), runs), F.lit(0)))
+    return let(F.sort_array(grams), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def capped_terms(tf: DataFrame, limit: int) -> DataFrame:

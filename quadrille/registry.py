@@ -105,9 +105,9 @@ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i]
 UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w)
 SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct FROM g GROUP BY doc_id""")
 def word_ngrams(spark, d):
-    grams = tx.word_ngrams(tx.words("text"))
-    per = _t(spark, d, "documents").where("text is not null").select("doc_id", F.size(grams).cast("long").alias("n"), F.size(ix.counted(grams)).cast("long").alias("n_distinct"))
-    return per.where("n > 0")
+    terms = _t(spark, d, "documents").select("doc_id", ix.counted(tx.word_ngrams(tx.words("text"))).alias("c"))
+    per = terms.where("c is not null").select("doc_id", F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["tf"]).alias("n"), F.size("c").cast("long").alias("n_distinct"))
+    return per
 
 
 def _part_tf(spark, d):
