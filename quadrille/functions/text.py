@@ -56,9 +56,11 @@ def let(value: Column, body) -> Column:
 def word_ngrams(tokens: Column, longest: int = 3) -> Column:
     """1- to ``longest``-grams, joined by a space."""
 
-    def of(tokens: Column, n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def of(w: Column, n: int) -> Column:
+        grams = w
+        for k in range(1, n):  # past the end zip_with gives null
+            grams = F.zip_with(grams, F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(grams, lambda g: g.isNotNull()) if n > 1 else grams
 
     return let(tokens, lambda w: F.concat(*[of(w, n) for n in range(1, longest + 1)]))
 

@@ -105,8 +105,11 @@ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i]
 UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w)
 SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct FROM g GROUP BY doc_id""")
 def word_ngrams(spark, d):
-    terms = _t(spark, d, "documents").select("doc_id", ix.counted(tx.word_ngrams(tx.words("text"))).alias("c"))
-    per = terms.where("c is not null").select("doc_id", F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["tf"]).alias("n"), F.size("c").cast("long").alias("n_distinct"))
+    docs, slots = _t(spark, d, "documents").where(F.lower("text").rlike(tx.WORD)).select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < slots:  # a small file is one task: deal its rows out
+        docs = docs.repartition(slots)
+    grams = docs.select("doc_id", tx.word_ngrams(tx.words("text")).alias("g"))
+    per = grams.select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
     return per
 
 
