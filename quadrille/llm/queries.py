@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where it can express them."""
 
-from . import chat, counts, exact, fingerprints, language, licenses, mixing, neardup, pieces_dropout, toxicity
+from . import chat, counts, exact, fim, fingerprints, language, licenses, mixing, neardup, pieces_dropout, toxicity
 
 QUERIES = {
     "op1_spot_signatures": fingerprints.op1,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_near_dedup": neardup.op8,
     "op9_source_mixing": mixing.op9,
     "op10_license_scan": licenses.op10,
+    "op11_fill_in_middle": fim.op11,
 }
-ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL}
+ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op11_fill_in_middle": fim.OP11_SQL}
