@@ -121,8 +121,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2
 
 
+def falls_below(key: Column, share: float | Column, salt: str) -> Column:
+    """Whether the 63-bit keyed hash of ``key`` lies in the first ``share`` of its range:
+    shares far below one in a million still choose rows."""
+    point = F.xxhash64(key.cast("string"), F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1))
+    return point < (F.least(F.lit(1.0), share if isinstance(share, Column) else F.lit(float(share))) * 2.0**63)
+
+
 def hash_sample(df: DataFrame, key: str, share: float, salt: str) -> DataFrame:
     """Rows whose keyed hash falls below ``share``: the same rows in every run,
     without a shuffle."""
-    point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1_000_000))
-    return df.where(point < F.lit(int(min(1.0, share) * 1_000_000)))
+    return df.where(falls_below(F.col(key), share, salt))

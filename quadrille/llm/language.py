@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, documents, free, held_out, kept, stored, temporary, text_key, whole, without
+from .common import by_bytes, documents, falls_below, free, held_out, kept, stored, temporary, text_key, whole, without
 from .pieces import MARK, MODEL, Vocabulary, model_bytes
 
 #: Documents of each language to learn from, and rounds of expectation maximisation.
@@ -247,8 +247,8 @@ def learn(docs: DataFrame, model: str = MODEL, sample: int = SAMPLE, rounds: int
     langs = sorted(size)
     if not langs:
         return [], {}
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, sample / size[k]) * 1_000_000)))])
-    picked = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(sample / size[k]))])
+    picked = rows.where(falls_below(F.col("doc_id"), share[F.col("lang")], "lang"))
 
     def words(batches):
         total: Counter = Counter()
