@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where it can express them."""
 
-from . import chat, counts, exact, fim, fingerprints, language, licenses, mixing, neardup, pieces_dropout, quality, toxicity
+from . import chat, counts, exact, fim, fingerprints, language, licenses, mixing, neardup, pieces_dropout, quality, toxicity, trie
 
 QUERIES = {
     "op1_spot_signatures": fingerprints.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_license_scan": licenses.op10,
     "op11_fill_in_middle": fim.op11,
     "op12_quality": quality.op12,
+    "op13_prefix_trie": trie.op13,
 }
-ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op11_fill_in_middle": fim.OP11_SQL}
+ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op13_prefix_trie": trie.OP13_SQL}
