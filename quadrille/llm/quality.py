@@ -6,7 +6,7 @@ token's index vector has a few entries of +1 and -1, placed by a hash of the tok
 context vector is the sum of the index vectors of its neighbours up to ``WINDOW`` tokens
 away, in all documents. These sums are whole numbers, so every run gives the same. A word
 vector is the normalised context vector and index vector side by side in one sum; a
-document's is the mean of its tokens', with the share of lines and tokens that repeat.
+document's is the mean of its tokens', with shares of what repeats.
 
 A network of two layers is fitted in numpy on about ``SAMPLE`` labelled rows (chosen by a
 hash, never held-out ones, a bound of the model); a fifth of them is kept to fit the
@@ -21,29 +21,38 @@ larger label. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, documents, hash_sample, kept, whole
+from .common import by_bytes, documents, hash_sample, kept, stored, temporary, whole
 
 SAMPLE = 6_000
-WORDS, SIZE, ENTRIES, WINDOW = 8_192, 64, 4, 2
+WORDS, SIZE, ENTRIES, WINDOW = 4_096, 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY = 32, 400, 0.01, 1e-3
 THRESHOLD = 0.3
 #: Tokens remembered by a worker and tokens pooled at a time: bound memory, not results.
 REMEMBERED, PART = 300_000, 200_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+MARKS = frozenset(".,;:!?")
 SHAPES = ("<aa>", "<Aa>", "<AA>", "<aA>", "<0>", "<!>", "<!!>")
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text)
+def tokens(run: str) -> list[str]:
+    """Tokens of a run without white space; words with or without a mark at the end, the
+    most of all, need no pattern."""
+    if run.isalpha():
+        return [run]
+    if run[-1:] in MARKS and run[:-1].isalpha():
+        return [run[:-1], run[-1]]
+    return _TOKEN.findall(run)
 
 
 def shape(token: str) -> str:
@@ -57,17 +66,22 @@ def shape(token: str) -> str:
 
 
 class Ids(dict):
-    """Numbers of tokens: their own, else their shape's."""
+    """Of a run without white space, the numbers of its tokens: their own, else their
+    shape's."""
 
     def __init__(self, words: list[str]):
-        super().__init__({w: i for i, w in enumerate([*SHAPES, *words])})
-        self.most = len(self) + REMEMBERED
+        self.own = {w: i for i, w in enumerate([*SHAPES, *words])}
 
-    def __missing__(self, token: str) -> int:
-        i = self[shape(token)]
-        if len(self) < self.most:
-            self[token] = i
-        return i
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        own = self.own
+        ids = tuple(own[t] if t in own else own[shape(t)] for t in tokens(run))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[run] = ids
+        return ids
+
+    def of(self, runs: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, runs)))
 
 
 def index_vectors(words: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -79,31 +93,32 @@ def index_vectors(words: list[str], size: int = SIZE) -> tuple[np.ndarray, np.nd
     return place, sign
 
 
-def add_contexts(total: np.ndarray, ids: np.ndarray, place: np.ndarray, sign: np.ndarray) -> None:
-    """Adds to the flat ``total`` (words x size) what the neighbours of each token give it.
-    An id of -1 stands between texts."""
-    size = total.size // len(place)
+def add_pairs(pairs: np.ndarray, ids: np.ndarray) -> None:
+    """Counts in the flat square ``pairs`` how often a token stands up to ``WINDOW`` before
+    another. An id of -1 stands between texts; the first ``WINDOW`` ids only come before."""
+    n = math.isqrt(pairs.size)
     for off in range(1, WINDOW + 1):
-        a, b = ids[:-off], ids[off:]
+        a, b = ids[WINDOW - off : -off], ids[WINDOW:]
         both = (a >= 0) & (b >= 0)
-        a, b = a[both], b[both]
-        for x, y in ((a, b), (b, a)):
-            for k in range(ENTRIES):
-                np.add.at(total, x * size + place[y, k], sign[y, k])
+        np.add.at(pairs, a[both] * n + b[both], np.int32(1))
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[str]:
     """The most used tokens of all texts, ties by token."""
 
     def uses(batches):
-        total: Counter = Counter()
+        total: Counter = Counter()  # of runs without white space, cut into tokens once each
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            words: Counter = Counter()
+            for run, n in total.items():
+                for w in tokens(run):
+                    words[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in by_bytes(batches):
             for text in b.column(0).to_pylist():
-                total.update(tokens(text))
+                total.update(text.split())
                 if len(total) > REMEMBERED:
                     yield rows()
                     total.clear()
@@ -111,7 +126,15 @@ def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> l
             yield rows()
 
     found = docs.select(whole(text_col).alias("text")).mapInArrow(uses, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(words).collect()]
+    with temporary(docs.sparkSession):
+        found = stored(found.withColumn("_size", F.floor(F.log2("n") * 8)), "quality-words")
+        # sizes from which on there are enough words: so few rows meet in the last step
+        sizes, seen, least = found.groupBy("_size").count().orderBy(F.desc("_size")).collect(), 0, 0
+        for r in sizes:  # less than 512 rows
+            seen, least = seen + r["count"], r["_size"]
+            if seen >= words:
+                break
+        return [r["word"] for r in found.where(F.col("_size") >= least).orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text", words: int = WORDS, size: int = SIZE) -> tuple[list[str], np.ndarray]:
@@ -122,26 +145,27 @@ def word_vectors(docs: DataFrame, text_col: str = "text", words: int = WORDS, si
     cols = [f"c{i}" for i in range(size)]
 
     def contexts(batches):
-        ids, total, gap = Ids(known), np.zeros(len(place) * size, np.int64), [-1] * WINDOW
+        ids, pairs = Ids(known), np.zeros(len(place) ** 2, np.int32)
         for b in by_bytes(batches):
-            line: list[int] = []
+            line = [-1] * WINDOW
             for text in b.column(0).to_pylist():
-                found = tokens(text)
-                for at in range(0, len(found), PART):  # parts of a text share the tokens at their seam
-                    if at:
-                        seam = [ids[t] for t in found[at - WINDOW : at + WINDOW]]
-                        for off in range(1, WINDOW + 1):
-                            for i in range(max(0, WINDOW - off), min(WINDOW, len(seam) - off)):
-                                for x, y in ((seam[i], seam[i + off]), (seam[i + off], seam[i])):
-                                    np.add.at(total, x * size + place[y], sign[y])
-                    line.extend(map(ids.__getitem__, found[at : at + PART]))
-                    line.extend(gap)
+                runs = text.split()
+                for at in range(0, len(runs), PART):
+                    line.extend(ids.of(runs[at : at + PART]))
                     if len(line) >= PART:
-                        add_contexts(total, np.array(line), place, sign)
-                        line.clear()
-            if line:
-                add_contexts(total, np.array(line), place, sign)
-        table = total.reshape(-1, size)
+                        add_pairs(pairs, np.array(line))
+                        line = line[-WINDOW:]
+                line.extend([-1] * WINDOW)
+            add_pairs(pairs, np.array(line))
+        own = np.zeros((len(place), size))
+        np.add.at(own, (np.arange(len(place))[:, None], place), sign)
+        square = pairs.reshape(len(place), -1)
+        table = np.zeros((len(place), size))
+        for at in range(0, len(place), 512):
+            some = square[at : at + 512].astype(float)
+            table[at : at + 512] += some @ own
+            table += some.T @ own[at : at + 512]
+        table = table.astype(np.int64)
         used = np.flatnonzero(table.any(axis=1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(table[used, i]) for i in range(size))], ["word", *cols])
@@ -159,16 +183,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text", words: int = WORDS, si
 
 def pooled(texts: list[str], ids: Ids, vectors: np.ndarray) -> np.ndarray:
     """A row per text: the mean vector of its tokens, and three shares of the whole text:
-    lines that repeat, tokens that repeat, lines without a full stop at their end."""
+    lines that repeat, words that repeat, lines without a full stop at their end."""
     out = np.zeros((len(texts), vectors.shape[1] + 3))
     for row, text in zip(out, texts, strict=True):
-        found = tokens(text)
-        if found:
-            for at in range(0, len(found), PART):
-                row[:-3] += vectors[list(map(ids.__getitem__, found[at : at + PART]))].sum(axis=0, dtype=np.float64)
-            row[:-3] /= len(found)
+        runs, n = text.split(), 0
+        for at in range(0, len(runs), PART):
+            found = ids.of(runs[at : at + PART])
+            row[:-3] += vectors[found].sum(axis=0, dtype=np.float64)
+            n += len(found)
+        if runs:
+            row[:-3] /= max(1, n)
             lines = [x for x in text.split("\n") if x.strip()]
-            row[-3:] = 1 - len(set(lines)) / len(lines), 1 - len(set(found)) / len(found), sum(not x.rstrip().endswith((".", "!", "?")) for x in lines) / len(lines)
+            row[-3:] = 1 - len(set(lines)) / len(lines), 1 - len(set(runs)) / len(runs), sum(not x.rstrip().endswith((".", "!", "?")) for x in lines) / len(lines)
     return out
 
 
