@@ -75,12 +75,12 @@ class Louds:
     """A forest in level order. ``parent`` holds indexes of nodes or -1; nodes are sorted
     by level, then by parent."""
 
-    def __init__(self, depth: np.ndarray, parent: np.ndarray, label: np.ndarray):
+    def __init__(self, level: np.ndarray, parent: np.ndarray, label: np.ndarray):
         n = len(parent)
         children = np.bincount(parent + 1, minlength=n + 1)  # of the root above all tops, then of each node
         bits = np.ones(2 * n + 1, np.uint8)
         bits[np.cumsum(children) + np.arange(n + 1)] = 0
-        self.bits, self.size, self.label, self.depth = np.packbits(bits, bitorder="little"), n, label, depth
+        self.bits, self.size, self.label, self.level = np.packbits(bits, bitorder="little"), n, label, level
 
     def _ones(self) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(self.bits, count=2 * self.size + 1, bitorder="little"))
@@ -96,41 +96,42 @@ class Louds:
     def roll_up(self, *values: np.ndarray) -> None:
         """Adds every node's values to its parent's, from the last level to the first."""
         parent = self.parents()
-        ends = np.flatnonzero(np.diff(self.depth, append=self.depth[-1:] + 1)) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        for a, b in zip(starts[::-1], ends[::-1], strict=True):
-            up = parent[a:b]
-            inner = up >= 0
+        for nodes in reversed(_groups(self.level)):
+            nodes = nodes[parent[nodes] >= 0]
             for v in values:
-                np.add.at(v, up[inner], v[a:b][inner])
-
-
-def level_order(depth: np.ndarray, key: np.ndarray, above: np.ndarray, conv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the nodes by level, parent, conversation, and parents in that order; -1
-    for those whose parent (``above``) is not here."""
-    order, parent, start = [], [], 0
-    at = np.argsort(depth, kind="stable")
-    last_keys, last = np.zeros(0, key.dtype), np.zeros(0, np.int64)
-    levels, firsts = np.unique(depth[at], return_index=True)
-    before = None
-    for level, rows in zip(levels, np.split(at, firsts[1:]), strict=True):
-        up = np.full(len(rows), -1, np.int64)
-        if before == level - 1 and len(last_keys):
-            found = np.minimum(np.searchsorted(last_keys, above[rows]), len(last_keys) - 1)
-            met = last_keys[found] == above[rows]
-            up[met] = last[found[met]]
-        rank = np.lexsort((conv[rows], up))
-        rows, up = rows[rank], up[rank]
-        order.append(rows)
-        parent.append(up)
-        by_key = np.argsort(key[rows])
-        last_keys, last, before = key[rows][by_key], by_key + start, level
+                np.add.at(v, parent[nodes], v[nodes])
+
+
+def level_order(depth: np.ndarray, key: np.ndarray, above: np.ndarray, conv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the nodes by level, parent, conversation; and in that order their levels,
+    counted from the tops, and their parents. Tops, whose parent (``above``) is not here,
+    have -1; they may lie at several depths."""
+    up, level = np.full(len(depth), -1, np.int64), np.zeros(len(depth), np.int64)
+    last = np.zeros(0, np.int64)
+    for rows in _groups(depth):
+        if len(last) and depth[last[0]] == depth[rows[0]] - 1:
+            found = np.minimum(np.searchsorted(key[last], above[rows]), len(last) - 1)
+            met = key[last][found] == above[rows]
+            up[rows[met]] = last[found[met]]
+            level[rows[met]] = level[last[found[met]]] + 1
+        last = rows[np.argsort(key[rows])]
+    order, place, start = [], np.full(len(depth) + 1, -1, np.int64), 0  # the last place is that above all tops
+    for rows in _groups(level):
+        rows = rows[np.lexsort((conv[rows], place[up[rows]]))]
+        place[rows] = np.arange(start, start + len(rows))
         start += len(rows)
-    return (np.concatenate(order), np.concatenate(parent)) if order else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order.append(rows)
+    order = np.concatenate(order) if order else np.zeros(0, np.int64)
+    return order, level[order], place[up[order]]
+
+
+def _groups(values: np.ndarray) -> list[np.ndarray]:
+    """Places of equal values, from the smallest value to the largest."""
+    at = np.argsort(values, kind="stable")
+    return np.split(at, np.flatnonzero(np.diff(values[at])) + 1) if len(at) else []
 
 
 _KEY = np.dtype([("x", np.int64), ("y", np.int64)])
-NODE = "depth int, x long, y long, px long, py long, conv_id long, label long, n_convs long, words long, more_children long, more_leaves long, more_saved long, ends_sha256 string"
 ROLLED = "depth int, x long, y long, px long, py long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, top boolean"
 
 
@@ -139,9 +140,9 @@ def rolled_up(table: pa.Table) -> pa.Table:
     subtrees have outside the shard comes in the ``more_`` columns."""
     c = {k: table.column(k).to_numpy() for k in table.column_names if k != "ends_sha256"}
     pair = lambda a, b: np.rec.fromarrays([c[a], c[b]], dtype=_KEY)
-    order, parent = level_order(c["depth"], pair("x", "y"), pair("px", "py"), c["conv_id"])
+    order, level, parent = level_order(c["depth"], pair("x", "y"), pair("px", "py"), c["conv_id"])
     c = {k: v[order] for k, v in c.items()}
-    trie = Louds(c["depth"], parent, c["label"])
+    trie = Louds(level, parent, c["label"])
     parent = trie.parents()
     children = trie.degrees() + c["more_children"]
     leaves = c["more_leaves"] + (children == 0)
