@@ -468,13 +468,13 @@ def query_over_dump(spark, d):
     return got.groupBy(lexical(F.col("name")).alias("name")).agg(F.count("*").alias("suppliers"))
 
 
-@query("SELECT n_nationkey AS k FROM nation WHERE n_name = 'FRANCE'")
+@query("SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 1")
 def literal_with_language(spark, d):
     """``"x"@en`` equals neither ``"x"@fr`` nor ``"x"``."""
     quads = _read_nt(spark, d)
-    ask = lambda o: execute(f"SELECT ?n WHERE {{ ?n <http://x/name> {o} }}", quads)
-    hit = ask('"FRANCE"@en').unionByName(ask('"FRANCE"@fr')).unionByName(ask("'FRANCE'@de"))
-    return hit.select(F.regexp_extract("n", r"nation/(\d+)", 1).cast("int").alias("k"))
+    asked = _t(spark, d, "nation").selectExpr("n_name", "case n_nationkey % 2 when 1 then 'en' else 'fr' end as lang").collect()  # a table of 25 rows
+    hits = " UNION ".join(f'{{ ?n <http://x/name> "{r["n_name"]}"@{r["lang"]} }}' for r in asked)
+    return execute(f"SELECT ?n WHERE {{ {hits} }}", quads).select(F.regexp_extract("n", r"nation/(\d+)", 1).cast("int").alias("k"))
 
 
 @query("WITH " + _NT + "SELECT count(*)::BIGINT AS usage_count, p AS predicate, row_number() OVER (ORDER BY count(*) DESC, p DESC)::INTEGER AS place FROM nt GROUP BY p")
@@ -529,10 +529,36 @@ def turtle_scan(spark, d):
     return rdf.read_statements(spark, _turtle_files(spark, d), glob="*.txt", chunk=7)[0].select("s", "p", "o")
 
 
-@query("SELECT 1::BIGINT AS failures, 'n:bad x:name' AS chunk")
+def _ordered_lines(df: DataFrame, key: str, line, path: str) -> str:
+    """One file of lines, or rows of several lines, in the order of ``key``."""
+    df.select(key, line.alias("value")).repartition(1).sortWithinPartitions(key).select("value").write.text(path)
+    return path
+
+
+@query("""SELECT 'e:c' || c_custkey || ' e:bal ' || floor(c_acctbal)::INTEGER || ' e:no' AS chunk FROM customer WHERE c_acctbal < 0 AND c_custkey % 3 = 0""")
 def failed_statements(spark, d):
-    bad = rdf.read_statements(spark, _turtle_files(spark, d), glob="*.txt")[1]
-    return bad.groupBy(F.regexp_extract("chunk", r"(n:bad x:name)", 1).alias("chunk")).agg(F.count("*").alias("failures"))
+    """Statements that cannot be parsed among those that can, each on its own."""
+    bad = F.format_string("e:c%d e:bal %d e:no .", "c_custkey", F.floor("c_acctbal").cast("int"))
+    good = F.format_string("e:c%d e:bal %d .", "c_custkey", F.floor("c_acctbal").cast("int"))
+    line = F.when((F.col("c_acctbal") < 0) & (F.col("c_custkey") % 3 == 0), bad).otherwise(good)
+    head = F.when(F.col("c_custkey") == 0, "@prefix e: <http://x/> .\n").otherwise("")
+    path = _ordered_lines(_t(spark, d, "customer"), "c_custkey", F.concat(head, line), new_path(spark, "failing"))
+    return rdf.read_statements(spark, path, glob="*.txt", chunk=5000)[1].select("chunk")
+
+
+@query("""SELECT '<http://x/' || c_custkey // 50 || '/c' || c_custkey || '>' AS s, '<http://x/' || c_custkey // 50 || '/' || p || '>' AS p, o FROM
+(SELECT c_custkey, 'name' AS p, '"' || c_name || '"@en' AS o FROM customer
+UNION ALL SELECT c_custkey, 'note', '"ends . \\r\\n' || c_mktsegment || ' \\"q\\" # none .\\r\\n"' FROM customer
+UNION ALL SELECT c_custkey, 'at', '<http://b' || (c_custkey // 70) || '/n' || c_nationkey || '.x>' FROM customer)""".replace("\\\\", "\\"))
+def statement_scopes(spark, d):
+    """Turtle with CRLF, long literals over lines with full stops at their ends, notes after
+    statements, prefixes and a base that change along the file, read in small parts."""
+    k = F.col("c_custkey")
+    prefix = F.when((k % 50 == 0) | (k == 1), F.format_string("@prefix e: <http://x/%d/> . # from here on .\r\n", F.floor(k / 50))).otherwise("")
+    base = F.when((k % 70 == 0) | (k == 1), F.format_string("BASE <http://b%d/>\r\n", F.floor(k / 70))).otherwise("")
+    body = F.format_string('e:c%d e:name "%s"@en ; # a note .\r\n e:note """ends . \r\n%s \\"q" # none .\r\n""" ;\r\n e:at <n%d.x>.\r', k, "c_name", "c_mktsegment", "c_nationkey")
+    path = _ordered_lines(_t(spark, d, "customer"), "c_custkey", F.concat(prefix, base, body), new_path(spark, "scopes"))
+    return rdf.read_statements(spark, path, glob="*.txt", chunk=3000)[0].select("s", "p", "o")
 
 
 @query("SELECT '<http://x/region/' || r_regionkey || '>' AS s, '<http://x/name>' AS p, '\"' || r_name || '\"@en' AS o FROM region")

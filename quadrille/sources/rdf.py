@@ -1,8 +1,8 @@
 """RDF dumps as DataFrames: ``endpoint, file, s, p, o``.
 
-N-Triples are read as lines and split by Spark. Turtle, N3 and RDF/XML have statements
-that span lines and prefixes that hold for the whole file, so a file is parsed in one
-task; what cannot be parsed goes to a table of failures, file by file."""
+``read_ntriples`` takes lines as they are. ``read_statements`` reads Turtle, N3 and N-Triples
+of any size in parts (see ``statements``); what cannot be parsed goes to a table of
+failures, statement by statement. ``read_rdf`` parses a file in one task, RDF/XML too."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .statements import CHUNK, statements
+
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 MODES = ("nt_fields", "second_iri", "graph")
@@ -19,11 +21,6 @@ MODES = ("nt_fields", "second_iri", "graph")
 FORMATS = {"nt": "nt", "n3": "n3", "ttl": "turtle", "rdf": "xml", "xml": "xml", "owl": "xml"}
 
 
-#: Statements parsed together.
-CHUNK = 500
-_ONLY_HEAD = re.compile(r"(?i)^(?:\s*#[^\n]*(?:\n|$))*\s*$|^\s*@?(?:prefix\s+[^\s:]*:|base)\s*<[^>]*>\s*$")
-
-
 class NoInput(FileNotFoundError):
     """The folder holds no dump."""
 
@@ -32,7 +29,7 @@ def _lines(spark: SparkSession, path: str, glob: str, recursive: bool = False) -
     df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).text(path)
     if not df.inputFiles():
         raise NoInput(f"{path} has no {glob}")
-    return df.select("value", F.col("_metadata.file_name").alias("file"))
+    return df.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
 
 
 def fields(line: Column) -> Column:
@@ -44,10 +41,11 @@ def read_ntriples(spark: SparkSession, path: str, endpoint: str | None = None, g
     Compressed files are one task each to read; ``spread`` deals their lines out again."""
     lines = _lines(spark, path, glob)
     lines = lines.repartition(spread) if spread else lines
-    x = lines.select("file", fields(F.col("value")).alias("f"), "value")
+    x = lines.select("path", "file", fields(F.col("value")).alias("f"), "value")
     x = x.where((F.size("f") >= 3) & ~F.col("f")[0].startswith("#") & F.col("f")[1].startswith("<"))
     obj = F.regexp_replace(F.regexp_replace("value", r"^[ \t]*[^ \t]+[ \t]+[^ \t]+[ \t]+", ""), r"[ \t]*\.[ \t]*$", "")
-    return x.select(F.lit(endpoint).alias("endpoint"), "file", F.col("f")[0].alias("s"), F.col("f")[1].alias("p"), obj.alias("o"))
+    own = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:f"), F.hex(F.xxhash64("path")), F.lit("x"), F.substr(c, F.lit(3)))).otherwise(c)  # noqa: E731  a node of its file
+    return x.select(F.lit(endpoint).alias("endpoint"), "file", own(F.col("f")[0]).alias("s"), F.col("f")[1].alias("p"), own(obj).alias("o"))
 
 
 def predicates(spark: SparkSession, path: str, mode: str = "nt_fields", endpoint: str | None = None, glob: str = "*.{nt,nt.gz}") -> DataFrame:
@@ -72,13 +70,19 @@ _TOKEN = re.compile(
 )
 
 
+#: What N-Triples write with a backslash and other notations may have bare.
+_BARE, _ESCAPED = re.compile(r'(\\.)|["\n\r]', re.S), {'"': '\\"', "\n": "\\n", "\r": "\\r"}
+
+
 class TurtleError(ValueError):
     pass
 
 
-def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
+def parse_turtle(text: str, scope: dict[str, str] | None = None, blank: str = "_:genid", label=lambda name: f"_:{name}") -> Iterator[tuple[str, str, str]]:
     """Statements of Turtle, N3 data and N-Triples: prefixes, lists of predicates and
-    objects, blank node property lists and collections."""
+    objects, blank node property lists and collections. ``scope`` holds prefixes, and the
+    base under ``@base``, and takes up what the text defines. ``blank`` begins the names of
+    nodes without a label; ``label`` names those that have one."""
     tokens, at = [], 0
     while at < len(text):
         m = _TOKEN.match(text, at)
@@ -87,7 +91,7 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
         if m.lastgroup or m["rest"] is not None:
             tokens.append(m)
         at = m.end()
-    prefix, base, out, fresh, i = {}, "", [], 0, 0
+    prefix, out, fresh, i = {} if scope is None else scope, [], 0, 0
 
     def kind(k: int = 0) -> str:
         if i + k >= len(tokens):
@@ -95,10 +99,10 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
         m = tokens[i + k]
         return m["mark"] or ("name" if m["rest"] is not None else m.lastgroup)
 
-    def blank() -> str:
+    def node() -> str:
         nonlocal fresh
         fresh += 1
-        return f"_:genid{fresh}"
+        return f"{blank}{fresh}"
 
     def term() -> str:
         nonlocal i
@@ -106,13 +110,13 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
         i += 1
         if k == "iri":
             iri = m["iri"][1:-1]
-            return f"<{iri if re.match(r'[A-Za-z][A-Za-z0-9+.-]*:', iri) else base + iri}>"
+            return f"<{iri if re.match(r'[A-Za-z][A-Za-z0-9+.-]*:', iri) else prefix.get('@base', '') + iri}>"
         if k == "name":
             if (m["name"] or "") not in prefix:
                 raise TurtleError(f"unknown prefix {m['name']}")
             return f"<{prefix[m['name'] or '']}{m['rest']}>"
         if k == "bnode":
-            return m["bnode"]
+            return label(m["bnode"][2:])
         if k == "num":
             n = m["num"]
             return f'"{n}"^^<{XSD}{"double" if "e" in n.lower() else "decimal" if "." in n else "integer"}>'
@@ -120,7 +124,7 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
             return f'"{m["word"]}"^^<{XSD}boolean>'
         if k == "lit":
             q = 3 if m["lit"][:3] in ('"""', "'''") else 1
-            body = '"' + m["lit"][q:-q].replace("\n", "\\n") + '"'
+            body = '"' + _BARE.sub(lambda x: x[1] or _ESCAPED[x[0]], m["lit"][q:-q]) + '"'
             if kind() == "at":
                 i += 1
                 return body + tokens[i - 1]["at"]
@@ -129,17 +133,17 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
                 return f"{body}^^{term()}"
             return body
         if k == "[":
-            node = blank()
+            one = node()
             if kind() != "]":
-                pairs(node)
+                pairs(one)
             expect("]")
-            return node
+            return one
         if k == "(":
             items = []
             while kind() != ")":
                 items.append(term())
             expect(")")
-            nodes = [blank() for _ in items] + [f"<{RDF}nil>"]
+            nodes = [node() for _ in items] + [f"<{RDF}nil>"]
             for a, b, x in zip(nodes, nodes[1:], items):
                 out.extend([(a, f"<{RDF}first>", x), (a, f"<{RDF}rest>", b)])
             return nodes[0]
@@ -179,7 +183,7 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
                 name, i = tokens[i]["name"] or "", i + 1
                 prefix[name] = term()[1:-1]
             else:
-                base = term()[1:-1]
+                prefix["@base"] = term()[1:-1]
             if dotted:
                 expect(".")
             continue
@@ -265,52 +269,18 @@ def parse_texts(files: DataFrame, endpoint: str | None = None) -> tuple[DataFram
 
 
 def read_statements(spark: SparkSession, path: str, endpoint: str | None = None, glob: str = "*.{n3,ttl,nt}", recursive: bool = True, repair: bool = False, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Triples of line-wise written Turtle, N3 or N-Triples, and ``file, error, chunk`` of
-    what cannot be parsed.
-
-    Files are cut where a full stop ends a line, by Spark's reader, so large files are
-    read in many tasks. The prefixes of a file are gathered first and stand before each of
-    its chunks. A chunk that fails is parsed again statement by statement, so a failure
-    costs its own statement only. ``repair`` mends each line first. A full stop at the end
-    of a line inside a long literal also cuts; such statements end up in the failures."""
+    """Triples of Turtle, N3 or N-Triples, and ``file, error, chunk`` of the statements
+    that cannot be parsed. Files are read in parts and give what a parse of the whole
+    gives, statement by statement; ``chunk`` is how many characters are scanned together.
+    ``repair`` mends each line first."""
     from ..functions.repair import repair_line
 
-    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("lineSep", ".\n").text(path)
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n").text(path)
     if not lines.inputFiles():
         raise NoInput(f"{path} has no {glob}")
-    lines = lines.select(F.col("_metadata.file_path").alias("_path"), "value")
-    head = F.regexp_extract_all("value", F.lit(r"(?im)^\s*@?(prefix\s+[^\s:]*:\s*<[^>\n]*>|base\s+<[^>\n]*>)"), F.lit(1))
-    heads = lines.where(F.lower("value").contains("prefix") | F.lower("value").contains("base")).select("_path", F.explode(head).alias("_h"))
-    heads = heads.groupBy("_path").agg(F.array_join(F.array_sort(F.collect_set("_h")), "\n").alias("_head"))
-    text = F.array_join(F.transform(F.split("value", "\n"), repair_line), "\n") if repair else F.col("value")
-    rows = lines.where(F.trim("value") != "").select("_path", text.alias("_text")).join(heads, "_path", "left")
-    rows = rows.select(F.regexp_extract("_path", "([^/]*)$", 1).alias("file"), F.coalesce("_head", F.lit("")).alias("_head"), F.xxhash64("_path", "_text").alias("_salt"), "_text")
-
-    def parse(batches):
-        import pandas as pd
-
-        def parsed(head, salt, texts):
-            body = "".join(t if t.rstrip().endswith(".") else t + "\n.\n" for t in texts if not _ONLY_HEAD.match(t))
-            own = lambda x: f"_:s{salt & (1 << 64) - 1:x}_{x[2:]}" if re.match(r"_:genid\d+$", x) else x
-            return [(own(s), p, own(o)) for s, p, o in parse_turtle(head + "\n" + body)]
-
-        for pdf in batches:
-            for (file, head), own in pdf.groupby(["file", "_head"], sort=False):
-                texts, salts = own["_text"].tolist(), own["_salt"].tolist()
-                out = []
-                for at in range(0, len(texts), chunk):
-                    some = texts[at : at + chunk]
-                    try:
-                        out += [(file, *t, None, None) for t in parsed(head, salts[at], some)]
-                    except Exception:
-                        for k, one in enumerate(some):
-                            try:
-                                out += [(file, *t, None, None) for t in parsed(head, salts[at + k], [one])]
-                            except Exception as e:
-                                out.append((file, None, None, None, f"{type(e).__name__}: {e}"[:500], one))
-                yield pd.DataFrame(out, columns=["file", "s", "p", "o", "error", "chunk"])
-
-    got = rows.mapInPandas(parse, "file string, s string, p string, o string, error string, chunk string")
+    value = F.make_valid_utf8("value")
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), (repair_line(value) if repair else value).alias("value"))
+    got = statements(lines, chunk)
     good = got.where("error is null").select(F.lit(endpoint).alias("endpoint"), "file", "s", "p", "o")
     return good, got.where("error is not null").select("file", "error", "chunk")
 
