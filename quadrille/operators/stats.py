@@ -6,30 +6,41 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Tables mapped directly to triples: key columns and the columns that become predicates.
+#: Tables mapped directly to triples: key columns and the columns that become predicates,
+#: which are all others but vectors.
 DIRECT = {
     "region": (["r_regionkey"], ["r_name"]),
     "nation": (["n_nationkey"], ["n_name", "n_regionkey"]),
-    "customer": (["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"]),
-    "supplier": (["s_suppkey"], ["s_name", "s_nationkey"]),
-    "part": (["p_partkey"], ["p_name", "p_brand", "p_type", "p_size"]),
-    "orders": (["o_orderkey"], ["o_custkey", "o_orderstatus", "o_orderpriority"]),
-    "lineitem": (["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]),
+    "customer": (["c_custkey"], ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "supplier": (["s_suppkey"], ["s_name", "s_nationkey", "s_acctbal"]),
+    "part": (["p_partkey"], ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    "orders": (["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+    "lineitem": (["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]),
+    "events": (["event_id"], ["ts", "user_id", "event_type", "value", "props"]),
+    "documents": (["doc_id"], ["text", "lang", "source", "n_chars"]),
+    "embeddings": (["vec_id"], ["label"]),
+    "pages": (["page_id"], ["url", "html"]),
+    "benchmark": (["item_id"], ["text"]),
+    "labels": (["doc_id"], ["quality", "toxic"]),
+    "conversations": (["conv_id", "turn"], ["role", "text"]),
 }
 #: Foreign keys become IRIs of the table they point to.
 LINKS = {"n_regionkey": "region", "c_nationkey": "nation", "s_nationkey": "nation", "o_custkey": "customer", "l_partkey": "part", "l_suppkey": "supplier"}
 
 
-def direct_triples(spark: SparkSession, sf_dir: str, tables=tuple(DIRECT), by_predicate: bool = False) -> DataFrame:
+def direct_triples(spark: SparkSession, sf_dir: str, tables=tuple(DIRECT), by_predicate: bool = False, only: set[str] | None = None) -> DataFrame:
     """``endpoint, s, p, o`` of table rows: a triple per non-null mapped column.
 
     One scan gives all triples of a table; with ``by_predicate`` each column is a branch
     with its predicate as a constant, so that a query which names predicates reads only
-    their columns."""
+    their columns; ``only`` names those there shall be branches for."""
     value = lambda c: F.concat(F.lit(f"ex:{LINKS[c]}/"), F.col(c)) if c in LINKS else F.col(c).cast("string")
     parts = []
     for t in tables:
         keys, cols = DIRECT[t]
+        cols = [c for c in cols if only is None or f"ex:{t}#{c}" in only]
+        if not cols:
+            continue
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         s, at = F.concat(F.lit(f"ex:{t}/"), F.concat_ws("-", *keys)).alias("s"), F.lit(t).alias("endpoint")
         if by_predicate:

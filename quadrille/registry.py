@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import text as tx
 from .operators import evaluation, index as ix, search as se, selection as sel, stats
 from .engine import generic_uses
-from .plans.execute import execute, lexical
+from .functions.terms import lexical
+from .plans.algebra import is_variable
+from .plans.execute import execute
 from .plans.rewrite import rewrite
-from .plans.sparql import generic_triples, generics, parse
+from .plans.sparql import Triple, generic_triples, generics, parse, walk
 from .scratch import new_path
 from .sources import catalog, rdf, sinks
 
@@ -290,7 +292,12 @@ _PREFIX = "".join(f"PREFIX {t}: <ex:{t}#>\n" for t in stats.DIRECT)
 
 
 def _run(spark, d, text: str) -> DataFrame:
-    return execute(_to_iris(text), stats.direct_triples(spark, d, by_predicate=True))
+    """A branch per column where patterns name their predicates; else one scan a table."""
+    q = parse(_to_iris(text))
+    predicates = {x.p for _, _, x, _ in walk(q.where) if isinstance(x, Triple)}
+    if any(map(is_variable, predicates)):
+        return execute(q, stats.direct_triples(spark, d))
+    return execute(q, stats.direct_triples(spark, d, by_predicate=True, only={p[1:-1] for p in predicates}))
 
 
 def _to_iris(text: str) -> str:
@@ -330,6 +337,28 @@ def regex_filter(spark, d):
     return _run(spark, d, 'SELECT ?x ?t WHERE { ?x part.p_type ?t . ?x part.p_size ?z . FILTER (REGEX(?t, "st|br", "i") && ?z > 40) }')
 
 
+@query("""SELECT 'ex:supplier/' || s_suppkey AS s, 'ex:nation/' || n_nationkey AS n, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey OR s_suppkey % 10 <> 7""")
+def optional_in_order(spark, d):
+    """A pattern after OPTIONAL: where that bound nothing, every nation agrees."""
+    return _run(spark, d, 'SELECT ?s ?n ?name WHERE { ?s supplier.s_name ?own . OPTIONAL { ?s supplier.s_nationkey ?n . FILTER (REGEX(?own, "7$")) } ?n nation.n_name ?name }')
+
+
+@query("""SELECT 'ex:part/' || p_partkey AS x, p_size::VARCHAR AS z FROM part ORDER BY p_size DESC, x LIMIT 150""")
+def numbers_in_order(spark, d):
+    return _run(spark, d, "SELECT ?x ?z WHERE { ?x part.p_size ?z } ORDER BY DESC(?z) ?x LIMIT 150")
+
+
+@query("""SELECT 'ex:orders/' || o_orderkey AS o FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-01-01' AND o_totalprice <> 1000 AND o_totalprice > 9.5e4""")
+def typed_filters(spark, d):
+    return _run(spark, d, 'SELECT ?o WHERE { ?o orders.o_orderdate ?d . ?o orders.o_totalprice ?p . FILTER (?d >= "1995-03-01"^^<http://www.w3.org/2001/XMLSchema#date> && ?d < "1996-01-01T00:00:00"^^<http://www.w3.org/2001/XMLSchema#dateTime> && ?p != 1000.00 && ?p > 9.5e4) }')
+
+
+@query("""SELECT 'ex:customer/' || c_custkey AS c, 'ex:supplier/' || a.s_suppkey AS a, 'ex:supplier/' || b.s_suppkey AS b FROM customer JOIN supplier a ON a.s_acctbal <= c_acctbal JOIN supplier b ON c_acctbal < b.s_acctbal WHERE c_nationkey = 3 AND a.s_nationkey = 3 AND b.s_nationkey = 3""")
+def interval_join(spark, d):
+    """Ranges without an equality, over bins."""
+    return _run(spark, d, "SELECT ?c ?a ?b WHERE { ?c customer.c_nationkey <ex:nation/3> . ?c customer.c_acctbal ?t . ?a supplier.s_nationkey <ex:nation/3> . ?a supplier.s_acctbal ?lo . ?b supplier.s_nationkey <ex:nation/3> . ?b supplier.s_acctbal ?hi . FILTER (?lo <= ?t && ?t < ?hi) }")
+
+
 @query("SELECT DISTINCT p_brand AS b, p_type AS t FROM part ORDER BY b, t LIMIT 50")
 def distinct_order_limit(spark, d):
     return _run(spark, d, "SELECT DISTINCT ?b ?t WHERE { ?x part.p_brand ?b . ?x part.p_type ?t } ORDER BY ?b ?t LIMIT 50")
@@ -343,7 +372,7 @@ def var_predicate(spark, d):
 @query("""SELECT 'ex:customer/' || c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def service_execute(spark, d):
     q = rewrite("SELECT ?c ?n WHERE { ?c gen:home ?x . ?x gen:name ?n . }", {"gen:home": {"cust": "ex:customer#c_nationkey"}, "gen:name": {"nat": "ex:nation#n_name"}}, {"cust": "http://c/sparql", "nat": "http://n/sparql"})
-    return execute(q, stats.direct_triples(spark, d, by_predicate=True), endpoints={"customer": "http://c/sparql", "nation": "http://n/sparql"})
+    return execute(q, stats.direct_triples(spark, d, ("customer", "nation"), by_predicate=True), endpoints={"customer": "http://c/sparql", "nation": "http://n/sparql"})
 
 
 _CORPUS = {
