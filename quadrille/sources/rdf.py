@@ -6,13 +6,15 @@ failures, statement by statement. ``read_rdf`` parses a file in one task, RDF/XM
 
 from __future__ import annotations
 
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .statements import CHUNK, statements
+from .statements import CHUNK, node_names, statements
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -193,46 +195,118 @@ def parse_turtle(text: str, scope: dict[str, str] | None = None, blank: str = "_
         out.clear()
 
 
-def parse_rdfxml(text: str) -> Iterator[tuple[str, str, str]]:
-    """Node elements at any depth: typed nodes, property attributes, resources, literals."""
+_WRITTEN = str.maketrans(_ESCAPED | {"\\": "\\\\"})
+_XML = "{http://www.w3.org/XML/1998/namespace}"
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
-    def iri(tag: str) -> str:
-        return tag[1:].replace("}", "") if tag.startswith("{") else tag
 
-    xml_lang, count, out = "{http://www.w3.org/XML/1998/namespace}lang", [0], []
+def _iri(tag: str) -> str:
+    return tag[1:].replace("}", "") if tag.startswith("{") else tag
 
-    def node(e: ET.Element) -> str:
-        about = e.get(f"{{{RDF}}}about") or (e.get(f"{{{RDF}}}ID") and "#" + e.get(f"{{{RDF}}}ID"))
-        if about is None:
-            count[0] += 1
-        s = f"<{about}>" if about is not None else f"_:{e.get(f'{{{RDF}}}nodeID') or f'x{count[0]}'}"
-        if iri(e.tag) != RDF + "Description":
-            out.append((s, f"<{RDF}type>", f"<{iri(e.tag)}>"))
-        for k, v in e.attrib.items():
-            if k == f"{{{RDF}}}type":
-                out.append((s, f"<{RDF}type>", f"<{v}>"))
-            elif not k.startswith(f"{{{RDF}}}") and k != xml_lang and k.startswith("{"):
-                out.append((s, f"<{iri(k)}>", f'"{v}"'))
+
+class _Nodes:
+    """Triples of node elements: typed nodes, property attributes, resources, literals,
+    collections, ``xml:base`` and ``xml:lang`` of any element around."""
+
+    def __init__(self, blank: str, label):
+        self.blank, self.label, self.count, self.out = blank, label, 0, []
+
+    def fresh(self) -> str:
+        self.count += 1
+        return f"{self.blank}{self.count}"
+
+    def resolved(self, iri: str, base: str) -> str:
+        return f"<{iri if _ABSOLUTE.match(iri) else base.partition('#')[0] + iri if iri[:1] == '#' or not iri else urljoin(base, iri)}>"
+
+    def literal(self, text: str, lang: str | None, kind: str | None = None) -> str:
+        body = '"' + text.translate(_WRITTEN) + '"'
+        return body + (f"^^<{kind}>" if kind else f"@{lang}" if lang else "")
+
+    def node(self, e: ET.Element, base: str, lang: str | None) -> str:
+        base, lang = e.get(_XML + "base", base), e.get(_XML + "lang", lang)
+        rdf = lambda name: e.get(f"{{{RDF}}}{name}")
+        if rdf("about") is not None:
+            s = self.resolved(rdf("about"), base)
+        elif rdf("ID") is not None:
+            s = self.resolved("#" + rdf("ID"), base)
+        else:
+            s = self.label(rdf("nodeID")) if rdf("nodeID") else self.fresh()
+        if _iri(e.tag) != RDF + "Description":
+            self.out.append((s, f"<{RDF}type>", f"<{_iri(e.tag)}>"))
+        self.attributes(s, e, base, lang)
+        item = 0
         for child in e:
-            resource, inner = child.get(f"{{{RDF}}}resource"), list(child)
-            if resource is not None:
-                o = f"<{resource}>"
-            elif child.get(f"{{{RDF}}}nodeID"):
-                o = "_:" + child.get(f"{{{RDF}}}nodeID")
-            elif inner:
-                o = node(inner[0])
-                for more in inner[1:]:
-                    node(more)
+            if _iri(child.tag) == RDF + "li":
+                item += 1
+                self.property(s, f"{RDF}_{item}", child, base, lang)
             else:
-                lang, dtype = child.get(xml_lang), child.get(f"{{{RDF}}}datatype")
-                o = f'"{child.text or ""}"' + (f"@{lang}" if lang else f"^^<{dtype}>" if dtype else "")
-            out.append((s, f"<{iri(child.tag)}>", o))
+                self.property(s, _iri(child.tag), child, base, lang)
         return s
 
-    root = ET.fromstring(text)
-    for e in root if iri(root.tag) == RDF + "RDF" else [root]:
-        node(e)
-    yield from out
+    def attributes(self, s: str, e: ET.Element, base: str, lang: str | None) -> bool:
+        found = False
+        for k, v in e.attrib.items():
+            if k == f"{{{RDF}}}type":
+                self.out.append((s, f"<{RDF}type>", self.resolved(v, base)))
+            elif k.startswith("{") and not k.startswith((f"{{{RDF}}}", _XML)):
+                self.out.append((s, f"<{_iri(k)}>", self.literal(v, lang)))
+            else:
+                continue
+            found = True
+        return found
+
+    def property(self, s: str, p: str, e: ET.Element, base: str, lang: str | None) -> None:
+        base, lang, inner = e.get(_XML + "base", base), e.get(_XML + "lang", lang), list(e)
+        rdf = lambda name: e.get(f"{{{RDF}}}{name}")
+        place = len(self.out)
+        if rdf("resource") is not None:
+            o = self.resolved(rdf("resource"), base)
+            self.attributes(o, e, base, lang)
+        elif rdf("nodeID"):
+            o = self.label(rdf("nodeID"))
+        elif rdf("parseType") == "Literal":
+            o = self.literal((e.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in inner), None, RDF + "XMLLiteral")
+        elif rdf("parseType") == "Resource":
+            o = self.fresh()
+            for x in inner:
+                self.property(o, _iri(x.tag), x, base, lang)
+        elif rdf("parseType") == "Collection":
+            items = [self.node(x, base, lang) for x in inner]
+            nodes = [self.fresh() for _ in items] + [f"<{RDF}nil>"]
+            for a, b, x in zip(nodes, nodes[1:], items):
+                self.out += [(a, f"<{RDF}first>", x), (a, f"<{RDF}rest>", b)]
+            o = nodes[0]
+        elif inner:
+            o = [self.node(x, base, lang) for x in inner][0]
+        elif rdf("datatype") is None and any(k.startswith("{") and not k.startswith((f"{{{RDF}}}", _XML)) for k in e.attrib):
+            o = self.fresh()
+            self.attributes(o, e, base, lang)
+        else:
+            o = self.literal(e.text or "", lang, rdf("datatype"))
+        self.out.insert(place, (s, f"<{p}>", o))
+
+
+def rdfxml_nodes(stream, blank: str = "_:x", label=lambda name: f"_:{name}") -> Iterator[tuple[str, str, str]]:
+    """Triples of RDF/XML, read from a stream: a node element below the root is dropped once
+    its triples are out, so memory is that of the largest one."""
+    nodes, depth, root = _Nodes(blank, label), 0, None
+    for event, e in ET.iterparse(stream, ("start", "end")):
+        if event == "start":
+            root, depth = root if depth else e, depth + 1
+            continue
+        depth -= 1
+        whole = _iri(root.tag) == RDF + "RDF"
+        if depth == (1 if whole else 0) and (e is not root or not whole):
+            around = root if whole else {}
+            nodes.node(e, around.get(_XML + "base") or "", around.get(_XML + "lang"))
+            yield from nodes.out
+            nodes.out.clear()
+            if whole:
+                root.remove(e)
+
+
+def parse_rdfxml(text: str | bytes, **names) -> Iterator[tuple[str, str, str]]:
+    return rdfxml_nodes(io.BytesIO(text.encode() if isinstance(text, str) else text), **names)
 
 
 def read_rdf(spark: SparkSession, path: str, endpoint: str | None = None, glob: str = "*.{nt,nt.gz,rdf,xml,n3,ttl}") -> tuple[DataFrame, DataFrame]:
@@ -253,9 +327,9 @@ def parse_texts(files: DataFrame, endpoint: str | None = None) -> tuple[DataFram
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 file = name.rsplit("/", 1)[-1]
                 try:
-                    text = (gzip.decompress(content) if file.endswith(".gz") else content).decode("utf-8", "replace")
+                    data = gzip.decompress(content) if file.endswith(".gz") else content
                     suffix = file.removesuffix(".gz").rsplit(".", 1)[-1].lower()
-                    rows = list((parse_rdfxml if FORMATS.get(suffix) == "xml" else parse_turtle)(text))
+                    rows = list(parse_rdfxml(data, **node_names(name)) if FORMATS.get(suffix) == "xml" else parse_turtle(data.decode("utf-8", "replace"), **node_names(name)))
                 except Exception as e:  # whatever is wrong with one file, the others are read
                     yield pd.DataFrame([(file, None, None, None, f"{type(e).__name__}: {e}"[:500])], columns=["file", "s", "p", "o", "error"])
                     continue

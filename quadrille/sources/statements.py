@@ -25,6 +25,7 @@ two nodes. A file without line ends is one line, and so one record of one task.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -232,6 +233,24 @@ def file_of(path: Column | str) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 
 
+def node_names(path: str) -> dict:
+    """How the blank nodes of a file are named: by the file, which no two share."""
+    own = hashlib.blake2b(path.encode(), digest_size=8).hexdigest()
+    return {"blank": f"_:g{own}x", "label": f"_:f{own}x".__add__}
+
+
+def parse_each(texts: list[str], scope: dict, names: dict) -> Iterator[tuple]:
+    """Triples with None, or None with error and text, statement after statement."""
+    from .rdf import parse_turtle
+
+    for k, one in enumerate(texts):
+        if not _blank(one):
+            try:
+                yield from [(t, None) for t in list(parse_turtle(ended(one), scope, **names | {"blank": f"{names['blank']}{k}x"}))]
+            except Exception as e:
+                yield None, (f"{type(e).__name__}: {e}"[:500], one.strip().removesuffix(".").rstrip())
+
+
 def parsed(placed: DataFrame) -> DataFrame:
     """``file, s, p, o, error, chunk`` of pieces with their ``scope``: a triple a row, and a row
     for each statement that cannot be parsed."""
@@ -243,22 +262,16 @@ def parsed(placed: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for file, own, place, text, scope in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                names = {"blank": f"_:g{own}x{place}x", "label": f"_:f{own}x".__add__}
+            for file, path, place, text, scope in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if text is None:
                     out.append((file, None, None, None, "a statement too long to be read", None))
                     continue
+                names = node_names(path)
+                names["blank"] += f"{place}x"
                 try:
-                    out += [(file, *t, None, None) for t in parse_turtle(_ended(text), json.loads(scope), **names)]
-                    continue
+                    out += [(file, *t, None, None) for t in list(parse_turtle(ended(text), json.loads(scope), **names))]
                 except Exception:  # then one statement after another
-                    held = json.loads(scope)
-                for k, one in enumerate(cut(text)):
-                    if not _blank(one):
-                        try:
-                            out += [(file, *t, None, None) for t in parse_turtle(_ended(one), held, **names | {"blank": f"{names['blank']}{k}x"})]
-                        except Exception as e:
-                            out.append((file, None, None, None, f"{type(e).__name__}: {e}"[:500], one.strip().removesuffix(".").rstrip()))
+                    out += [(file, *t, None, None) if t else (file, None, None, None, *e) for t, e in parse_each(list(cut(text)), json.loads(scope), names)]
             yield from (pd.DataFrame(out[i : i + 50_000], columns=["file", "s", "p", "o", "error", "chunk"]) for i in range(0, len(out), 50_000))
 
     def in_pandas(batches):
@@ -272,7 +285,7 @@ def parsed(placed: DataFrame) -> DataFrame:
 
     schema = "file string, s string, p string, o string, error string, chunk string"
     kind = to_arrow_schema(StructType.fromDDL(schema))
-    return placed.select("file", "own", "place", "text", "scope").mapInArrow(in_pandas, schema)
+    return placed.select("file", "path", "place", "text", "scope").mapInArrow(in_pandas, schema)
 
 
 _EMPTY = re.compile(_GAP)
@@ -282,7 +295,7 @@ def _blank(text: str) -> bool:
     return _EMPTY.fullmatch(text) is not None
 
 
-def _ended(text: str) -> str:
+def ended(text: str) -> str:
     """With a full stop, should the file end without. Lines end with a line end, so a stop
     at the very end is one."""
     if text.endswith("."):
@@ -306,6 +319,5 @@ def statements(lines: DataFrame, chunk: int = CHUNK, longest: int = LONGEST) ->
     pieced = pieces(chunked, begins, longest)
     held = stored(scopes(pieced, begins), "rdf-scopes")
     at = scope_at(F.col("scopes"), F.col("seq"), F.col("part"))
-    own = F.hex(F.xxhash64("path"))
     place = F.concat_ws("x", "block", F.col("seq") + 1, "part")
-    return parsed(pieced.join(held, ["path", "block"]).select(file_of("path").alias("file"), own.alias("own"), place.alias("place"), "text", at.alias("scope")))
+    return parsed(pieced.join(held, ["path", "block"]).select(file_of("path").alias("file"), "path", place.alias("place"), "text", at.alias("scope")))

@@ -25,7 +25,7 @@ def whole(text):
     scope, good, bad = {}, [], []
     for k, one in enumerate(st.cut(text)):
         try:
-            good += list(rdf.parse_turtle(st._ended(one), scope, blank=f"_:g{k}x"))
+            good += list(rdf.parse_turtle(st.ended(one), scope, blank=f"_:g{k}x"))
         except rdf.TurtleError:
             bad.append(one)
     return good, bad
