@@ -30,11 +30,13 @@ def convert_n3(spark, a) -> None:
 
 
 def build_index(spark, a) -> None:
-    """The index of the predicate documents below a folder, a sub-folder an endpoint."""
+    """The index of the predicate documents below a folder, a sub-folder an endpoint. An
+    endpoint that is named is built anew; without a name those that have no index are."""
     names = [a.endpoint] if a.endpoint else catalog.discover_endpoints(spark, a.path)
-    for k, name in enumerate(names):
-        found = index.build_index(catalog.predicate_records(spark, f"{a.path}/{name}", name), a.max_features)
-        sinks.write_index(found, a.out, "append" if k else "overwrite")
+    found = spark.createDataFrame([(n,) for n in names], "endpoint string")
+    left = found if a.endpoint or a.rebuild else catalog.not_built(found, sinks.built_endpoints(spark, a.out))
+    for name in sorted(r["endpoint"] for r in left.collect()):  # a row an endpoint
+        sinks.write_index(index.build_index(catalog.predicate_records(spark, f"{a.path}/{name}", name), a.max_features), a.out)
 
 
 def _engine(spark, a) -> Engine:
@@ -70,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     engine = [("--index", {"required": True}), ("--endpoints", {"required": True}), ("--top-k", {"type": int, "default": 3}), ("--popularity", {"type": float, "default": 0.0})]
     command(count, ("--endpoint", {"default": ""}), ("--mode", {"choices": rdf.MODES, "default": rdf.MODES[0]}))
     command(convert_n3, ("--dry-run", {"action": "store_true"}))
-    command(build_index, ("--endpoint", {}), ("--max-features", {"type": int, "default": index.MAX_FEATURES}))
+    command(build_index, ("--endpoint", {}), ("--rebuild", {"action": "store_true"}), ("--max-features", {"type": int, "default": index.MAX_FEATURES}))
     command(translate, *engine)
     command(evaluate, *engine, ("--gold", {"required": True}), ("--delay", {"type": float, "default": 1.0}))
     a = top.parse_args(argv)

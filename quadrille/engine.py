@@ -43,7 +43,7 @@ class Translation:
     params: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
-        return json.dumps({"mapping": self.mapping, "rewritten_query": self.rewritten, "params": self.params}, ensure_ascii=False)
+        return json.dumps({"mapping": self.mapping, "rewritten": self.rewritten, "params": self.params}, ensure_ascii=False)
 
 
 class Engine:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Tables mapped directly to triples: key columns and the columns that become predicates,
 #: which are all others but vectors.
@@ -67,9 +67,10 @@ def merged_counts(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def most_common(uses: DataFrame, key: str, position: str) -> DataFrame:
-    """``key, n`` by count descending, ties by first use."""
+    """``key, n, place`` by count descending, ties by first use. Counts of the keys, one row
+    each, are ranked in one task."""
     counts = uses.groupBy(key).agg(F.count("*").alias("n"), F.min(position).alias("_first"))
-    return counts.orderBy(F.desc("n"), "_first").drop("_first")
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")
 
 
 def predicate_total(counts: DataFrame) -> DataFrame:

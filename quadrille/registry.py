@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as tx
-from .operators import evaluation, index as ix, search as se, selection as sel, stats
+from .operators import evaluation, index as ix, queries as qs, search as se, selection as sel, stats
 from .engine import generic_uses
 from .functions.terms import lexical
 from .plans.algebra import is_variable
 from .plans.execute import execute
 from .plans.rewrite import rewrite
-from .plans.sparql import Triple, generic_triples, generics, parse, walk
+from .plans.sparql import Triple, parse, walk
 from .scratch import new_path
-from .sources import catalog, rdf, sinks
+from .sources import catalog, datasource, rdf, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -439,15 +439,54 @@ WHERE {
 }
 """),
 }
-_EXPECTED = ", ".join(f"('{k}', {n}::INTEGER, {m}::INTEGER, '{t.replace(chr(39), chr(39) * 2)}')" for k, (n, m, t) in _REWRITTEN.items())
+_EXPECTED = ", ".join(f"({i}, '{k}', {n}::INTEGER, {m}::INTEGER, '{t.replace(chr(39), chr(39) * 2)}')" for i, (k, (n, m, t)) in enumerate(_REWRITTEN.items()))
 
 
-@query(f"SELECT * FROM (VALUES {_EXPECTED}) v(query_id, n_generics, n_triples, rewritten)")
+@query(f"""SELECT form || c_custkey AS query_id, n_generics, n_triples, replace(replace(rewritten, '"x"@en', '"' || c_name || '"@en'), '?v > 3', '?v > ' || c_custkey) AS rewritten
+FROM customer JOIN (VALUES {_EXPECTED}) v(i, form, n_generics, n_triples, rewritten) ON c_custkey % 4 = i""")
 def service_grouping(spark, d):
-    """Rewriting is text work on the driver, a row per query."""
+    """A query for each customer, of one of four forms, rewritten in the tasks."""
+    forms = F.array(*[F.struct(F.lit(k).alias("form"), F.lit(t).alias("text")) for k, t in _CORPUS.items()])
+    q = _t(spark, d, "customer").withColumn("f", F.get(forms, (F.col("c_custkey") % 4).cast("int")))
+    text = F.replace(F.replace("f.text", F.lit('"x"@en'), F.concat(F.lit('"'), "c_name", F.lit('"@en'))), F.lit("?v > 3"), F.concat(F.lit("?v > "), "c_custkey"))
     chosen = {"gen:a": {"one": "ex:p"}, "gen:b": {"one": "ex:q"}, "gen:c": {"two": "ex:r"}}
-    rows = [(k, len(generics(t)), len(generic_triples(parse(t))), rewrite(t, chosen, {"one": "http://one/", "two": "http://two/"})) for k, t in _CORPUS.items()]
-    return spark.createDataFrame(rows, "query_id string, n_generics int, n_triples int, rewritten string")
+    out = qs.rewritten(q.select(F.concat("f.form", "c_custkey").alias("query_id"), text.alias("text")), chosen, {"one": "http://one/", "two": "http://two/"})
+    return out.select("query_id", "n_generics", "n_triples", "rewritten")
+
+
+def _asked(spark, d) -> DataFrame:
+    c = _t(spark, d, "customer")
+    text = F.format_string('SELECT * WHERE { ?s gen:n%d ?o . ?o gen:m ?x OPTIONAL { ?x gen:n%d "%s" . ?x gen:n%d ?y } { ?y gen:m ?z } UNION { ?z gen:other ?s } }', F.col("c_nationkey"), F.col("c_nationkey"), "c_mktsegment", (F.col("c_nationkey") + 1) % 25)
+    broken = F.when(F.col("c_custkey") % 10 == 9, "SELECT * WHERE { ?s ?p").otherwise(text)
+    return c.select(F.concat(F.lit("q"), "c_custkey").alias("query_id"), broken.alias("text"))
+
+
+_PATTERNS = """WITH c AS (SELECT 'q' || c_custkey AS query_id, c_nationkey AS n, (c_nationkey + 1) % 25 AS m, c_mktsegment AS seg FROM customer WHERE c_custkey % 10 <> 9),
+t AS (SELECT query_id, '' AS block, 0 AS pos, '?s' AS s, 'gen:n' || n AS p, '?o' AS o FROM c UNION ALL SELECT query_id, '', 1, '?o', 'gen:m', '?x' FROM c
+UNION ALL SELECT query_id, '/2', 2, '?x', 'gen:n' || n, '"' || seg || '"' FROM c UNION ALL SELECT query_id, '/2', 3, '?x', 'gen:n' || m, '?y' FROM c
+UNION ALL SELECT query_id, '/3.0', 4, '?y', 'gen:m', '?z' FROM c UNION ALL SELECT query_id, '/3.1', 5, '?z', 'gen:other', '?s' FROM c)
+"""
+
+
+@query(_PATTERNS + "SELECT query_id, block, pos::INTEGER AS pos, s, p, o FROM t")
+def query_patterns(spark, d):
+    """A query for each customer, parsed to a row a pattern."""
+    return qs.query_patterns(_asked(spark, d)).where("error is null").drop("error")
+
+
+@query("SELECT 'q' || c_custkey AS query_id FROM customer WHERE c_custkey % 10 = 9")
+def unreadable_queries(spark, d):
+    return qs.query_patterns(_asked(spark, d)).where("error is not null").select("query_id")
+
+
+@query(_PATTERNS + """, ch AS (SELECT 'gen:n' || n_nationkey AS p, 'r' || n_regionkey AS endpoint, '<ex:' || n_name || '>' AS predicate FROM nation UNION ALL SELECT 'gen:m', 'r0', '<ex:m>')
+SELECT query_id, block, endpoint, min(pos)::INTEGER AS pos, count(*)::BIGINT AS n_patterns, string_agg(s || ' ' || predicate || ' ' || o || ' .', chr(10) ORDER BY pos) AS body FROM t JOIN ch USING (p) GROUP BY ALL""")
+def service_blocks(spark, d):
+    """Patterns of one block and endpoint together, over a mapping of all nations."""
+    n = _t(spark, d, "nation")
+    chosen = n.select(F.concat(F.lit("gen:n"), "n_nationkey").alias("generic"), F.concat(F.lit("r"), "n_regionkey").alias("endpoint"), F.format_string("<ex:%s>", "n_name").alias("predicate"))
+    chosen = chosen.unionByName(n.limit(1).select(F.lit("gen:m").alias("generic"), F.lit("r0").alias("endpoint"), F.lit("<ex:m>").alias("predicate")))
+    return qs.service_blocks(qs.query_patterns(_asked(spark, d)), chosen)
 
 
 # --- sources and sinks: tables are written in the reference's file formats and read back
@@ -597,6 +636,26 @@ def rdfxml_scan(spark, d):
     return rdf.parse_texts(text.select(F.lit("r.rdf").alias("path"), F.col("value").cast("binary").alias("content")))[0].select("s", "p", "o")
 
 
+@query("WITH " + _NT + "SELECT s, o FROM nt WHERE p = '<http://x/at>'")
+def rdf_source(spark, d):
+    """Files of N-Triples through the data source, in ranges, the predicate pushed to it."""
+    datasource.register(spark)
+    df = spark.read.format("rdf").options(kind="nt", splitBytes="4000000").load(_nt_files(spark, d))
+    return df.where("p = '<http://x/at>'").select("s", "o")
+
+
+@query("""SELECT '<http://x/c' || c_custkey || '>' AS s, p, o FROM (SELECT c_custkey, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' AS p, '<http://x/' || c_mktsegment || '>' AS o FROM customer
+UNION ALL SELECT c_custkey, '<http://x/name>', '"' || c_name || '"@en' FROM customer UNION ALL SELECT c_custkey, '<http://x/at>', '<http://x/doc#n' || c_nationkey || '>' FROM customer
+UNION ALL SELECT c_custkey, '<http://x/balance>', '"' || floor(c_acctbal)::INTEGER || '"^^<http://x/int>' FROM customer)""")
+def rdfxml_nodes(spark, d):
+    """Typed nodes, property attributes, types, a base and a language around them."""
+    c = _t(spark, d, "customer").withColumn("part", F.col("c_custkey") % 8)
+    node = F.format_string('<x:%s rdf:about="c%d" x:name="%s"><x:at rdf:resource="#n%d"/><x:balance rdf:datatype="http://x/int">%d</x:balance></x:%s>', "c_mktsegment", "c_custkey", "c_name", "c_nationkey", F.floor("c_acctbal").cast("int"), "c_mktsegment")
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x/" xml:base="http://x/doc" xml:lang="en">'
+    files = c.groupBy("part").agg(F.array_join(F.collect_list(node), "").alias("b")).select(F.concat(F.lit("f"), "part", F.lit(".rdf")).alias("path"), F.concat(F.lit(head), "b", F.lit("</rdf:RDF>")).cast("binary").alias("content"))
+    return rdf.parse_texts(files)[0].select("s", "p", "o")
+
+
 @query("""SELECT '<http://bio2rdf.org/nation:' || n_nationkey || '>' AS s, '<http://bio2rdf.org/in>' AS p, '<http://bio2rdf.org/r%20' || n_regionkey || '%27s>' AS o FROM nation
 UNION ALL SELECT '<http://bio2rdf.org/nation:' || n_nationkey || '>', '<http://bio2rdf.org/name>', '"' || n_name || '"' FROM nation""")
 def n3_conversion(spark, d):
@@ -636,7 +695,7 @@ def endpoint_catalog(spark, d):
 
 @query("""SELECT 'q' || n_nationkey AS query_id, unnest(['gen:in', 'gen:r' || n_regionkey]) AS gen_predicate, unnest([0, 1])::INTEGER AS pos FROM nation""")
 def query_corpus(spark, d):
-    """Queries as files; their placeholders in order of first use."""
+    """A query for each nation; its placeholders in order of first use."""
     q = _t(spark, d, "nation").select(F.concat(F.lit("q"), "n_nationkey").alias("query_id"), F.format_string("SELECT * WHERE { ?s gen:in ?o . ?o gen:r%d ?x . ?x gen:in ?y }", "n_regionkey").alias("text"))
     return generic_uses(q).select("query_id", "gen_predicate", "pos")
 
@@ -664,14 +723,13 @@ def iri_forms(spark, d):
 
 @query("SELECT event_type, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, min(event_id))::INTEGER AS place FROM events GROUP BY event_type")
 def most_common_first_seen(spark, d):
-    ranked = stats.most_common(_t(spark, d, "events"), "event_type", "event_id")
-    return ranked.agg(F.collect_list(F.struct("event_type", "n")).alias("r")).select(F.posexplode("r").alias("p", "r")).select("r.event_type", "r.n", (F.col("p") + 1).alias("place"))
+    return stats.most_common(_t(spark, d, "events"), "event_type", "event_id")
 
 
 @query("""SELECT 'gen:c' || o_custkey AS generic, o_orderpriority AS endpoint, arg_max(o_orderstatus, o_orderkey) AS predicate FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL""")
 def selector_answers(spark, d):
     """Answers as a model gives them, with invalid keys, to the last valid choice."""
-    o = _t(spark, d, "orders").orderBy("o_orderkey")
+    o = _t(spark, d, "orders")
     key = F.when(F.col("o_custkey") % 5 == 0, "gen:").otherwise(F.concat(F.lit("gen:c"), "o_custkey"))
     row = F.struct("o_orderkey", F.struct(key.alias("generic"), F.col("o_orderpriority").alias("endpoint"), F.col("o_orderstatus").alias("predicate"), F.lit("why").alias("reason"), F.lit(0.5).alias("confidence")).alias("m"))
     answers = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("r")).select(F.to_json(F.struct(F.col("r.m").alias("mappings"))).alias("response"))

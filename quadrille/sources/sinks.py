@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,9 +41,39 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+def _built(spark, path: str) -> DataFrame | None:
+    """``endpoint, build``: the build of each endpoint that counts."""
+    try:
+        return spark.read.schema("build string, endpoint string").parquet(f"{path}/built")
+    except AnalysisException:
+        return None
+
+
+def write_index(index: dict[str, DataFrame], path: str) -> None:
+    """Tables of one or more endpoints. Each goes to a build of its own beside what is there,
+    and a last, small table names the build of each endpoint that counts. A run that dies
+    before it leaves the index as it was; other endpoints keep theirs. Builds that no
+    longer count are deleted."""
+    spark, build = next(iter(index.values())).sparkSession, uuid.uuid4().hex
     for name, df in index.items():
-        df.write.mode(mode).partitionBy("endpoint").parquet(f"{path}/{name}")
+        df.withColumn("build", F.lit(build)).write.mode("append").partitionBy("endpoint", "build").parquet(f"{path}/{name}")
+    own = [spark.read.parquet(f"{path}/{name}").where(F.col("build") == build).select("endpoint") for name, df in index.items()]
+    done = reduce(DataFrame.unionByName, own).distinct().withColumn("build", F.lit(build))
+    before = _built(spark, path)
+    stale = [] if before is None else [(r["endpoint"], r["build"]) for r in before.join(done, "endpoint", "left_semi").collect()]  # a row an endpoint
+    done.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("endpoint").parquet(f"{path}/built")
+    for _, old in stale:
+        for name in index:
+            root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/endpoint=*/build={old}")
+            system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            for found in system.globStatus(root) or ():
+                system.delete(found.getPath(), True)
+
+
+def built_endpoints(spark, path: str) -> DataFrame:
+    """``endpoint`` of those that have an index."""
+    found = _built(spark, path)
+    return spark.createDataFrame([], "endpoint string") if found is None else found.select("endpoint")
 
 
 class MissingIndex(FileNotFoundError):
@@ -52,7 +85,9 @@ def read_index(spark, path: str) -> dict[str, DataFrame]:
     out = {}
     for name in ("meta", "terms", "postings", "vectors"):
         try:
-            out[name] = spark.read.parquet(f"{path}/{name}")
+            df = spark.read.parquet(f"{path}/{name}")
+            built = _built(spark, path) if "build" in df.columns else None
+            out[name] = df if built is None else df.join(F.broadcast(built), ["endpoint", "build"]).drop("build")  # a row an endpoint
         except AnalysisException:
             try:
                 if name == "meta":
