@@ -33,6 +33,7 @@ class Settings:
     popularity: float = search_ops.POPULARITY
     ignore_null: bool = False
     compat_grouping: bool = False
+    repair_idf: bool = True  # terms that lost their idf count with 1
 
 
 @dataclass
@@ -64,7 +65,7 @@ class Engine:
             dense = search_ops.dense_all(self.index["vectors"], self.encoder(names))
         elif (self.encoder is None) != ("vectors" not in self.index):
             log.warning("dense search needs both vectors and an encoder: left out")
-        return search_ops.search(self.index, names, s.top_k, s.w_sparse, s.w_dense, s.popularity if popularity is None else popularity, dense)
+        return search_ops.search(self.index, names, s.top_k, s.w_sparse, s.w_dense, s.popularity if popularity is None else popularity, dense, repair=s.repair_idf)
 
     def selected(self, text: str, names: DataFrame, popularity: float | None = None) -> DataFrame:
         """One row per generic: ``generic, endpoint, predicate, reason, confidence``."""

@@ -14,6 +14,8 @@ from .index import term_counts
 
 TOP_K, SPARSE, DENSE, POPULARITY = 3, 0.7, 0.3, 0.0
 DIGITS = 6
+#: Rows and queries of a block in dense search; parts in which an endpoint's first rows are found.
+ROWS, ASKED, PARTS = 2048, 256, 64
 
 
 def query_terms(generics: DataFrame, accents: bool = True) -> DataFrame:
@@ -43,11 +45,45 @@ def dense_scores(vectors: DataFrame, queries: DataFrame | None) -> DataFrame:
 
 
 def dense_all(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``generic, endpoint, row_id, score_dense`` of every row and each of ``generic, query``:
-    the query vectors of a batch ride along as one array."""
-    listed = queries.agg(F.collect_list(F.struct("generic", "query")).alias("_q")).first()["_q"]  # the placeholders of a query batch
-    each = F.array(*[F.struct(F.lit(r["generic"]).alias("generic"), F.array(*[F.lit(float(x)) for x in r["query"]]).alias("query")) for r in listed])
-    return dense_scores(vectors.select("endpoint", "row_id", "embedding", F.inline(each)), None)
+    """``generic, endpoint, row_id, score_dense`` of every row of ``endpoint, row_id,
+    embedding`` and each of ``generic, query``. Both are packed into blocks (rows of one
+    endpoint each), every block of rows meets every block of queries, and a pair of blocks
+    is one product of matrices. A vector without numbers, or of another length than the
+    queries', scores 0."""
+    per, asked = _blocks(vectors.select("endpoint", "row_id", "embedding"), "endpoint", "row_id", "embedding", ROWS), _blocks(queries.select(F.lit(0).alias("_all"), "generic", "query"), "_all", "generic", "query", ASKED)
+    kind = dict(vectors.dtypes)["row_id"]
+    pairs = per.crossJoin(asked.select(F.col("_ids").alias("_names"), F.col("_vectors").alias("_asked")))  # blocks, not rows
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(x, n):
+            lengths = np.diff(x.offsets.to_numpy())
+            flat = x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()].astype(float)
+            out = np.zeros((len(x), n))
+            fit = lengths == n
+            if n and fit.any():
+                out[fit] = flat[np.repeat(fit, lengths)].reshape(-1, n)
+            return out
+
+        for b in batches:
+            for i in range(b.num_rows):
+                endpoint, ids, left, names, right = (b.column(c)[i] for c in range(5))
+                n = int(max(np.diff(right.values.offsets.to_numpy()), default=0))
+                score = np.nan_to_num(matrix(left.values, n) @ matrix(right.values, n).T, posinf=0.0, neginf=0.0)
+                for at in range(score.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[at].as_py()] * len(ids), pa.string()), pa.array([endpoint.as_py()] * len(ids), pa.string()), ids.values, pa.array(score[:, at])], ["generic", "endpoint", "row_id", "score_dense"])
+
+    return pairs.select("endpoint", "_ids", "_vectors", "_names", "_asked").mapInArrow(products, f"generic string, endpoint string, row_id {kind}, score_dense double")
+
+
+def _blocks(df: DataFrame, by: str, ids: str, vector: str, rows: int) -> DataFrame:
+    """``by, _ids, _vectors``: about so many rows of a group to a block."""
+    many = df.groupBy(by).agg(F.count("*").alias("_n"))
+    block = F.pmod(F.xxhash64(ids), F.greatest(F.lit(1), F.ceil(F.col("_n") / rows)).cast("long"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(ids).alias("i"), F.coalesce(vector, F.array().cast(dict(df.dtypes)[vector])).alias("v"))))
+    return df.join(many, by).groupBy(by, block.alias("_block")).agg(listed.alias("_l")).select(by, F.col("_l.i").alias("_ids"), F.col("_l.v").alias("_vectors"))
 
 
 def candidate_totals(candidates: DataFrame) -> DataFrame:
@@ -68,7 +104,7 @@ def top_k(fused: DataFrame, k: int = TOP_K, score: str = "score_fused", tie: str
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(index: dict[str, DataFrame], generics: DataFrame, k: int = TOP_K, w_sparse: float = SPARSE, w_dense: float = DENSE, popa: float = POPULARITY, dense: DataFrame | None = None, accents: bool = True) -> DataFrame:
+def search(index: dict[str, DataFrame], generics: DataFrame, k: int = TOP_K, w_sparse: float = SPARSE, w_dense: float = DENSE, popa: float = POPULARITY, dense: DataFrame | None = None, accents: bool = True, repair: bool = False) -> DataFrame:
     """Candidates of every generic in every endpoint: ``generic, endpoint, rank, predicate,
     local_name, usage_count, score_sparse, score_dense, score_fused``.
 
@@ -79,7 +115,7 @@ def search(index: dict[str, DataFrame], generics: DataFrame, k: int = TOP_K, w_s
     rows behind them that do not, or ``k`` of them are the first without a match. Only vectors
     (or a negative weight) rank all rows of an endpoint against each generic."""
     meta = index["meta"].select("endpoint", "row_id", "predicate", "local_name", "usage_count")
-    hits = stored(sparse_scores(index["terms"], index["postings"], query_terms(generics, accents)), "search-hits")
+    hits = stored(sparse_scores(index["terms"], index["postings"], query_terms(generics, accents), repair), "search-hits")
     if dense is not None or w_sparse < 0:
         scored = _all_rows(meta, generics).join(hits, ["generic", "endpoint", "row_id"], "left")
         if dense is not None:
@@ -96,7 +132,9 @@ def search(index: dict[str, DataFrame], generics: DataFrame, k: int = TOP_K, w_s
     mean = F.col("_s") / F.col("_n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - mean * mean)) + 1e-9
     per = stored(per.select("generic", "endpoint", mean.alias("_mean"), sd.alias("_sd"), "_pm", "_ps"), "search-pairs")
-    first = meta.withColumn("_r", F.row_number().over(Window.partitionBy("endpoint").orderBy(liked.desc(), "predicate"))).where(F.col("_r") <= 2 * k).drop("_r")
+    first = meta
+    for by in (["endpoint", F.pmod(F.xxhash64("row_id"), F.lit(PARTS))], ["endpoint"]):  # in parts first: no endpoint is sorted in one task
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(liked.desc(), "predicate"))).where(F.col("_r") <= 2 * k).drop("_r")
     none = per.select("generic", "endpoint").join(first, "endpoint").join(hits, ["generic", "endpoint", "row_id"], "left_anti").withColumn("score_sparse", F.lit(0.0))
     some = hits.join(meta, ["endpoint", "row_id"])
     scored = some.unionByName(none.select(some.columns)).join(per, ["generic", "endpoint"])

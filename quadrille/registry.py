@@ -212,6 +212,17 @@ def dense_topk(spark, d):
     return se.top_k(scores, score="score_dense", tie="row_id")
 
 
+@query("""WITH q AS (SELECT 'gen:' || vec_id AS generic, embedding AS query FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT generic, 'label' || label AS endpoint, vec_id AS row_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * query[i]::DOUBLE)), 5) AS score_dense FROM embeddings, q)
+SELECT generic, endpoint, row_id, score_dense, row_number() OVER (PARTITION BY generic, endpoint ORDER BY score_dense DESC, row_id)::INTEGER AS rank FROM s QUALIFY rank <= 3""")
+def dense_blocks(spark, d):
+    """Every vector against the queries of all endpoints, block by block."""
+    v = _t(spark, d, "embeddings").select(F.concat(F.lit("label"), "label").alias("endpoint"), F.col("vec_id").alias("row_id"), "embedding")
+    asked = v.where("row_id % 100 = 0").select(F.concat(F.lit("gen:"), "row_id").alias("generic"), F.col("embedding").alias("query"))
+    scores = se.dense_all(v, asked).withColumn("score_dense", F.round("score_dense", 5))
+    return se.top_k(scores, score="score_dense", tie="row_id")
+
+
 @query(_DOT + """, f AS (SELECT generic, endpoint, row_id, round(d, 5) AS d, CAST(row_id % 7 AS DOUBLE) AS sp FROM s),
 z AS (SELECT generic, endpoint, row_id, round(0.7 * (sp - avg(sp) OVER w) / (stddev_pop(sp) OVER w + 1e-9) + 0.3 * (d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-9), 4) AS score_fused FROM f WINDOW w AS (PARTITION BY generic, endpoint))
 SELECT *, row_number() OVER (PARTITION BY generic, endpoint ORDER BY score_fused DESC, row_id)::INTEGER AS rank FROM z QUALIFY rank <= 3""")
