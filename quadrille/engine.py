@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import search as search_ops
-from .operators.selection import BestScore, Selector, best_per_generic, last_write, valid
+from .operators.selection import Asked, BestScore, Selector, best_per_generic, last_write, valid
 from .plans.execute import execute
 from .plans.rewrite import rewrite_tree
 from .plans.sparql import GENERIC_TOKEN, Query, generics, parse, show
@@ -91,8 +91,16 @@ class Engine:
         """``query_id, text, rewritten, error`` for ``query_id, text``: one search for all. A
         query that cannot be read has an error and no rewritten text."""
         uses = generic_uses(queries)
-        chosen = self.selected("", uses.select(F.col("gen_predicate").alias("generic")).distinct()).where("predicate is not null")
-        per = uses.join(chosen, F.col("gen_predicate") == F.col("generic")).groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("generic", F.struct("endpoint", "predicate")))).alias("chosen"))
+        failed = None
+        if isinstance(self.selector, Asked):  # each query with its own text
+            names = self.candidates(uses.select(F.col("gen_predicate").alias("generic")).distinct())
+            rows, failed = self.selector.batch(queries.select("query_id", "text"), uses, names)
+            rows = best_per_generic(last_write(valid(rows), ("query_id", "generic", "endpoint")), self.settings.ignore_null, ("query_id", "generic"))
+            met = rows.where("predicate is not null")
+        else:
+            chosen = self.selected("", uses.select(F.col("gen_predicate").alias("generic")).distinct()).where("predicate is not null")
+            met = uses.join(chosen, F.col("gen_predicate") == F.col("generic"))
+        per = met.groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("generic", F.struct("endpoint", "predicate")))).alias("chosen"))
         urls, compat = dict(self.endpoints or {}), self.settings.compat_grouping
 
         @F.pandas_udf("rewritten string, error string")
@@ -106,7 +114,11 @@ class Engine:
             return pd.DataFrame(out, columns=["rewritten", "error"])
 
         done = queries.join(per, "query_id", "left").select("query_id", "text", apply("text", F.to_json("chosen")).alias("_r"))
-        return done.select("query_id", "text", "_r.rewritten", "_r.error")
+        done = done.select("query_id", "text", "_r.rewritten", "_r.error")
+        if failed is None:
+            return done
+        done = done.join(failed.withColumnRenamed("error", "_why"), "query_id", "left")
+        return done.select("query_id", "text", F.when(F.col("_why").isNull(), F.col("rewritten")).alias("rewritten"), F.coalesce("_why", "error").alias("error"))
 
     def run(self, text: str, quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
         """Translate a query and run it over ``endpoint, s, p, o``."""

@@ -747,6 +747,42 @@ def selector_answers(spark, d):
     return sel.last_write(sel.valid(sel.parse_response(answers))).select("generic", "endpoint", "predicate")
 
 
+def _first_candidate(messages) -> str:
+    """Stands for a model: the first candidate of the last endpoint; no JSON for some."""
+    import json
+
+    asked = json.loads(messages[1]["content"])
+    if "BUILDING" in asked["query"]:
+        return "sorry"
+    rows = []
+    for g in asked["generics"]:
+        per = asked["candidates"].get(g) or {}
+        for e in sorted(per)[-1:]:
+            rows.append({"generic": g, "endpoint": e, "predicate": per[e][0]["predicate"], "reason": "first", "confidence": 0.5})
+    return json.dumps({"mappings": rows})
+
+
+def _selected(spark, d):
+    n = _t(spark, d, "nation")
+    zero = F.lit(0.0)
+    found = n.select(F.concat(F.lit("gen:n"), "n_nationkey").alias("generic"), F.inline(F.array(*[F.struct(F.lit(e).alias("endpoint"), F.lit(1).alias("rank"), F.concat(F.lit(f"ex:{e}/"), "n_name").alias("predicate")) for e in ("a", "b")])))
+    found = found.withColumns({"local_name": F.lit(""), "usage_count": F.lit(1), "score_sparse": zero, "score_dense": zero, "score_fused": zero})
+    asked = _asked(spark, d)
+    return sel.Asked(_first_candidate, new_path(spark, "answers")).batch(asked, generic_uses(asked), found)
+
+
+@query("""SELECT 'q' || c_custkey AS query_id, 'gen:n' || n_nationkey AS generic, 'b' AS endpoint, 'ex:b/' || n_name AS predicate FROM customer JOIN nation ON n_nationkey IN (c_nationkey, (c_nationkey + 1) % 25)
+WHERE c_custkey % 10 <> 9 AND c_mktsegment <> 'BUILDING'""")
+def selector_batches(spark, d):
+    """Every query asked with its text and candidates, answers kept in a table."""
+    return _selected(spark, d)[0].select("query_id", "generic", "endpoint", "predicate")
+
+
+@query("SELECT 'q' || c_custkey AS query_id, 'the answer does not follow the schema' AS error FROM customer WHERE c_custkey % 10 <> 9 AND c_mktsegment = 'BUILDING'")
+def selector_failures(spark, d):
+    return _selected(spark, d)[1]
+
+
 @query("""SELECT 'gen:c' || o_custkey AS generic, count(DISTINCT o_orderpriority)::BIGINT AS endpoints, count(*)::BIGINT AS candidates FROM orders GROUP BY ALL""")
 def candidate_totals(spark, d):
     return se.candidate_totals(_mapping_rows(spark, d))

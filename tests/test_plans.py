@@ -191,7 +191,7 @@ def test_selection(spark):
     assert selection.best_per_generic(rows, ignore_null=True).first()["predicate"] == "p"
     with pytest.raises(selection.SelectorError):
         selection.parse_response(spark.createDataFrame([("no",)], "response string"))
-    assert selection.messages("q", ["gen:a"], {})[1]["role"] == "user"
+    assert selection.json_schema()["required"] == ["mappings"]
 
 
 def test_evaluation(spark):
