@@ -42,6 +42,7 @@ class Translation:
     rewritten: str
     tree: Query | None = None
     params: dict = field(default_factory=dict)
+    seconds: dict = field(default_factory=dict)  # by stage
 
     def to_json(self) -> str:
         return json.dumps({"mapping": self.mapping, "rewritten": self.rewritten, "params": self.params}, ensure_ascii=False)
@@ -80,12 +81,18 @@ class Engine:
             return Translation({"candidates": {}, "selected": {}}, text)
         if self.endpoints is None:
             raise MissingCatalog("endpoint catalog")
+        seconds, at = {}, time.time()
+        query = parse(text)
+        seconds["parse"], at = time.time() - at, time.time()
         rows = self.selected(text, self.spark.createDataFrame([(n,) for n in names], "generic string"), popularity).collect()  # a row per placeholder
+        seconds["select"], at = time.time() - at, time.time()
         chosen = {r["generic"]: (r["endpoint"], r["predicate"]) for r in rows if r["predicate"]}
-        tree = rewrite_tree(parse(text), chosen, self.endpoints, self.settings.compat_grouping)
+        tree = rewrite_tree(query, chosen, self.endpoints, self.settings.compat_grouping)
+        rewritten = show(tree)
+        seconds["rewrite"] = time.time() - at
         mapping = {r["generic"]: {r["endpoint"]: {"predicate": r["predicate"], "reason": r["reason"], "confidence": r["confidence"]}} for r in rows}
-        log.info("%s: %d of %d placeholders chosen, rewritten in %.2f s", request, len(chosen), len(names), time.time() - began)
-        return Translation({"selected": mapping}, show(tree), tree, {"top_k": self.settings.top_k, "popularity": self.settings.popularity if popularity is None else popularity})
+        log.info("%s: %d of %d placeholders chosen in %.2f s (%s)", request, len(chosen), len(names), time.time() - began, ", ".join(f"{k} {v:.2f}" for k, v in seconds.items()))
+        return Translation({"selected": mapping}, rewritten, tree, {"top_k": self.settings.top_k, "popularity": self.settings.popularity if popularity is None else popularity}, seconds)
 
     def translate_batch(self, queries: DataFrame) -> DataFrame:
         """``query_id, text, rewritten, error`` for ``query_id, text``: one search for all. A

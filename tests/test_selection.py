@@ -44,6 +44,6 @@ def test_batches_ask_once(spark, tmp_path):
     assert again["a"] == got["a"]["rewritten"]
     assert len(said.read_text().splitlines()) == 5  # only the one without an answer is asked again
     done = engine.translate(ask("partOf"))
-    assert "http://x/partOf" in done.rewritten
+    assert "http://x/partOf" in done.rewritten and list(done.seconds) == ["parse", "select", "rewrite"]
     with pytest.raises(sel.SelectorError):
         engine.translate(ask("label", " . ?o <e:bad> 1"))
