@@ -24,15 +24,19 @@ def query_terms(generics: DataFrame, accents: bool = True) -> DataFrame:
     return term_counts(q, accents=accents, keys=("generic",))
 
 
+def query_weights(terms: DataFrame, queries: DataFrame) -> DataFrame:
+    """``generic, endpoint, term, _q``: weights of unit length; a missing idf counts as 1."""
+    q = queries.join(terms.select("endpoint", "term", "idf"), "term").withColumn("_w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("generic", "endpoint")))
+    return q.select("generic", "endpoint", "term", (F.col("_w") / norm).alias("_q"))
+
+
 def sparse_scores(terms: DataFrame, postings: DataFrame, queries: DataFrame, repair: bool = False) -> DataFrame:
     """``generic, endpoint, row_id, score_sparse``: cosine, rows without a common term
     left out. A missing idf counts as 1; with ``repair`` also that of a missing term row."""
     # a term row that lost its idf, or lost with its row, still has postings
     known = terms.select("endpoint", "term", "idf").unionByName(postings.select("endpoint", "term").distinct().join(terms, ["endpoint", "term"], "left_anti").withColumn("idf", F.lit(1.0))) if repair else terms.select("endpoint", "term", "idf")
-    q = queries.join(known, "term").withColumn("_w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("generic", "endpoint")))
-    q = q.select("generic", "endpoint", "term", (F.col("_w") / norm).alias("_q"))
-    met = postings.join(q, ["endpoint", "term"])
+    met = postings.join(query_weights(known, queries), ["endpoint", "term"])
     return met.groupBy("generic", "endpoint", "row_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score_sparse"))
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as tx
-from .operators import evaluation, index as ix, queries as qs, search as se, selection as sel, stats
+from .operators import blocks as bl, evaluation, index as ix, queries as qs, search as se, selection as sel, stats
 from .engine import generic_uses
 from .functions.terms import lexical
 from .plans.algebra import is_variable
 from .plans.execute import execute
 from .plans.rewrite import rewrite
 from .plans.sparql import Triple, parse, walk
-from .scratch import new_path
+from .scratch import new_path, stored
 from .sources import catalog, datasource, rdf, sinks
 
 QUERIES: dict = {}
@@ -153,11 +153,15 @@ def tfidf_vocab_cap(spark, d):
 _GENERICS = "SELECT DISTINCT 'gen:' || lower(replace(p_type, ' ', '_')) FROM part WHERE p_partkey % 100 = 0"
 
 
-def _search(spark, d, popa):
+def _search_tables(spark, d):
     p = _t(spark, d, "part").select(F.col("p_brand").alias("endpoint"), F.concat(F.lit("ex:part/"), F.col("p_partkey").cast("string")).alias("predicate"), F.col("p_type").alias("local_name"), F.col("p_size").cast("long").alias("usage_count"))
     index = ix.build_index(p, accents=False)
     asked = F.concat(F.lit("gen:"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))))
-    names = _t(spark, d, "part").where("p_partkey % 100 = 0").select(asked.alias("generic")).distinct()
+    return index, _t(spark, d, "part").where("p_partkey % 100 = 0").select(asked.alias("generic")).distinct()
+
+
+def _search(spark, d, popa):
+    index, names = _search_tables(spark, d)
     out = se.search(index, names, popa=popa, accents=False)
     return out.select("generic", "endpoint", "rank", "predicate", "usage_count", F.round("score_sparse", 5).alias("score_sparse"), F.round("score_fused", 4).alias("score_fused"))
 
@@ -184,6 +188,15 @@ SELECT generic, endpoint, row_number() OVER (PARTITION BY generic, endpoint ORDE
 FROM z QUALIFY rank <= 3"""
 
 
+@query(_search_sql(0.0).split("a AS (SELECT generic, m.endpoint")[0].rstrip().rstrip(",") + """
+SELECT generic, endpoint, row_number() OVER (PARTITION BY generic, endpoint ORDER BY round(s, 6) DESC, predicate)::INTEGER AS rank, predicate, round(s, 6) AS score_sparse FROM hit QUALIFY rank <= 3""")
+def sparse_topk_blocks(spark, d):
+    index, names = _search_tables(spark, d)
+    blocks = stored(bl.posting_blocks(index["postings"], index["meta"].groupBy("endpoint").agg(F.count("*").alias("size"))), "posting-blocks")
+    out = bl.top_sparse(stored(index["terms"], "posting-terms"), blocks, se.query_terms(names, accents=False))
+    return out.select("generic", "endpoint", "rank", F.col("row_id").alias("predicate"), "score_sparse")
+
+
 @query(_search_sql(0.0))
 def candidate_search_topk(spark, d):
     return _search(spark, d, 0.0)
