@@ -21,6 +21,8 @@ component of its text. An empty table gives an empty result; only id and text ar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,6 +37,8 @@ SYMBOLS, BITS, DISTANCE = 96, 10, 35
 CHUNKS = 18
 #: Members of a bucket up to which components meet in pairs.
 SMALL = 16
+#: Members of a cell that one task pairs with another cell.
+CELL = 1024
 #: Bits of the filter that texts pass before they are shuffled (4 MB).
 FILTER = 1 << 25
 #: Word hashes remembered by a worker: bounds memory, not results.
@@ -229,6 +233,8 @@ def by_rarest(whole_set: DataFrame, threshold: float) -> DataFrame:
 
     Items in one order, rarest first: sets at the threshold share an item within the
     first ``n - least overlap + 1`` of each, at places that leave enough items behind.
+    Places and sizes are compared by cell, before members meet: an item that many hold
+    makes as many pairs as its cells allow, and large cells are dealt to several tasks.
     The edits of near copies are rare, so members too far from all others share none."""
     t = round(threshold * 100)
     often = whole_set.groupBy("item").agg(F.count("*").alias("_f")).where("_f > 1")
@@ -236,9 +242,21 @@ def by_rarest(whole_set: DataFrame, threshold: float) -> DataFrame:
     common = whole_set.join(often, "item").groupBy("rid", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("_f", "item"))).alias("_o"))
     placed = common.select("rid", "comp", "n", F.posexplode(F.expr(f"slice(_o, 1, greatest(0, n - cast(ceil({t} * n / 100.0) as int) + 1 - (n - size(_o))))")).alias("_p", "_e"), (F.col("n") - F.size("_o")).alias("_alone"))
     placed = stored(placed.select("rid", "comp", "n", F.col("_e.item").alias("item"), (F.col("n") - F.col("_alone") - F.col("_p")).alias("left")), "near-prefix")
-    x, y = (placed.select("item", *(F.col(c).alias(c + end) for c in ("rid", "comp", "n", "left"))) for end in "xy")
-    enough = F.expr(f"item = _i and compx <> compy and ridx < ridy and 100L * nx >= {t}L * ny and 100L * ny >= {t}L * nx and {100 + t}L * least(leftx, lefty) >= {t}L * (nx + ny)")
-    return x.join(y.withColumnRenamed("item", "_i"), enough).select(F.col("ridx").alias("a"), F.col("ridy").alias("b")).distinct()
+    # members with the same item, size and place are a cell: what rules out two cells rules
+    # out all their pairs, and no pair is looked at before its cells may meet
+    cells = placed.groupBy("item", "n", "left").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    band = F.floor(F.log("n") / F.lit(1e-6 - math.log(threshold)))  # sizes that can meet lie in the same or the next
+    x = cells.select("item", *(F.col(c).alias(c + "x") for c in ("n", "left", "f", "lo", "hi")), band.alias("_b"))
+    y = cells.select("item", *(F.col(c).alias(c + "y") for c in ("n", "left", "lo", "hi")), F.explode(F.array(band - 1, band, band + 1)).alias("_b"))
+    enough = F.expr(f"100L * nx >= {t}L * ny and 100L * ny >= {t}L * nx and {100 + t}L * least(leftx, lefty) >= {t}L * (nx + ny) and not (lox = hix and lox = loy and loy = hiy)")
+    met = stored(x.join(y, ["item", "_b"]).where(enough).select("item", "nx", "leftx", "ny", "lefty", F.ceil(F.col("fx") / CELL).alias("_parts")), "near-cells")
+    # a large cell is dealt to several tasks, each of which gets the cells it meets whole
+    cell = ["item", "nx", "leftx", "ny", "lefty", "_part"]
+    x = placed.select("item", F.col("n").alias("nx"), F.col("left").alias("leftx"), F.col("rid").alias("a"), F.col("comp").alias("_ca"))
+    y = placed.select("item", F.col("n").alias("ny"), F.col("left").alias("lefty"), F.col("rid").alias("b"), F.col("comp").alias("_cb"))
+    x = x.join(met, ["item", "nx", "leftx"]).withColumn("_part", F.pmod(F.xxhash64("a"), "_parts")).drop("_parts")
+    y = y.join(met, ["item", "ny", "lefty"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return x.join(y, cell).where("a < b and _ca <> _cb").select("a", "b").distinct()
 
 
 def _between(members: DataFrame, labels: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
@@ -280,8 +298,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs, large = _between(members, labels, small)
         late = close(pairs, classes)
         texts = texts.unionByName(fetch(ends(late).unionByName(large.select("rid")).join(texts.select("rid"), "rid", "left_anti")))
-        late = late.unionByName(close(by_rarest(stored(items_of(large, texts, words), "near-items"), threshold), classes))
-        labels = components(edges.unionByName(confirm(late.select("a", "b").distinct(), texts, threshold, words)))
+        if not large.isEmpty():
+            late = late.unionByName(close(by_rarest(stored(items_of(large, texts, words), "near-items"), threshold), classes))
+        if not late.isEmpty():
+            labels = components(edges.unionByName(confirm(late.select("a", "b").distinct(), texts, threshold, words)))
 
         of = _of(classes.select("sa", "sb", "rid", "doc"), labels, "rid", "comp")
         if repeated:

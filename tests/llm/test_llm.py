@@ -588,7 +588,9 @@ def test_pipeline(spark):
         assert abs(sum(size(texts[r["doc_id"]]) for r in out if source[r["doc_id"]] == s) - target) <= most + 0.02 * target
 
 
-def test_rarest_items_lose_no_pair_at_the_threshold(spark):
+@pytest.mark.parametrize("cell", [2, 1024])
+def test_rarest_items_lose_no_pair_at_the_threshold(spark, monkeypatch, cell):
+    monkeypatch.setattr(neardup, "CELL", cell)
     r = random.Random(5)
     sets = {}
     for i in range(120):  # near copies of a few sets, many of them about the threshold
@@ -598,3 +600,15 @@ def test_rarest_items_lose_no_pair_at_the_threshold(spark):
     got = [(x["a"], x["b"]) for x in neardup.by_rarest(rows.selectExpr("rid", "rid as comp", "cast(size(items) as long) n", "explode(items) item"), 0.8).collect()]
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
     assert want and want <= {tuple(sorted(p)) for p in got} and len(got) == len(set(got))
+
+
+def test_an_item_that_all_members_hold_makes_no_pairs_below_the_threshold(spark):
+    """Seven shared items and one own: a likeness of 0.78. Pairs of all members would be
+    1,250 million. A few shorter sets lie within the shared ones and meet all."""
+    n, short = 50_000, 3
+    rows = spark.range(n).selectExpr("id as rid", "concat(sequence(1L, 7L), array(1000 + id)) as items")
+    got = lambda rows: neardup.by_rarest(rows.selectExpr("rid", "rid as comp", "cast(size(items) as long) n", "explode(items) item"), 0.8)
+    assert got(rows).count() == 0
+    few = rows.where("rid < 4000").unionByName(spark.range(n, n + short).selectExpr("id as rid", "sequence(1L, 7L) as items"))
+    met = {(r["a"], r["b"]) for r in got(few).collect()}
+    assert {(a, n + b) for a in range(4000) for b in range(short)} <= met and all(b >= n for _, b in met)
