@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm.common import documents, stored
+from quadrille.llm.common import deleted, documents, stored, temporary
 from quadrille.llm.exact import drop_copies
 from quadrille.llm.language import keep_identified
 from quadrille.llm.mixing import mixed_documents
@@ -42,9 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    """The last stage's rows. What a stage stores on its way goes when its own rows are
+    stored, and its predecessor's rows with it; the last stage reads the rows before it
+    when its result is read, so those stay."""
+    docs, part = documents(spark, sf_dir), []
+    for name, stage in STAGES[:-1]:
+        before, part = part, []
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", paths=part)
+        deleted(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,10 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
 _BINS: list[list[str]] = []
 
 
-def stored(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+def stored(df: DataFrame, tag: str, lasting: bool = False, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost
     executor costs a re-read, not a recomputation. Within ``temporary`` it goes at the
-    end; a ``lasting`` one stays until the scope around that ends."""
+    end; a ``lasting`` one stays until the scope around that ends; with ``paths`` its path
+    is added there, and it stays until the caller has it ``deleted``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrille/{tag}-{uuid.uuid4().hex}"
     batch = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -46,11 +47,19 @@ def stored(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(batch, was)
-    if len(_BINS) > lasting:
+    if paths is not None:
+        paths.append(path)
+    elif len(_BINS) > lasting:
         _BINS[-1 - lasting].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def temporary(spark: SparkSession):
     """What is stored in this scope is deleted at its end."""
@@ -58,9 +67,7 @@ def temporary(spark: SparkSession):
     try:
         yield
     finally:
-        for path in _BINS.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        deleted(spark, _BINS.pop())
 
 
 _KEPT: dict = {}

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import chat, counts, exact, fingerprints, language, licenses, links, mixing, neardup, pieces_dropout, queries, toxicity
+from quadrille.llm.common import shared_folder
 from quadrille.llm.pieces import MARK, MODEL, Vocabulary
 
 ODD = [(1, None, "en", "a"), (2, "", "en", None), (3, "a b  c", None, "a"), (4, "a b\tc", "en", "b"), (5, "x", "de", "b"), (5, "x", "de", "b"), (None, "a b c", "en", "a"), (7, "wort " * 20_000, "de", "a")]
@@ -575,7 +577,10 @@ def test_pipeline(spark):
         before = docs.count()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(texts) == before > 100
+    parts = lambda: {p.name for p in (Path(shared_folder(spark).removeprefix("file://")) / "quadrille").glob("*")}
+    were = parts()
     out = corpus_pipeline.run(spark, d).collect()
+    assert [x.split("-")[:2] for x in parts() - were] == [["pipeline", "mixing"]]  # what the result reads
     assert {r["doc_id"] for r in out} <= set(texts) and all(r["lossless"] for r in out)
     back = {(r["doc_id"], r["text"]) for r in pieces_dropout.decode_documents(spark.createDataFrame(out)).collect()}
     assert back <= set(texts.items())
