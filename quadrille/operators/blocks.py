@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .search import DIGITS, TOP_K, query_weights
-from ..scratch import stored
+from ..scratch import shuffled, stored
 
 #: Rows of a range, about; bands of weight between 0 and 1.
 RANGE, BANDS = 256, 16
@@ -41,10 +41,15 @@ def posting_blocks(postings: DataFrame, sizes: DataFrame, rows: int = RANGE) ->
 
 def _scores(chosen: DataFrame, blocks: DataFrame) -> DataFrame:
     """``generic, endpoint, row_id, score_sparse`` over the postings of the chosen blocks."""
-    read = blocks.select(*_AT, "rows").join(chosen.select("generic", *_AT, "_q"), _AT)
+    read = blocks.select(*_AT, "rows").join(shuffled(chosen.select("generic", *_AT, "_q")), _AT)
     return read.select(*_ASKED, "_q", F.inline("rows")).groupBy(*_ASKED, "row_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score_sparse"))
 
 
+def _of_terms(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The blocks of terms that are asked for; others are not shuffled."""
+    return blocks.join(queries.select("term").distinct(), "term", "left_semi")
+
+
 def _ranked(rows: DataFrame, k: int, by: str, tie: str) -> DataFrame:
     """The first ``k`` of each placeholder and endpoint: in parts first, so that a frequent
     term's rows are not sorted in one task."""
@@ -55,17 +60,17 @@ def _ranked(rows: DataFrame, k: int, by: str, tie: str) -> DataFrame:
 
 def chosen_blocks(terms: DataFrame, blocks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """Heads of the blocks to read: ``generic, endpoint, term, range, band, n, _q``."""
-    met = stored(blocks.drop("rows").join(query_weights(terms, queries), ["endpoint", "term"]), "block-heads")
+    met = stored(shuffled(blocks.drop("rows")).join(query_weights(terms, queries), ["endpoint", "term"]), "block-heads")
     most = met.groupBy("generic", "endpoint", "range", "term").agg(F.max(F.col("_q") * F.col("top")).alias("_most"))
     bounds = stored(most.groupBy(*_ASKED, "range").agg(F.sum("_most").alias("_bound")), "block-bounds")
     first = _ranked(bounds, k, "_bound", "range").select(*_ASKED, "range")
-    best = _ranked(_scores(met.join(first, [*_ASKED, "range"]), blocks), k, "score_sparse", "row_id")
+    best = _ranked(_scores(shuffled(met).join(first, [*_ASKED, "range"]), _of_terms(blocks, queries)), k, "score_sparse", "row_id")
     floor = best.groupBy(*_ASKED).agg(F.when(F.count("*") >= k, F.min("score_sparse")).alias("_floor"))
     slack = 2 * 10**-DIGITS  # scores that round to the floor's tie with it
     near = bounds.join(floor, _ASKED, "left").withColumn("_need", F.coalesce("_floor", F.lit(0.0)) - slack).where("_bound >= _need")
     others = F.col("_bound") - F.col("_most")
-    left = most.join(near, [*_ASKED, "range"]).select(*_ASKED, "range", "term", (F.col("_need") - others).alias("_need"))
-    return met.join(left, ["generic", "endpoint", "range", "term"]).where(F.col("_q") * F.col("top") >= F.col("_need")).select("generic", *_AT, "n", "_q")
+    left = most.join(shuffled(near), [*_ASKED, "range"]).select(*_ASKED, "range", "term", (F.col("_need") - others).alias("_need"))
+    return shuffled(met).join(left, ["generic", "endpoint", "range", "term"]).where(F.col("_q") * F.col("top") >= F.col("_need")).select("generic", *_AT, "n", "_q")
 
 
 def top_sparse(terms: DataFrame, blocks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -73,7 +78,7 @@ def top_sparse(terms: DataFrame, blocks: DataFrame, queries: DataFrame, k: int =
     in each endpoint, rounded, ties to the smaller row; rows without a common term are no
     result. ``queries``: ``generic, term, tf``. Blocks are read three times (once the heads
     alone), so they should be a table."""
-    scores = _scores(chosen_blocks(terms, blocks, queries, k), blocks).withColumn("score_sparse", F.round("score_sparse", DIGITS))
+    scores = _scores(chosen_blocks(terms, blocks, queries, k), _of_terms(blocks, queries)).withColumn("score_sparse", F.round("score_sparse", DIGITS))
     return _ranked(scores, k, "score_sparse", "row_id").select(*_ASKED, "rank", "row_id", "score_sparse")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_text, let, strip_accents, word_ngrams, words
+from ..scratch import shuffled
 
 MAX_FEATURES = 200_000
 PARTS = 64
@@ -43,7 +44,7 @@ def tfidf(tf: DataFrame, sizes: DataFrame, limit: int = MAX_FEATURES) -> tuple[D
     """``terms`` (idf = ln((1 + n) / (1 + df)) + 1) and ``postings`` with weights of unit
     length per row. ``sizes``: rows of each endpoint."""
     terms = capped_terms(tf, limit).join(sizes, "endpoint").select("endpoint", "term", "df", "n", (F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(terms.select("endpoint", "term", "idf"), ["endpoint", "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    raw = tf.join(shuffled(terms.select("endpoint", "term", "idf")), ["endpoint", "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("endpoint", "row_id")))
     return terms, raw.withColumn("weight", F.col("_w") / norm).select("endpoint", "row_id", "term", "weight")
 

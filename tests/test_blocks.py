@@ -1,6 +1,7 @@
 """Search over blocks of postings against a search over all of them."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,3 +46,16 @@ def test_nothing_to_search(spark):
     none = bl.posting_blocks(postings.limit(0), sizes)
     assert bl.top_sparse(terms, none, queries).count() == 0
     assert bl.top_sparse(terms, bl.posting_blocks(postings, sizes), queries.limit(0)).count() == 0
+
+
+def test_nothing_of_the_size_of_an_index_is_broadcast(spark, tmp_path):
+    """A table of few compressed bytes can have more rows than a driver holds."""
+    path = str(tmp_path / "rows")
+    spark.range(3000).selectExpr("concat('e', id % 3) endpoint", "concat('r', id) predicate", "'some name' local_name", "id usage_count").write.parquet(path)
+    built = index.build_index(spark.read.parquet(path), accents=False)
+    queries = search.query_terms(spark.createDataFrame([("gen:name",)], "generic string"), accents=False)
+    sizes = built["meta"].groupBy("endpoint").agg(F.count("*").alias("size"))
+    blocks = bl.posting_blocks(built["postings"], sizes)
+    for df in (built["postings"], search.sparse_scores(built["terms"], built["postings"], queries), search.search(built, spark.createDataFrame([("gen:name",)], "generic string"), accents=False), bl.top_sparse(built["terms"], blocks, queries)):
+        joins = re.findall(r"BroadcastHashJoin \[([^]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+        assert not [x for x in joins if re.search("endpoint#.*(term|row_id|range)#", x)]
