@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.rewrite import rewrite
-from ..plans.sparql import Group, Optional_, Service, Triple, Union_, generic_triples, generics, parse
+from ..plans.rewrite import normalise_mapping, rewrite_tree
+from ..plans.sparql import Group, Optional_, Service, Triple, Union_, generic_triples, generics, parse, show
 
 PATTERNS = "query_id string, block string, pos int, s string, p string, o string, error string"
 REWRITTEN = "query_id string, n_generics int, n_triples int, rewritten string, error string"
@@ -45,7 +45,10 @@ def _rows(queries: DataFrame, of, schema: str) -> DataFrame:
             kinds = [pa.int32() if " int" in x else pa.string() for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return queries.select(F.col("query_id").cast("string").alias("query_id"), "text").mapInArrow(run, schema)
+    texts, slots = queries.select(F.col("query_id").cast("string").alias("query_id"), "text"), queries.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < slots:  # a file of few bytes is one task, however many texts it has
+        texts = texts.repartition(slots)
+    return texts.mapInArrow(run, schema)
 
 
 def query_patterns(queries: DataFrame) -> DataFrame:
@@ -69,7 +72,10 @@ def rewritten(queries: DataFrame, chosen: dict, urls: dict[str, str]) -> DataFra
     """``query_id, n_generics, n_triples, rewritten, error`` of every query under one mapping;
     the mapping, a row a placeholder, goes with the tasks."""
 
+    mapping = normalise_mapping(chosen)
+
     def of(text):
-        yield {"n_generics": len(generics(text)), "n_triples": len(generic_triples(parse(text))), "rewritten": rewrite(text, chosen, urls)}
+        q = parse(text)
+        yield {"n_generics": len(generics(text)), "n_triples": len(generic_triples(q)), "rewritten": show(rewrite_tree(q, mapping, urls))}
 
     return _rows(queries, of, REWRITTEN)

@@ -5,6 +5,7 @@ import json
 import pytest
 from quadrille.engine import Engine
 from quadrille.operators import index, selection as sel
+from quadrille.operators.queries import rewritten
 
 
 def model(path):
@@ -47,3 +48,11 @@ def test_batches_ask_once(spark, tmp_path):
     assert "http://x/partOf" in done.rewritten and list(done.seconds) == ["parse", "select", "rewrite"]
     with pytest.raises(sel.SelectorError):
         engine.translate(ask("label", " . ?o <e:bad> 1"))
+
+
+def test_texts_of_one_small_file_go_to_every_core(spark, tmp_path):
+    spark.range(40).selectExpr("cast(id as string) query_id", "concat('SELECT ?s WHERE { ?s gen:a ', id, ' }') text").coalesce(1).write.parquet(str(tmp_path / "q"))
+    out = rewritten(spark.read.parquet(str(tmp_path / "q")), {"gen:a": {"one": "ex:p"}}, {"one": "http://one/"})
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = {r["query_id"]: r for r in out.collect()}
+    assert len(got) == 40 and all(r["n_generics"] == r["n_triples"] == 1 and f"?s <ex:p> {i} ." in r["rewritten"] for i, r in got.items())
