@@ -236,3 +236,24 @@ def test_command_lines(spark, tmp_path):
     go("convert-n3", n3, "--out", tmp_path / "nt")
     go("convert-n3", n3, "--dry-run")
     assert spark.read.text(str(tmp_path / "nt")).count() == 1 and spark.read.json(str(tmp_path / "nt-failures")).count() == 1
+
+
+def test_one_subject_is_joined_by_a_shuffle_and_equated_texts_are_dealt(spark):
+    """A small compressed file may hold more rows than the driver can broadcast; few bytes
+    may make many pairs."""
+    from quadrille.plans.execute import DEALT
+    from quadrille.registry import bgp_chain, range_join
+
+    plan = range_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count(f", {DEALT}), REPARTITION_BY_NUM") == 2, plan
+    assert "BroadcastHashJoin" in bgp_chain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()  # few values of many rows are not dealt by
+
+
+def test_whole_numbers_have_the_key_of_any_term(spark):
+    from quadrille.functions.terms import any_key, key, number_key
+
+    words = ["0", "-0", "7", "-12", "007", "123456789012345", "1234567890123456", "+5", "5.0", "1e3", "7\n", "", "-", "1995-03-01", '"7"', "ex:7", None]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", key(F.col("t")).alias("a"), any_key(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    five = spark.range(1).select(number_key(F.lit("5")).alias("a"), any_key(F.lit('"5"^^<http://www.w3.org/2001/XMLSchema#integer>')).alias("b"))
+    assert five.where("a = b").count() == 1
