@@ -29,27 +29,29 @@ def counted(grams: Column) -> Column:
     return let(F.sort_array(grams), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
-def capped_terms(tf: DataFrame, limit: int) -> DataFrame:
+def capped_terms(tf: DataFrame, limit: int | None) -> DataFrame:
     """Terms with ``df`` and total count, the ``limit`` most frequent of each endpoint
-    (ties by term). Ranked within ``PARTS`` parts first, so that one large endpoint's
+    (ties by term), or all. Ranked within ``PARTS`` parts first, so that one large endpoint's
     terms are not sorted in one task."""
     terms = tf.groupBy("endpoint", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    if limit is None:
+        return terms
     order = (F.desc("n"), "term")
     for by in (["endpoint", F.pmod(F.xxhash64("term"), F.lit(PARTS))], ["endpoint"]):
         terms = terms.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= limit).drop("_r")
     return terms
 
 
-def tfidf(tf: DataFrame, sizes: DataFrame, limit: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+def tfidf(tf: DataFrame, sizes: DataFrame, limit: int | None = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """``terms`` (idf = ln((1 + n) / (1 + df)) + 1) and ``postings`` with weights of unit
-    length per row. ``sizes``: rows of each endpoint."""
+    length per row. ``sizes``: rows of each endpoint; ``limit``: of the terms of each, None for all."""
     terms = capped_terms(tf, limit).join(sizes, "endpoint").select("endpoint", "term", "df", "n", (F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(shuffled(terms.select("endpoint", "term", "idf")), ["endpoint", "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("endpoint", "row_id")))
     return terms, raw.withColumn("weight", F.col("_w") / norm).select("endpoint", "row_id", "term", "weight")
 
 
-def build_index(records: DataFrame, limit: int = MAX_FEATURES, accents: bool = True) -> dict[str, DataFrame]:
+def build_index(records: DataFrame, limit: int | None = MAX_FEATURES, accents: bool = True) -> dict[str, DataFrame]:
     """From ``endpoint, predicate, local_name, usage_count``; a row is an (endpoint,
     predicate)."""
     meta = records.groupBy("endpoint", "predicate").agg(F.max("local_name").alias("local_name"), F.sum("usage_count").alias("usage_count"))
